@@ -23,6 +23,8 @@ from .words import chunks, mix, shingle_sets
 
 #: Documents of a block: its index, and the queries that search it.
 BLOCK = 256
+#: Lists of up to so many documents are searched pair by pair; longer ones in blocks.
+SHORT = 64
 #: A shingle in more documents than this is ordered after all rarer ones ...
 HOT = 16
 #: ... and this many such shingles are known to every task: 12 MB at most.
@@ -102,14 +104,14 @@ def _hot_shingles(docs: DataFrame, k: int, bits: int) -> tuple[np.ndarray, np.nd
 
 
 def _prefixes(k: int, bits: int, percent: int, hot):
-    """Rows (token, node, n, hot): the rarest tokens of a set, of which two linked sets share one."""
+    """Rows (token, node, n, pos, hot): the rarest tokens of a set, rarest first, of which two linked sets share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, df = hot.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, part in chunks(batch.column(1)):
-                tokens, nodes, sizes, flags = [], [], [], []
+                tokens, nodes, sizes, places, flags = [], [], [], [], []
                 sets = shingle_sets(part, k)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 if len(keys):
@@ -135,8 +137,9 @@ def _prefixes(k: int, bits: int, percent: int, hot):
                     flags.append(d[pick] > 0)
                     nodes.append(np.full(p, ids[start + i], np.int64))
                     sizes.append(np.full(p, n, np.int64))
+                    places.append(np.arange(p))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(flags))], ["token", "node", "n", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(flags))], ["token", "node", "n", "pos", "hot"])
 
     return run
 
@@ -249,12 +252,16 @@ def _search_block(percent: int):
 
 
 def _verify(percent: int):
+    """Rows (a, b, x, y) whose sets x and y link: each a searches the lists of its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(len(Index([x]).search(y, percent)) > 0)
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            order = np.lexsort((b, a))
+            keep = np.zeros(len(a), bool)
+            for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+                found = Index([np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64) for i in rows.tolist()])
+                keep[rows[found.search(np.frombuffer(batch.column(2)[int(rows[0])].as_buffer(), np.uint64), percent)]] = True
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -285,54 +292,63 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     nodes = classes.where("node is not null").select("node").distinct()
     copies = cut(facts.where("n > 0 and doc_id is not null").join(classes.select("digest", "node"), "digest").where("doc_id <> node").select("doc_id").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti"))
     firsts = docs.where("doc_id is not null").join(small(copies), "doc_id", "left_anti")
-    postings = firsts.select("doc_id", "text").mapInArrow(_prefixes(k, bits, percent, hot), "token bigint, node bigint, n bigint, hot boolean")
+    postings = firsts.select("doc_id", "text").mapInArrow(_prefixes(k, bits, percent, hot), "token bigint, node bigint, n bigint, pos bigint, hot boolean")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8_000_000))
-    rare = postings.where("not hot").select("token", "node", "n").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token bigint, node bigint, n bigint")
-    postings = cut(rare.union(postings.where("hot").select("token", "node", "n")))
+    rare = postings.where("not hot").select("token", "node", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token bigint, node bigint, n bigint, pos bigint")
+    postings = cut(rare.union(postings.where("hot").select("token", "node", "n", "pos")))
 
-    # Lists with equal members are one list; the member with most copies is its centre.
+    # Lists with equal members are one list, in which a node has the rarest of its places;
+    # the member with most copies is its centre.
     weights = classes.groupBy("node").agg(F.max("copies").alias("copies"))
     lists = (
         postings.join(weights, "node")
         .groupBy("token")
         .agg(F.count("*").alias("size"), F.sum(F.xxhash64("node", "n").cast("decimal(20,0)")).alias("members"), F.max(F.struct("copies", (-F.col("node")).alias("minus"), "n")).alias("c"))
         .where("size > 1")
-        .groupBy("size", "members")
-        .agg(F.min("token").alias("token"), F.first("c").alias("c"))
     )
-    lists = lists.select("token", (-F.col("c.minus")).alias("centre"), F.col("c.copies").alias("rank"), F.col("c.n").alias("centre_n"))
-    members = cut(postings.join(lists, "token"))
+    named = lists.groupBy("size", "members").agg(F.min("token").alias("list"))
+    lists = lists.join(named, ["size", "members"]).select("token", "list", (-F.col("c.minus")).alias("centre"), F.col("c.copies").alias("rank"), F.col("c.n").alias("centre_n"))
+    members = cut(postings.join(lists, "token").groupBy(F.col("list").alias("token"), "node", "n", "centre", "rank", "centre_n").agg(F.min("pos").alias("pos")))
     active = small(members.select("node").distinct())
     sets = firsts.join(active.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
 
     # First each node and the best centre that its size admits: groups of near copies join here.
     near = members.where((F.col("node") != F.col("centre")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
     stars = near.groupBy("node").agg(F.max(F.struct("rank", (-F.col("centre")).alias("minus"))).alias("c")).select(F.col("node").alias("a"), (-F.col("c.minus")).alias("b"))
-    links = (
-        stars.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_verify(percent), "a bigint, b bigint")
-    )
-    first = cut(connected(links))
+    def linked(pairs: DataFrame) -> DataFrame:
+        with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+        return with_y.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
+
+    first = cut(connected(linked(stars)))
 
-    # Then the lists that still hold several components, in blocks of index and queries.
+    # Then the lists that still hold several components: pairs across those in short lists ...
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
-    placed = members.select("token", "node", "n").join(first, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    placed = cut(placed.join(open_lists, "token").withColumn("class", F.floor(F.log("n") / step + 1e-9)))
+    placed = members.join(first, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+    open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
+    placed = cut(placed.join(open_lists, "token"))
+    brief = placed.where(F.col("size") <= SHORT).select("token", "node", "n", "pos", "comp")
+    other = brief.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "comp")))
+    later = (F.col("n_") > F.col("n")) | (F.col("n_") == F.col("n")) & (F.col("node_") > F.col("node"))
+    # All that two sets share lies at or after their first common token, by rarity.
+    room = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= percent * (F.col("n") + F.col("n_"))
+    pairs = brief.join(other, (brief["token"] == other["token"]) & (F.col("comp") != F.col("comp_")) & later & (percent * F.col("n_") <= 100 * F.col("n")) & room)
+    more = linked(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct())
+
+    # ... and blocks of index and queries in long ones.
+    placed = placed.where(F.col("size") > SHORT).withColumn("class", F.floor(F.log("n") / step + 1e-9))
     blocks = placed.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("n").alias("most"))
     spread = F.pmod(F.xxhash64("node"), F.col("mine")).cast("int")
     own = placed.join(blocks.select("token", "class", F.col("blocks").alias("mine")), ["token", "class"])
     # A query meets documents of at least its size: those of its own class and of the next two,
     # since the ratio of sizes is at most one class's, and bounds are rounded.
-    queries = own.withColumn("target", F.explode(F.array([F.col("class") + i for i in range(3)])))
+    queries = own.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("target", F.explode(F.array([F.col("class") + i for i in range(3)])))
     queries = queries.join(blocks.select("token", F.col("class").alias("target"), "blocks", "most"), ["token", "target"]).where(percent * F.col("n") <= 100 * F.col("most"))
     queries = queries.select("token", F.col("target").alias("class"), "node", "n", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("by"), spread.alias("part"), F.lit(False).alias("indexed"))
     asked = queries.select("token", "class", "by", "part").distinct()
     indexed = own.withColumn("block", spread).join(asked, ["token", "class"]).select("token", "class", "node", "n", "comp", "block", "by", "part", F.lit(True).alias("indexed"))
     rows = queries.union(indexed).join(sets, "node")
-    more = rows.groupBy("token", "class", "block", "by", "part").applyInPandas(_search_block(percent), "a bigint, b bigint")
+    more = more.union(rows.groupBy("token", "class", "block", "by", "part").applyInPandas(_search_block(percent), "a bigint, b bigint"))
     label = first.select("node", "component")
     more = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     second = connected(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
