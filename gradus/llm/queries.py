@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, secrets
+from . import decontaminate, jaccard, langid, lmscore, mixing, secrets
 from .common import table
 
 
@@ -18,6 +18,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels.select("doc_id", F.when(F.col("q") > 0, 2.0).otherwise(0.5).alias("weight")))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lmscore.scores(docs, _remainder(7) != 2)
+    return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, table(spark, sf_dir, "documents"), sf_dir)
 
@@ -47,6 +53,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op7_language_id, op8_decontamination, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op7_language_id, op8_decontamination, op10_secret_scan, pipeline)}
 
 ORACLES: dict[str, str] = {}
