@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, lmscore, mixing, secrets
-from .common import table
+from . import decontaminate, fingerprint, jaccard, langid, lmscore, mixing, secrets, warc
+from .common import shared_dir, table
 
 
 def _remainder(of: int):
@@ -32,6 +34,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.plan(pages), folder, warc.train_dictionary(pages)).agg(F.sum("records")).collect()
+    found = warc.read(spark, folder, payloads=False)
+    broken = F.raise_error(F.concat(F.lit("broken record: "), "path", F.lit(" "), "error"))
+    checked = F.when(F.col("error").isNotNull(), broken).otherwise(F.col("record_type"))
+    return found.select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(_remainder(3) != 1))
@@ -53,6 +69,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op7_language_id, op8_decontamination, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op7_language_id, op8_decontamination, op10_secret_scan, pipeline)}
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, n, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN m.keep <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.keep <> p.page_id THEN m.keep END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d AND p.n = m.n
+"""
