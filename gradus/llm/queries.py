@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, langid, lmscore, mixing, secrets, warc
+from . import decontaminate, fingerprint, jaccard, langid, lmscore, mainhtml, mixing, pii, secrets, warc
 from .common import shared_dir, table
 
 
@@ -48,6 +48,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(_remainder(3) != 1))
@@ -59,6 +63,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
 
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op7_language_id, op8_decontamination, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op6_pii, op7_language_id, op8_decontamination, op9_html_extraction, op10_secret_scan, pipeline)}
 
 ORACLES: dict[str, str] = {}
 
