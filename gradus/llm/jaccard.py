@@ -25,6 +25,8 @@ from .words import chunks, mix, shingle_sets
 BLOCK = 256
 #: Lists of up to so many documents are searched pair by pair; longer ones in blocks.
 SHORT = 64
+#: Documents that share this part of a set's size in prefix tokens are tried first.
+LIKELY = 0.04
 #: A shingle in more documents than this is ordered after all rarer ones ...
 HOT = 16
 #: ... and this many such shingles are known to every task: 12 MB at most.
@@ -306,18 +308,24 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         .agg(F.count("*").alias("size"), F.sum(F.xxhash64("node", "n").cast("decimal(20,0)")).alias("members"), F.max(F.struct("copies", (-F.col("node")).alias("minus"), "n")).alias("c"))
         .where("size > 1")
     )
-    named = lists.groupBy("size", "members").agg(F.min("token").alias("list"))
-    lists = lists.join(named, ["size", "members"]).select("token", "list", (-F.col("c.minus")).alias("centre"), F.col("c.copies").alias("rank"), F.col("c.n").alias("centre_n"))
-    members = cut(postings.join(lists, "token").groupBy(F.col("list").alias("token"), "node", "n", "centre", "rank", "centre_n").agg(F.min("pos").alias("pos")))
-    active = small(members.select("node").distinct())
-    sets = firsts.join(active.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
+    named = lists.groupBy("size", "members").agg(F.min("token").alias("list"), F.count("*").alias("tokens"))
+    lists = lists.join(named, ["size", "members"]).select("token", "list", "tokens", (-F.col("c.minus")).alias("centre"), F.col("c.copies").alias("rank"), F.col("c.n").alias("centre_n"))
+    members = cut(postings.join(lists, "token").groupBy(F.col("list").alias("token"), "tokens", "node", "n", "centre", "rank", "centre_n").agg(F.min("pos").alias("pos")))
 
-    # First each node and the best centre that its size admits: groups of near copies join here.
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = small(wanted.toDF("doc_id").distinct())
+        return firsts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
+
+    # First each node and the centre with which it shares most tokens, if sizes admit it:
+    # groups of near copies join here, and what does not is left to the search below.
     near = members.where((F.col("node") != F.col("centre")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
-    stars = near.groupBy("node").agg(F.max(F.struct("rank", (-F.col("centre")).alias("minus"))).alias("c")).select(F.col("node").alias("a"), (-F.col("c.minus")).alias("b"))
+    near = near.groupBy("node", "n", "centre", "rank").agg(F.sum("tokens").alias("shared")).where(F.col("shared") > LIKELY * F.col("n"))
+    stars = near.groupBy("node").agg(F.max(F.struct("shared", "rank", (-F.col("centre")).alias("minus"))).alias("c")).select(F.col("node").alias("a"), (-F.col("c.minus")).alias("b"))
+
     def linked(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+        pairs = cut(pairs)
+        with_x = pairs.join(sets_of(pairs.select("a")).select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        with_y = with_x.join(sets_of(pairs.select("b")).select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         return with_y.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
 
     first = cut(connected(linked(stars)))
@@ -347,7 +355,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     queries = queries.select("token", F.col("target").alias("class"), "node", "n", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("by"), spread.alias("part"), F.lit(False).alias("indexed"))
     asked = queries.select("token", "class", "by", "part").distinct()
     indexed = own.withColumn("block", spread).join(asked, ["token", "class"]).select("token", "class", "node", "n", "comp", "block", "by", "part", F.lit(True).alias("indexed"))
-    rows = queries.union(indexed).join(sets, "node")
+    rows = queries.union(indexed).join(sets_of(placed.select("node")), "node")
     more = more.union(rows.groupBy("token", "class", "block", "by", "part").applyInPandas(_search_block(percent), "a bigint, b bigint"))
     label = first.select("node", "component")
     more = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
