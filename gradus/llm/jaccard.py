@@ -346,17 +346,17 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     # ... and blocks of index and queries in long ones.
     placed = placed.where(F.col("size") > SHORT).withColumn("class", F.floor(F.log("n") / step + 1e-9))
     blocks = placed.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("n").alias("most"))
-    spread = F.pmod(F.xxhash64("node"), F.col("mine")).cast("int")
-    own = placed.join(blocks.select("token", "class", F.col("blocks").alias("mine")), ["token", "class"])
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # A query meets documents of at least its size: those of its own class and of the next two,
     # since the ratio of sizes is at most one class's, and bounds are rounded.
-    queries = own.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("target", F.explode(F.array([F.col("class") + i for i in range(3)])))
-    queries = queries.join(blocks.select("token", F.col("class").alias("target"), "blocks", "most"), ["token", "target"]).where(percent * F.col("n") <= 100 * F.col("most"))
-    queries = queries.select("token", F.col("target").alias("class"), "node", "n", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("by"), spread.alias("part"), F.lit(False).alias("indexed"))
-    asked = queries.select("token", "class", "by", "part").distinct()
-    indexed = own.withColumn("block", spread).join(asked, ["token", "class"]).select("token", "class", "node", "n", "comp", "block", "by", "part", F.lit(True).alias("indexed"))
+    queries = placed.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("class", F.explode(F.array([F.col("class") + i for i in range(3)])))
+    queries = cut(queries.join(blocks, ["token", "class"]).where(percent * F.col("n") <= 100 * F.col("most")).select("token", "class", "node", "n", "comp", "blocks"))
+    parts = queries.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    queries = queries.join(parts, ["token", "class"]).select("token", "class", "node", "n", "comp", each("blocks").alias("block"), spread("parts").alias("part"), F.lit(False).alias("indexed"))
+    indexed = placed.join(blocks.join(parts, ["token", "class"]), ["token", "class"]).select("token", "class", "node", "n", "comp", spread("blocks").alias("block"), each("parts").alias("part"), F.lit(True).alias("indexed"))
     rows = queries.union(indexed).join(sets_of(placed.select("node")), "node")
-    more = more.union(rows.groupBy("token", "class", "block", "by", "part").applyInPandas(_search_block(percent), "a bigint, b bigint"))
+    more = more.union(rows.groupBy("token", "class", "block", "part").applyInPandas(_search_block(percent), "a bigint, b bigint"))
     label = first.select("node", "component")
     more = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     second = connected(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
