@@ -1,4 +1,6 @@
-"""Queries over the standard tables, and the SQL that gives the same rows."""
+"""All queries over the standard tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ..operators import analytics, question_bank, ranking, relational  # noqa: F401  each registers its queries
+from ..operators.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
