@@ -50,3 +50,13 @@ def space_words(c: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a string column; null and blank texts have none."""
     parts = F.split(F.coalesce(c, F.lit("")), SPACE)
     return F.filter(parts, lambda w: w != "")
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, in a session whose Arrow batches have at most `rows` rows: with texts or sets in
+    the rows, the default of 10,000 holds a large part of a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
+        conf.set(name, str(rows))
+    return df

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, small_batches
 from .components import connected
 from .words import chunks, mix, shingle_sets
 
 #: Documents of a block: its index, and the queries that search it.
 BLOCK = 256
 #: Lists of up to so many documents are searched pair by pair; longer ones in blocks.
-SHORT = 64
+SHORT = 512
 #: Documents that share this part of a set's size in prefix tokens are tried first.
 LIKELY = 0.04
 #: A shingle in more documents than this is ordered after all rarer ones ...
@@ -147,7 +147,8 @@ def _prefixes(k: int, bits: int, percent: int, hot):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token another row has; holds one batch and a row."""
+    """Of rows sorted by token, those that are hot or whose token another row has; holds one
+    batch and a row."""
     held, sent = None, False
     for batch in batches:
         if batch.num_rows == 0:
@@ -155,11 +156,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([batch] if held is None else [held, batch])
         t = rows["token"].to_numpy()
         same = t[1:] == t[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False])) | rows["hot"].to_numpy()
         if sent:
             keep[0] = False
         sent = bool(keep[-1]) or sent and len(t) == 1
-        yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+        yield from rows.filter(pa.array(keep)).select(["token", "node", "n", "pos"]).combine_chunks().to_batches()
         held = rows.slice(len(t) - 1).combine_chunks().to_batches()[0]
 
 
@@ -282,7 +283,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     one node.  A row whose doc_id is null gets the component of rows with an equal set, or
     null.  No rows give no rows.  Shingles are 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     facts = cut(docs.mapInArrow(_facts(k), "doc_id bigint, n bigint, digest string"))
     classes = facts.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     total = facts.agg(F.sum("n")).first()[0] or 0
@@ -296,8 +297,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     firsts = docs.where("doc_id is not null").join(small(copies), "doc_id", "left_anti")
     postings = firsts.select("doc_id", "text").mapInArrow(_prefixes(k, bits, percent, hot), "token bigint, node bigint, n bigint, pos bigint, hot boolean")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8_000_000))
-    rare = postings.where("not hot").select("token", "node", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token bigint, node bigint, n bigint, pos bigint")
-    postings = cut(rare.union(postings.where("hot").select("token", "node", "n", "pos")))
+    # Rows of frequent shingles are dealt apart: they need not meet, as others have them for sure.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1009))).otherwise(0)
+    postings = postings.repartition(parts, "token", salt).sortWithinPartitions("token")
+    postings = cut(postings.mapInArrow(_repeated, "token bigint, node bigint, n bigint, pos bigint"))
 
     # Lists with equal members are one list, in which a node has the rarest of its places;
     # the member with most copies is its centre.
@@ -314,7 +317,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = small(wanted.toDF("doc_id").distinct())
-        return firsts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
+        return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
 
     # First each node and the centre with which it shares most tokens, if sizes admit it:
     # groups of near copies join here, and what does not is left to the search below.
@@ -352,10 +355,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     # since the ratio of sizes is at most one class's, and bounds are rounded.
     queries = placed.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("class", F.explode(F.array([F.col("class") + i for i in range(3)])))
     queries = cut(queries.join(blocks, ["token", "class"]).where(percent * F.col("n") <= 100 * F.col("most")).select("token", "class", "node", "n", "comp", "blocks"))
-    parts = queries.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = queries.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("one"), F.max("comp").alias("two"))
+    # What no query of the list could link with stays out of the index.
+    fits = (F.col("n") >= F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi")) & ((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("lo")))
+    fits = fits & ((F.col("one") != F.col("two")) | (F.col("comp") != F.col("one")))
     queries = queries.join(parts, ["token", "class"]).select("token", "class", "node", "n", "comp", each("blocks").alias("block"), spread("parts").alias("part"), F.lit(False).alias("indexed"))
-    indexed = placed.join(blocks.join(parts, ["token", "class"]), ["token", "class"]).select("token", "class", "node", "n", "comp", spread("blocks").alias("block"), each("parts").alias("part"), F.lit(True).alias("indexed"))
-    rows = queries.union(indexed).join(sets_of(placed.select("node")), "node")
+    indexed = placed.join(blocks.join(parts, ["token", "class"]), ["token", "class"]).where(fits).select("token", "class", "node", "n", "comp", spread("blocks").alias("block"), each("parts").alias("part"), F.lit(True).alias("indexed"))
+    rows = queries.union(indexed).join(sets_of(queries.select("node").union(indexed.select("node"))), "node")
     more = more.union(rows.groupBy("token", "class", "block", "part").applyInPandas(_search_block(percent), "a bigint, b bigint"))
     label = first.select("node", "component")
     more = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")

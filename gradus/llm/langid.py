@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 from .words import mix
 
 ORDER = 5
@@ -238,4 +240,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are read; ties between languages go to the first by name.
     """
     run = _score(docs.sparkSession.sparkContext.broadcast(model), "doc_id")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, cost double, n_symbols bigint, rejected boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, cost double, n_symbols bigint, rejected boolean")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """the of and to in a is it that for on with as was are be this by at from or an not have but they which you
@@ -193,5 +195,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 part = batch.iloc[lo : lo + 500]
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": [main_text(h) if h else "" for h in part["html"]]})
 
-    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string")
+    out = small_batches(pages).select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

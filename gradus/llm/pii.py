@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
@@ -273,4 +275,4 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 rows = [([sum(k == i for k, _, _ in b) for i in range(4)], hashlib.sha256(_joined(b).encode()).hexdigest(), _joined(x)) for b, x in find([t or "" for t in part["text"]], held.value)]
                 yield pd.DataFrame({"doc_id": part["doc_id"]} | {f"n_{k}": [r[0][i] for r in rows] for i, k in enumerate(KINDS)} | {"base_sha256": [r[1] for r in rows], "spans": [r[2] for r in rows]})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

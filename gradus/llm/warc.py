@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, small_batches
 
 #: Payload bytes of an archive, about; a longer record has one of its own.
 ARCHIVE_BYTES = 16 << 20
@@ -114,7 +114,7 @@ def _close(fs: pafs.FileSystem, root: str, part: int, number: int, lead: bytes,
 def write(planned: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Write the pages of `plan` as archives; returns path and records of each.  It is lazy:
     an action on the result writes.  Rows are sorted in tasks, so that reruns write the same."""
-    rows = planned.sortWithinPartitions("page_id", "digest")
+    rows = small_batches(planned).sortWithinPartitions("page_id", "digest")
     return rows.mapInPandas(_writer(folder, planned.sparkSession.sparkContext.broadcast(dictionary)), "path string, records bigint")
 
 
