@@ -54,7 +54,9 @@ def mix(docs: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (3, 1,
 
     n = docs.select("doc_id").count()
     buckets = max(1, n // BUCKET_ROWS)
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    # Under the least weight's distribution no bucket gets more than its share times the ratio of weights.
+    least = min(1.0, quality.agg(F.min("weight")).first()[0] or 1.0)
+    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * least)) * buckets))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     total = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     goal = small(targets(total, weights, share, cap)).withColumnRenamed("source", "goal_source")

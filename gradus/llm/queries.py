@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, jaccard, langid, lmscore, mainhtml, mixing, pii, secrets, warc
 from .common import shared_dir, table
+from .sql import ORACLES
 
 
 def _remainder(of: int):
@@ -77,15 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op6_pii, op7_language_id, op8_decontamination, op9_html_extraction, op10_secret_scan, pipeline)}
-
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "mixed"]
 
-ORACLES["op4_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
-m AS (SELECT d, n, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d, n)
-SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
-  CASE WHEN m.keep <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN m.keep <> p.page_id THEN m.keep END AS refers_to
-FROM p LEFT JOIN m ON p.d = m.d AND p.n = m.n
-"""
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op6_pii, op7_language_id, op8_decontamination, op9_html_extraction, op10_secret_scan, pipeline)}
