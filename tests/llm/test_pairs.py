@@ -1,0 +1,190 @@
+"""Operators on sets of words against brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from messy import docs
+
+from gradus.llm import decontaminate, fingerprint, jaccard, mixing, secrets
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in sets if i is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets:
+            for b, y in sets:
+                if a is not None and b is not None and x and 100 * len(x & y) >= 75 * len(x | y) and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    return {i: label[i] for i in label}
+
+
+def test_jaccard(spark):
+    d = docs(spark)
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    want = brute_components(rows)
+    got = jaccard.components(d).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.component_id == want[r.doc_id], r
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(shingles(t))) for i, t in rows)
+    assert jaccard.components(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("short", [512, 4])
+def test_jaccard_blocks(spark, short, monkeypatch):
+    """Lists over SHORT are searched in blocks: the same links."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LIKELY", 2.0)
+    d = docs(spark).where("doc_id % 2 = 0")
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    want = brute_components(rows)
+    assert all(r.component_id == want[r.doc_id] for r in jaccard.components(d).collect())
+
+
+def test_index_finds_all():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(200)]
+    index = jaccard.Index(sets)
+    for q in sets[:60]:
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
+        assert index.search(q, 75).tolist() == want
+
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def test_decontamination(spark):
+    d = docs(spark)
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    base = next(t for _, t in rows if t and len(item_words(t)) == 80)
+    items = [(1, " ".join(base.split()[5:25])), (2, base.split()[3] + "!!"), (3, None), (4, "..."), (5, " ".join(base.split()[5:25])), (10, "a b c d e"), (11, "not in any of these texts at all, this is long enough"), (None, "one")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, word string")
+    windows = {}
+    for i, t in items:
+        w = item_words(t)
+        for s in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(tuple(w[s : s + 10]), set()).add(i)
+    want = Counter()
+    for i, t in rows:
+        w, hit, ids = item_words(t), set(), set()
+        for n in {len(g) for g in windows}:
+            for s in range(len(w) - n + 1):
+                if (g := tuple(w[s : s + n])) in windows:
+                    hit |= set(range(s, s + n))
+                    ids |= windows[g]
+        ids = sorted(str(x) for x in ids if x is not None)
+        want[i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)] += 1
+    got = decontaminate.contamination(d, table)
+    assert Counter(map(tuple, got.collect())) == want
+    assert decontaminate.contamination(d, table.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contamination(d.limit(0), table).count() == 0
+
+
+def brute_secrets(text):
+    out = []
+    for rank, (kind, p, test) in enumerate((("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))):
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(p, text or "") if test(m)]
+    return sorted(out)
+
+
+def test_secrets(spark):
+    d = docs(spark)
+    more = docs(spark, [(1000, "😀 Password: \"short\" token=é api_key='A.b-c_d=' 𝔘 AKIA" + "Z" * 40), (1001, "secretsecret = abcdefgh"), (1002, "ghp_" + "a" * 40), (1003, "token = token=abcdef12")])
+    d = d.union(more)
+    want = Counter()
+    for r in d.select("doc_id", "text").collect():
+        s = brute_secrets(r.text)
+        n = Counter(k for _, _, k, _ in s)
+        want[r.doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in s).encode()).hexdigest()] += 1
+    got = secrets.findings(d)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == want
+    assert got.where("doc_id = 1002").first().spans.startswith("github:0:44")
+    assert secrets.findings(d.limit(0)).count() == 0
+
+
+def test_secret_ledger(spark):
+    """A second scan reads only what is new, and the findings are those of one scan of all."""
+    d = docs(spark)
+    old = d.where("doc_id < 60")
+    ledger, known = secrets.scan(old)
+    ledger, known = ledger.cache(), known.cache()
+    fresh, _ = secrets.scan(d, ledger=ledger)
+    assert fresh.join(ledger, ["blob", "kind", "version"]).count() == 0
+    assert fresh.count() + ledger.count() == secrets.blobs(d).select("blob").distinct().count() * len(secrets.RULES)
+    one, two = secrets.findings(d), secrets.findings(d, known=known, ledger=ledger)
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect()))
+
+
+def test_mixing(spark):
+    d = docs(spark)
+    q = spark.createDataFrame([(21, 2.0), (24, 0.5), (27, 2.0)], "doc_id bigint, weight double")
+    got = mixing.mix(d, q).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(d.repartition(5), q).collect()))
+    assert len(got) == d.count()
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    for target in {r.target for r in got}:
+        mine = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in mine) - target) <= 1
+    assert mixing.mix(d.limit(0), q).count() == 0
+    assert mixing.mix(d, q.limit(0)).count() == d.count()
+
+
+def test_targets(spark):
+    sizes = [("a", 10), ("b", 1000), (None, 500), ("c", 0), ("Z", 70)]
+    t = {r.source: r for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint"), (3, 1, 2), 1.5, 2.0).collect()}
+    weight = dict(zip(["Z", "a", "b", "c", None], [3, 1, 2, 3, 1]))
+    left, want, live = 1.5 * 1580, {}, dict(sizes)
+    while live:
+        total = sum(weight[s] for s in live)
+        over = [s for s in live if left * weight[s] / total > 2 * live[s]]
+        if not over:
+            want |= {s: left * weight[s] / total for s in live}
+            break
+        for s in over:
+            want[s] = 2 * live[s]
+        left -= sum(2 * live.pop(s) for s in over)
+    assert {s: round(r.target, 6) for s, r in t.items()} == {s: round(x, 6) for s, x in want.items()}
+
+
+def test_fingerprints(spark):
+    rows = [(i, t) for i, t in enumerate(__import__("messy").texts())]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(d).collect()}
+    assert len(got) == len(rows)
+    off = []
+    for i, t in rows:
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        x, y = shingles(t), shingles(edited)
+        true = len(x & y) / len(x | y) if x | y else 1.0
+        off.append(abs(true - r.near_edited))
+        if len(x | y) <= fingerprint.K:
+            assert abs(true - r.near_edited) < 1e-9
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.03
+    assert got[7].fingerprint == got[8].fingerprint
+    assert fingerprint.fingerprints(d.limit(0)).count() == 0
+    assert fingerprint.fingerprints(docs(spark)).count() == docs(spark).count()
