@@ -56,8 +56,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     near = hits.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "length", "window", "items")).alias("near")).withColumnRenamed("doc_id", "near_id")
 
     out = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")), "left").select("doc_id", item_words(F.col("text")).alias("w"), "near")
-    same = lambda h: F.array_join(F.slice(F.col("w"), h["start"] + 1, h["length"]), " ") == h["window"]
-    out = out.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.array_sort(F.filter(F.coalesce("near", F.array()), same)).alias("hits"))
+    # The words are bound once a row: else a plan that needs the hits only splits the text for each of them.
+    same = lambda w: F.filter(F.coalesce("near", F.array()), lambda h: F.array_join(F.slice(w, h["start"] + 1, h["length"]), " ") == h["window"])
+    hits = F.array_sort(F.get(F.transform(F.array("w"), same), 0))
+    out = out.select("doc_id", F.size("w").cast("bigint").alias("n_words"), hits.alias("hits"))
     covered = F.expr(
         """aggregate(hits, named_struct('n', 0L, 'upto', 0L), (a, h) -> named_struct(
              'n', a.n + greatest(0L, h.start + h.length - greatest(a.upto, cast(h.start as bigint))),
