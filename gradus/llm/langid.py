@@ -119,6 +119,19 @@ def _fit_language(words: list[str], counts: np.ndarray, alphabet: int) -> list[t
     return orders
 
 
+def _fitted(alphabet: int):
+    """(lang, w, count) rows of one language to its arrays, a row for each order."""
+
+    def run(words: pd.DataFrame) -> pd.DataFrame:
+        words = words.sort_values("w")
+        orders = _fit_language(words["w"].tolist(), words["count"].to_numpy(), alphabet)
+        raw = lambda a: None if a is None else a.tobytes()
+        rows = [(words["lang"].iloc[0], k, *(raw(a) for a in arrays)) for k, arrays in enumerate(orders, 1)]
+        return pd.DataFrame(rows, columns=["lang", "k", "keys", "p", "contexts", "gamma"])
+
+    return run
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
     keys = np.unique(np.concatenate([k for k, _ in parts]))
     out = np.full((len(keys), len(parts)), missing, np.float32)
@@ -211,18 +224,25 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
     fit = rows.where(u < rate * apart)
     calibrate = rows.where((u >= rate * apart) & (u < rate))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W\d_]+)"), 1))
-    counts = fit.select("lang", word.alias("w")).groupBy("lang", "w").count().toPandas().sort_values(["lang", "w"])
-    langs = sorted(set(counts["lang"]))
+    counts = fit.select("lang", word.alias("w")).groupBy("lang", "w").count()
+    letters = counts.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).first()[0]
+    alphabet = letters + 2
+    # One task a language, with the distinct words of its sample; only the finished arrays reach the driver.
+    fitted = counts.groupBy("lang").applyInPandas(_fitted(alphabet), "lang string, k int, keys binary, p binary, contexts binary, gamma binary").collect()
+    langs = sorted({r["lang"] for r in fitted})
     if not langs:
         return Model([], [], [], [], [], -30.0, *(np.zeros(0) for _ in range(3)))
-    alphabet = len(set("".join(counts["w"]))) + 2
-    fitted = [_fit_language(g["w"].tolist(), g["count"].to_numpy(), alphabet) for _, g in counts.groupby("lang")]
-    keys, probs = zip(*(_merge([f[k][:2] for f in fitted], np.nan) for k in range(ORDER)), strict=True)
-    contexts, weights = zip(*(_merge([f[k][2:] for f in fitted], 0.0) for k in range(1, ORDER)), strict=True)
+    by = {(r["lang"], r["k"]): r for r in fitted}
+    pairs = lambda k, a, b: [(np.frombuffer(by[g, k][a], np.uint64), np.frombuffer(by[g, k][b], np.float64)) for g in langs]
+    keys, probs = zip(*(_merge(pairs(k, "keys", "p"), np.nan) for k in range(1, ORDER + 1)), strict=True)
+    contexts, weights = zip(*(_merge(pairs(k, "contexts", "gamma"), 0.0) for k in range(2, ORDER + 1)), strict=True)
+    del fitted, by
     n = len(langs)
     model = Model(langs, list(keys), list(probs), list(contexts), list(weights), -np.log2(alphabet) - 8, np.full(n, np.inf), np.zeros(n), np.zeros(n))
-    score = _score(spark.sparkContext.broadcast(model), "lang")
+    sent = spark.sparkContext.broadcast(model)
+    score = _score(sent, "lang")
     seen = calibrate.select("lang", "text").mapInPandas(score, "lang string, lang_pred string, score double, cost double, n_symbols bigint, rejected boolean").where("lang = lang_pred").select("lang", "cost", "n_symbols").toPandas()
+    sent.destroy()
     for i, lang in enumerate(langs):
         own = seen[seen["lang"] == lang]
         if len(own) < 10:
