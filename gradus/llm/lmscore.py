@@ -1,19 +1,22 @@
 """Language-model scoring by a weighted back-off automaton over words.
 
-States are the empty history and the histories of one and two words that are frequent
-enough; an arc reads a word and carries its log-probability, and a state's failure arc
-leads to the shorter history with the weight of the mass it leaves over.  Reading a text
-from left to right takes one arc per token after as many failure arcs as are needed.  The
-state before a token depends on the two tokens before it, so a whole chunk of texts takes
-its steps at once in array operations.
-
-Word counts cover the whole training corpus and stay a table: words too rare to be states
-are resolved by a join.  Frequency is relative, so what tasks hold has a fixed bound: at
-most 1 / WORD_SHARE words and 1 / GRAM_SHARE arcs of each higher order.
+States are the empty history and the histories of one and two words that occur twice; an
+arc reads a word and carries its log-probability, and a state's failure arc leads to the
+shorter history with the weight of the mass it leaves over.  Every word, bigram and trigram
+with two occurrences counts, however large the corpus is.
+
+The log-probability of a text is a sum over its n-grams: a word brings that of its arc from
+the empty history and its own failure weight; a bigram that is an arc brings what it gains
+over backing off, and its failure weight as a history; a trigram what it gains.  So each
+n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT most
+frequent n-grams of each order and a bitmap of at most 2 ** BITS hashes, which tells most
+n-grams that have no value; all others are resolved by a join.  Both bound memory only, and
+change no result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,19 +25,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
-from .words import Words, chunks, words
+from .common import shared_dir, small_batches
+from .words import Words, chunks, mix, words
 
-#: Words with this share of the training tokens, and two occurrences, are known to every task.
-WORD_SHARE = 2.5e-7
-#: Longer n-grams with this share, and two occurrences, are arcs.
-GRAM_SHARE = 1e-6
+#: n-grams of each order whose values every task holds; at most 2 ** _ID.
+HOT = 1 << 20
+#: Bits of the bitmap of kept n-grams of an order, as a power of two, at most.
+BITS = 26
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 _END = np.uint64(0)  # hash of the token that ends a text
+_ID = 20  # bits of a hot word's number
+_U = np.uint64
+_TOP, _PAIR, _TRIPLE = _U(1 << 63), _U(1 << 61), _U(1 << 62)
+_MASK = (1 << 2 * _ID) - 1
 
 
 @dataclass
@@ -42,45 +49,28 @@ class Automaton:
     n: int  # training tokens
     v: int  # distinct ones
     discount: float
-    words: np.ndarray  # sorted hashes of frequent words, the end among them
+    words: np.ndarray  # sorted hashes of hot words; a place in it is the word's number
     counts: np.ndarray
-    pairs: np.ndarray | None = None  # sorted v << 32 | w
-    pair_counts: np.ndarray | None = None
-    triples: np.ndarray | None = None  # sorted pair << 32 | w
-    triple_counts: np.ndarray | None = None
-
-    def empty_logp(self, c: np.ndarray) -> np.ndarray:
-        """log10 probability after the empty history of tokens with these counts."""
-        if not self.n:
-            return np.zeros(len(c))
-        spare = self.discount * self.v / self.n / (self.v + 1)
-        return np.log10(np.maximum(c - self.discount, 0) / self.n + spare)
+    values: np.ndarray | None = None
+    pairs: np.ndarray | None = None  # sorted keys of hot pairs
+    pair_values: np.ndarray | None = None
+    triples: np.ndarray | None = None
+    triple_values: np.ndarray | None = None
+    has_pair: np.ndarray | None = None  # bitmaps of all kept ones
+    has_triple: np.ndarray | None = None
 
     def base_logp(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
-    def weigh(self) -> None:
-        """Arc weights and failure weights, from the counts."""
-        none = np.zeros(0)
-        self.one = self.empty_logp(self.counts)
-        p1 = 10**self.one
-        v, w = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own = (self.pair_counts - DISCOUNT) / self.counts[v] if len(v) else none
-        left = 1 - np.bincount(v, own, minlength=len(self.words))
-        self.fail_one = np.log10(np.maximum(left, 1e-12))
-        p2 = own + left[v] * p1[w] if len(v) else none
-        self.two = np.log10(p2)
-        h, w3 = (self.triples >> np.uint64(32)).astype(np.int64), (self.triples & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own = (self.triple_counts - DISCOUNT) / self.pair_counts[h] if len(h) else none
-        left = 1 - np.bincount(h, own, minlength=len(self.pairs))
-        self.fail_two = np.log10(np.maximum(left, 1e-12))
-        # the shorter history's probability of the same word, which always has an arc
-        at, seen = find(self.pairs, (w[h].astype(np.uint64) << np.uint64(32)) | w3.astype(np.uint64)) if len(h) else (h, h)
-        self.three = np.log10(own + left[h] * np.where(seen, p2[at], left_of(self, w[h]) * p1[w3])) if len(h) else none
-
-
-def left_of(a: Automaton, state: np.ndarray) -> np.ndarray:
-    return 10 ** a.fail_one[state]
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the bitmap's set; never false for one that is."""
+    at = _place(keys, len(bits) * 64)
+    return (bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
+
+
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mix(keys) >> _U(65 - bits.bit_length())
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,34 +91,53 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(docs), np.diff(first)), first
 
 
-def _histories(a: Automaton, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Word ids (-1: rare), pair arcs (-1: none) and triple arcs that end at each token."""
+def _codes(a: Automaton, h: np.ndarray) -> np.ndarray:
+    """Numbers of hot words; hashes with the top bit set of others."""
     at, seen = find(a.words, h)
-    wid = np.where(seen, at, -1)
-    pair = np.full(len(h), -1)
-    triple = np.full(len(h), -1)
-    if a.pairs is not None and len(h) > 1:
-        ok = np.flatnonzero((doc[1:] == doc[:-1]) & (wid[1:] >= 0) & (wid[:-1] >= 0)) + 1
-        at, seen = find(a.pairs, (wid[ok - 1].astype(np.uint64) << np.uint64(32)) | wid[ok].astype(np.uint64))
-        pair[ok] = np.where(seen, at, -1)
-        if a.triples is not None:
-            ok = ok[(pair[ok - 1] >= 0) & (pair[ok] >= 0)]
-            at, seen = find(a.triples, (pair[ok - 1].astype(np.uint64) << np.uint64(32)) | wid[ok].astype(np.uint64))
-            triple[ok] = np.where(seen, at, -1)
-    return wid, pair, triple
-
-
-def _count(keys_of: Callable[[pa.Array], np.ndarray]):
-    def total(held: list[np.ndarray]) -> pa.RecordBatch:
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+    return np.where(seen, at.astype(_U), h | _TOP)
+
+
+def _pairs(code: np.ndarray) -> np.ndarray:
+    """Key of each token and the next: both numbers, or a hash with the top bit set."""
+    x, y = code[:-1], code[1:]
+    return np.where((x | y) & _TOP == 0, _PAIR | (x << _U(_ID)) | y, mix(x * _U(0x9E3779B97F4A7C15) + y) | _TOP)
+
+
+def _triples(code: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    x, y, z = code[:-2], code[1:-1], code[2:]
+    rare = mix(pair[:-1] * _U(0xD6E8FEB86659FD93) + pair[1:]) | _TOP
+    return np.where((x | y | z) & _TOP == 0, _TRIPLE | (x << _U(2 * _ID)) | (y << _U(_ID)) | z, rare)
+
+
+def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words' codes, pairs' keys, the places where a kept pair may begin, triples' keys and places."""
+    code = _codes(a, h)
+    pair = _pairs(code)
+    inside = doc[1:] == doc[:-1]
+    if a.has_pair is None:
+        return code, pair, np.flatnonzero(inside), None, None
+    inside &= _maybe(a.has_pair, pair)
+    triple = _triples(code, pair)
+    both = inside[1:] & inside[:-1]
+    if a.has_triple is not None:
+        both &= _maybe(a.has_triple, triple)
+    return code, pair, np.flatnonzero(inside), triple, np.flatnonzero(both)
+
+
+def _count(keys_of: Callable[[pa.Array], tuple[np.ndarray, ...]]):
+    """Keys, and what further columns say about each, with their numbers."""
+
+    def total(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        k, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        k, first, n = np.unique(k, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, *(m[first] for m in more), n)], ["k", "h", "t"][: 1 + len(more)] + ["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for _, part in chunks(batch.column(0)):
                 held.append(keys_of(part))
-                size += len(held[-1])
+                size += len(held[-1][0])
                 if size > FLUSH:
                     yield total(held)
                     held, size = [], 0
@@ -138,59 +147,134 @@ def _count(keys_of: Callable[[pa.Array], np.ndarray]):
     return run
 
 
-def _counted(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    return texts.mapInArrow(_count(keys_of), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+def _split(counts: DataFrame, shift: int, tag: int) -> DataFrame:
+    """Keys of the first and the last part of each n-gram, which keys of numbers hold."""
+    mask = F.lit((1 << shift) - 1)
+    part = lambda c, x: F.when(F.col("k") < 0, F.col(c)).otherwise(x.bitwiseAND(mask).bitwiseOR(F.lit(tag))).alias(c)
+    return counts.select("k", part("h", F.shiftright("k", _ID)), part("t", F.col("k")), "n")
 
 
-def _kept(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    rows = counts.where(F.col("n") >= max(2.0, least)).toPandas()
-    k = rows["k"].to_numpy(np.int64).view(np.uint64)
+def _hot(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Keys and columns of at most HOT rows with the highest n, by key as unsigned."""
+    sizes = sorted(((r["n"], r["count"]) for r in rows.groupBy("n").count().collect()), reverse=True)
+    total = np.cumsum([c for _, c in sizes])
+    fit = int(np.searchsorted(total, HOT, "right"))
+    got = rows.where(F.col("n") >= (sizes[fit - 1][0] if fit else 1 << 62)).select("k", *columns).toArrow()
+    k = got["k"].to_numpy().view(_U)
     order = np.argsort(k)
-    return k[order], rows["n"].to_numpy(np.float64)[order]
+    return [k[order], *(got[c].to_numpy().astype(np.float64)[order] for c in columns)]
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    size = 1 << min(BITS, max(6, int(8 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.sort(_place(batch.column(0).to_numpy().view(_U), size))
+            word, first = np.unique(at >> _U(6), return_index=True)
+            if len(at):
+                bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    got = keys.select("k").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, _U)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(_U)
+    return out
 
 
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton of a table of texts (text), and the counts of all its tokens (k, n).
+    """The automaton of a table of texts (text), and the table of what it leaves to a join:
+    k, n (of words, else null), v.
 
     Three passes count words, pairs and triples of the whole corpus; each count is added up
-    in tasks before it is shuffled.
+    in tasks before it is shuffled.  A triple can occur twice only if both its pairs do.
     """
-    sc = texts.sparkSession.sparkContext
-    counts = cut(_counted(texts, lambda t: tokens(t)[0]))
+    spark = texts.sparkSession
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    counts = texts.mapInArrow(_count(lambda t: (tokens(t)[0],)), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = held(counts, "words")
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n = n or 0
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    a = Automaton(n, v, discount, *_kept(counts, WORD_SHARE * n))
+    a = Automaton(n, v, discount, *_hot(counts.where("n >= 2"), "n"))
 
-    def step(name: str) -> None:
-        held = sc.broadcast(a)
+    def grams(name: str) -> DataFrame:
+        sent = sc.broadcast(a)
 
-        def keys_of(t: pa.Array) -> np.ndarray:
-            m = held.value
+        def keys_of(t: pa.Array) -> tuple[np.ndarray, ...]:
             h, doc, _ = tokens(t)
-            wid, pair, _ = _histories(m, h, doc)
-            before = wid if name == "pairs" else pair
-            ok = np.flatnonzero((doc[1:] == doc[:-1]) & (before[:-1] >= 0) & (wid[1:] >= 0) & ((name == "pairs") | (pair[1:] >= 0))) + 1
-            return (before[ok - 1].astype(np.uint64) << np.uint64(32)) | wid[ok].astype(np.uint64)
-
-        kept = _kept(_counted(texts, keys_of), GRAM_SHARE * n)
-        held.unpersist()
-        if name == "pairs":
-            a.pairs, a.pair_counts = kept
-        else:
-            a.triples, a.triple_counts = kept
-
-    step("pairs")
-    step("triples")
-    a.weigh()
-    return a, counts
+            code, pair, at2, triple, at3 = _grams(sent.value, h, doc)
+            key, part, at = (pair, code, at2) if name == "pairs" else (triple, pair, at3)
+            k = key[at]
+            rare = k >= _TOP
+            return k, np.where(rare, part[at], _U(0)), np.where(rare, part[at + 1], _U(0))
+
+        found = texts.mapInArrow(_count(keys_of), "k bigint, h bigint, t bigint, n bigint")
+        found = found.groupBy("k").agg(F.max("h").alias("h"), F.max("t").alias("t"), F.sum("n").alias("n")).where("n >= 2")
+        found = held(found, name)
+        sent.destroy()
+        return _split(found, _ID, 0) if name == "pairs" else _split(found, 2 * _ID, int(_PAIR))
+
+    pairs = grams("pairs")
+    a.has_pair = _bitmap(pairs)
+    triples = grams("triples")
+    a.has_triple = _bitmap(triples)
+
+    # Own mass and mass left over of each history, and the values.
+    hot = sc.broadcast(a.words)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(_U)
+            at, seen = find(hot.value, h)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(seen, at.astype(_U), h | _TOP).view(np.int64)), batch.column(1)], ["k", "n"])
+
+    taken = lambda rows: rows.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("taken")).withColumnRenamed("h", "k")
+    left = F.greatest(1 - F.coalesce(F.col("taken") / F.col("n"), F.lit(0.0)), F.lit(1e-12))
+    states = counts.where("n >= 2").mapInArrow(coded, "k bigint, n bigint").join(taken(pairs), "k", "left")
+    states = held(states.select("k", "n", left.alias("left"), empty_p(a, F.col("n")).alias("p")), "states")
+    by_h = states.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
+    by_t = states.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
+    arcs = pairs.join(by_h, "h").join(by_t, "t")
+    lower = F.col("left_h") * F.col("p_t")
+    arcs = arcs.select("k", "n", lower.alias("lower"), ((F.col("n") - DISCOUNT) / F.col("n_h") + lower).alias("p"))
+    arcs = arcs.join(taken(triples), "k", "left").select("k", "n", "p", left.alias("left"), (F.log10(F.col("p") / F.col("lower")) + F.log10(left)).alias("v"))
+    arcs = held(arcs, "arcs")
+    by_h = arcs.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
+    by_t = arcs.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
+    gain = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("n_h") / (F.col("left_h") * F.col("p_t")))
+    last = held(triples.join(by_h, "h").join(by_t, "t").select("k", "n", gain.alias("v")), "last")
+
+    a.values = np.zeros(len(a.words))
+    own = states.where("k >= 0").select("k", (F.log10("p") + F.log10("left")).alias("v")).toArrow()
+    a.values[own["k"].to_numpy()] = own["v"].to_numpy()
+    a.pairs, a.pair_values = _hot(arcs, "v")
+    a.triples, a.triple_values = _hot(last, "v")
+    nothing = F.lit(None).cast("bigint").alias("n")
+    table = states.where("k < 0").select("k", "n", F.log10("left").alias("v"))
+    table = table.union(counts.where("n = 1").select(F.col("k").bitwiseOR(F.lit(-(1 << 63))), "n", F.lit(0.0)))
+    return a, table.union(arcs.select("k", nothing, "v")).union(last.select("k", nothing, "v"))
+
+
+def empty_p(a: Automaton, c: Column) -> Column:
+    """Probability after the empty history of tokens with this count."""
+    spare = a.discount * a.v / a.n / (a.v + 1) if a.n else 1.0
+    return F.greatest(c - a.discount, F.lit(0.0)) / F.lit(float(max(a.n, 1))) + F.lit(spare)
 
 
-_ROWS = "doc_id bigint, row bigint, k bigint, times bigint, n_tokens bigint, n_known bigint, base double, score double"
+_NAMES = ["doc_id", "row", "k", "times", "words", "n_tokens", "n_known", "base", "score"]
+_ROWS = "doc_id bigint, row bigint, k bigint, times bigint, words bigint, n_tokens bigint, n_known bigint, base double, score double"
 
 
 def _traverse(model):
-    """Per document a row of its tokens with known counts, and rows of its rare words."""
+    """Per document a row of its tokens with hot values, and rows of its other n-grams, where
+    `words` is `times` for words and 0 for longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = model.value
@@ -198,42 +282,35 @@ def _traverse(model):
             for start, part in chunks(batch.column(1)):
                 h, doc, first = tokens(part)
                 docs = len(first) - 1
-                wid, pair, triple = _histories(a, h, doc)
-                known = wid >= 0
-                one = np.zeros(len(h))
-                one[known] = a.one[wid[known]]
-                inside = np.concatenate(([False], doc[1:] == doc[:-1])) if len(h) else np.zeros(0, bool)
-                prev_word = np.where(inside, np.concatenate(([-1], wid[:-1])), -1)
-                prev_pair = np.where(inside, np.concatenate(([-1], pair[:-1])), -1)
-                # no arc from the one-word state: its failure arc, then the empty history's arc
-                lp = one + np.where(prev_word >= 0, a.fail_one[prev_word] if len(a.fail_one) else 0, 0)
-                has = pair >= 0
-                lp[has] = a.two[pair[has]]
-                lp += np.where(prev_pair >= 0, a.fail_two[prev_pair] if len(a.fail_two) else 0, 0)
-                has = triple >= 0
-                lp[has] = a.three[triple[has]]
-                base = np.zeros(len(h))
-                base[known] = a.base_logp(a.counts[wid[known]])
+                code, pair, at2, triple, at3 = _grams(a, h, doc)
+                known = code < _TOP
+                lp, base = np.zeros(len(h)), np.zeros(len(h))
+                wid = code[known].astype(np.int64)
+                lp[known] = a.values[wid]
+                base[known] = a.base_logp(a.counts[wid])
+                rest = []
+                for keys, at, hot, values in ((pair, at2, a.pairs, a.pair_values), (triple, at3, a.triples, a.triple_values)):
+                    place, seen = find(hot, keys[at])
+                    lp[at[seen]] += values[place[seen]]
+                    rest.append((doc[at[~seen]], keys[at[~seen]]))
                 lo = first[:-1]
                 sums = [np.add.reduceat(x, lo) for x in (known.astype(np.int64), base, lp)]  # every document has its end
-                rows = batch.column(0).slice(start, docs).to_numpy(zero_copy_only=False), batch.column(2).slice(start, docs).to_numpy()
-                ids = batch.column(0).slice(start, docs)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1]), pa.array(rows[1]), pa.nulls(docs, pa.int64()), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], _NAMES)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    order = rare[np.lexsort((h[rare], doc[rare]))]
-                    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
-                    at = np.flatnonzero(new)
-                    d = doc[order[at]]
-                    zero = np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(rows[1][d]), pa.array(h[order[at]].view(np.int64)), pa.array(np.diff(np.append(at, len(order)))), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(zero.astype(float))], _NAMES)
+                ids, rows = batch.column(0).slice(start, docs), batch.column(2).slice(start, docs).to_numpy()
+                none = pa.nulls(docs, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rows), none, none, none, pa.array(np.diff(first)), *(pa.array(x) for x in sums)], _NAMES)
+                for words, d, k in ((1, doc[~known], code[~known]), *((0, *r) for r in rest)):
+                    if not len(k):
+                        continue
+                    order = np.lexsort((k, d))
+                    d, k = d[order], k[order]
+                    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
+                    times = np.diff(np.append(at, len(k)))
+                    none, zero = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[at])), pa.array(rows[d[at]]), pa.array(k[at].view(np.int64)), pa.array(times), pa.array(times * words), none, none, zero, zero], _NAMES)
 
     return run
 
 
-_NAMES = ["doc_id", "row", "k", "times", "n_tokens", "n_known", "base", "score"]
-
-
 def scores(docs: DataFrame, training: Column) -> DataFrame:
     """log10 probabilities of whole texts: doc_id, n_tokens, n_known, train_tokens,
     base_score, score.
@@ -245,19 +322,18 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     are 0.  A row for each input row; rows equal in doc_id and text have one result each.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
-    a, counts = train(docs.where("training").select("text"))
+    a, values = train(docs.where("training").select("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(_traverse(docs.sparkSession.sparkContext.broadcast(a)), _ROWS)
-    rows = rows.join(counts, "k", "left")
-    c = F.when(F.col("times").isNotNull(), F.coalesce("n", F.lit(0)))
+    rows = rows.join(values, "k", "left")
+    c = F.coalesce("n", F.lit(0))
     base = F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))
-    spare = a.discount * a.v / a.n / (a.v + 1) if a.n else 1.0
-    one = F.log10(F.greatest(c - a.discount, F.lit(0.0)) / F.lit(float(max(a.n, 1))) + F.lit(spare))
+    one = F.log10(empty_p(a, c))
     nil = F.lit(0.0)
     out = rows.groupBy("doc_id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(base * F.col("times"), nil)).alias("base_score"),
-        F.sum(F.col("score") + F.coalesce(one * F.col("times"), nil)).alias("score"),
+        F.sum(F.coalesce("n_known", F.when(c > 0, F.col("words")), F.lit(0))).alias("n_known"),
+        F.sum(F.coalesce("base", base * F.col("words"), nil)).alias("base_score"),
+        F.sum(F.coalesce("score", one * F.col("words") + F.coalesce("v", nil) * F.col("times"), nil)).alias("score"),
         F.count_if(F.col("times").isNull()).alias("rows"),
     )
     # Rows equal in doc_id and text met in one group: one result each again.

@@ -87,6 +87,18 @@ def test_lm_scores(spark):
     assert lmscore.scores(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_keeps_rare_ngrams(spark, monkeypatch):
+    """n-grams that occur twice among millions of tokens are arcs, in tasks or in the join."""
+    rows = [(1, "x " * 3_300_000), (2, "rare one two three x"), (3, "rare one two three y"), (4, "z rare one two"), (5, None), (None, "two three y new")]
+    model = Backoff([t for i, t in rows if i])
+    want = Counter((i, round(model.score(t), 3)) for i, t in rows)
+    assert ("rare", "one", "two") in model.three
+    for hot in (1 << 20, 2, 0):
+        monkeypatch.setattr(lmscore, "HOT", hot, raising=False)
+        got = lmscore.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id").isNotNull()).collect()
+        assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want, hot
+
+
 def test_lm_mass():
     """After any history the probabilities of all words and of one unseen word sum to one."""
     m = Backoff(["a b a b c", "a b c a b", "b a b c c", "d"])
