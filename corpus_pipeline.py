@@ -20,31 +20,56 @@ from gradus.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key for each doc_id, null included, and text, null included.
+
+    Rows equal in both share a key, and all that is decided for them; the key is a 64-bit hash.
+    """
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """key (as doc_id) and text, for operators that decide by doc_id."""
+    return _keyed(docs).select(F.col("key").alias("doc_id"), "text")
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return _keyed(docs).join(keys.select(F.col("doc_id").alias("key")), "key", "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that no language's model accepts; `lang` becomes the predicted one."""
+    """Drop rows that no language's model accepts; `lang` becomes the predicted one.
+
+    Each row is judged by its own text: rows without doc_id too, and rows that share one apart.
+    """
     model = langid.train(docs)
-    found = langid.predict(docs, model).where("not rejected").groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    return docs.join(found, "doc_id").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.predict(_by_key(docs), model).where("not rejected").groupBy(F.col("doc_id").alias("key")).agg(F.min("lang_pred").alias("lang_pred"))
+    return _keyed(docs).join(found, "key").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of alike documents."""
+    """Keep one row of each group of alike texts: that with the smallest doc_id.
+
+    Rows without doc_id come last; among rows with the same doc_id the smallest key stays.
+    Rows equal in doc_id and text, null included, are one document even without shingles;
+    of those the smallest in the other columns stays.
+    """
     ship(spark)
-    return _kept(docs, jaccard.components(docs).where("doc_id = component_id"))
+    groups = jaccard.components(_by_key(docs)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = _keyed(docs).select("key", "doc_id").distinct().join(groups, "key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    kept = _keyed(docs).join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
+    return kept.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    return _kept(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Drop rows whose own text holds a window of a benchmark item, with or without doc_id."""
+    return _kept(docs, decontaminate.contamination(_by_key(docs), table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a secret is found."""
-    return _kept(docs, secrets.findings(docs).where("spans = ''"))
+    """Drop rows in whose own text a secret is found, with or without doc_id."""
+    return _kept(docs, secrets.findings(_by_key(docs)).where("spans = ''"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
