@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small
 from .components import connected
-from .words import chunks, mix, shingle_sets
+from .words import add_up, chunks, dealt, mix, shingle_sets
 
 #: Documents of a block: its index, and the queries that search it.
 BLOCK = 256
@@ -61,18 +61,6 @@ def _sorted_parts(k: int, bits: int):
     """Rows (range, once, more, times): the next 32 bits of shingles, dealt by their first
     `bits`; those that the task met once, and the others with how often."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
-        cuts = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
-        columns = []
-        for part, values in ((n == 1, None), (n > 1, None), (n > 1, n)):
-            at = np.searchsorted(keys[part], cuts)
-            values = keys[part] & np.uint64(0xFFFFFFFF) if values is None else values[part]
-            columns.append((at, values.astype("<u4")))
-        some = np.flatnonzero(np.diff(columns[0][0]) + np.diff(columns[1][0])).tolist()
-        cell = lambda at, values: pa.array([values[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(cell(*c) for c in columns)], ["range", "once", "more", "times"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -81,25 +69,17 @@ def _sorted_parts(k: int, bits: int):
                     held.append(s)
                     size += len(s)
                 if size > FLUSH:
-                    yield flush(held)
+                    yield dealt(np.concatenate(held), bits, whole=False)
                     held, size = [], 0
         if size:
-            yield flush(held)
+            yield dealt(np.concatenate(held), bits, whole=False)
 
     return run
 
 
 def _counted(least: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        once, more, times = (np.concatenate([np.frombuffer(x, "<u4") for x in rows[c]]) for c in ("once", "more", "times"))
-        keys, n = np.unique(once, return_counts=True)
-        repeated, which = np.unique(more, return_inverse=True)
-        total = np.bincount(which, times, len(repeated)).astype(np.int64)
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
-            both = repeated[at] == keys
-            total[at[both]] += n[both]
-            keys, n = np.concatenate([keys[~both], repeated]), np.concatenate([n[~both], total])
+        keys, n = add_up(*(np.concatenate([np.frombuffer(x, "<u4") for x in rows[c]]) for c in ("once", "more", "times")))
         hot = n > least
         return pd.DataFrame({"key": (int(key[0]) << 32) + keys[hot].astype(np.int64), "df": n[hot].astype(np.int64)})
 

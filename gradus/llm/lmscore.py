@@ -9,7 +9,7 @@ The log-probability of a text is a sum over its n-grams: a word brings that of i
 the empty history and its own failure weight; a bigram that is an arc brings what it gains
 over backing off, and its failure weight as a history; a trigram what it gains.  So each
 n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT most
-frequent n-grams of each order and a bitmap of at most 2 ** BITS hashes, which tells most
+frequent n-grams of each order and Bloom filters of at most 2 ** BITS bits, which tell most
 n-grams that have no value; all others are resolved by a join.  Both bound memory only, and
 change no result.
 """
@@ -19,29 +19,59 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
-from .words import Words, chunks, mix, words
+from .common import shared_dir
+from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: n-grams of each order whose values every task holds; at most 2 ** _ID.
 HOT = 1 << 20
-#: Bits of the bitmap of kept n-grams of an order, as a power of two, at most.
-BITS = 26
+#: Bits of the filter of kept n-grams of an order, as a power of two, at most.
+BITS = 27
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
-#: Keys that a counting task holds before it adds them up.
-FLUSH = 1_000_000
+#: Keys that a counting task holds before it adds them up, and of a range that another adds up.
+FLUSH = RANGE = 1_000_000
 
 _END = np.uint64(0)  # hash of the token that ends a text
 _ID = 20  # bits of a hot word's number
 _U = np.uint64
 _TOP, _PAIR, _TRIPLE = _U(1 << 63), _U(1 << 61), _U(1 << 62)
-_MASK = (1 << 2 * _ID) - 1
+_NUMBER = _U((1 << _ID) - 1)
+
+
+class Filter(NamedTuple):
+    """Bloom filter of two bits a key; both lie in the part that the key's leading bits name."""
+
+    bits: np.ndarray  # bytes
+    size: int  # as a power of two
+    parts: int  # as a power of two
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be in the set; never false for one that is."""
+        out = self._at(keys >> _U(64 - self.size))
+        some = np.flatnonzero(out)
+        inner = self.size - self.parts
+        k = keys[some]
+        out[some] = self._at((k >> _U(64 - self.parts) << _U(inner)) | (k & _U((1 << inner) - 1)))
+        return out
+
+    def _at(self, place: np.ndarray) -> np.ndarray:
+        return (self.bits[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _filter_part(keys: np.ndarray, size: int, parts: int) -> bytes:
+    """The bits of one part, for its keys."""
+    mask = _U((1 << size - parts) - 1)
+    out = np.zeros(1 << size - parts, bool)
+    out[((keys >> _U(64 - size)) & mask).astype(np.int64)] = True
+    out[(keys & mask).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 @dataclass
@@ -49,36 +79,32 @@ class Automaton:
     n: int  # training tokens
     v: int  # distinct ones
     discount: float
-    words: np.ndarray  # sorted hashes of hot words; a place in it is the word's number
+    words: Table  # hashes of hot words; a place in it is the word's number
     counts: np.ndarray
+    kept: Filter | None = None  # words, pairs, triples that occur twice
     values: np.ndarray | None = None
-    pairs: np.ndarray | None = None  # sorted keys of hot pairs
+    kept_pairs: Filter | None = None
+    pairs: Table | None = None
     pair_values: np.ndarray | None = None
-    triples: np.ndarray | None = None
+    kept_triples: Filter | None = None
+    triples: Table | None = None
     triple_values: np.ndarray | None = None
-    has_pair: np.ndarray | None = None  # bitmaps of all kept ones
-    has_triple: np.ndarray | None = None
 
     def base_logp(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
 
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may be in the bitmap's set; never false for one that is."""
-    at = _place(keys, len(bits) * 64)
-    return (bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-
+class Grams(NamedTuple):
+    """n-grams: where they begin, their keys, and what begins and ends them."""
 
-def _place(keys: np.ndarray, bits: int) -> np.ndarray:
-    return mix(keys) >> _U(65 - bits.bit_length())
+    at: np.ndarray
+    key: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    rare: np.ndarray  # whether head and tail cannot be read from the key
 
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    def where(self, keep: np.ndarray) -> Grams:
+        return Grams(*(c[keep] for c in self))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,67 +117,100 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(docs), np.diff(first)), first
 
 
-def _codes(a: Automaton, h: np.ndarray) -> np.ndarray:
-    """Numbers of hot words; hashes with the top bit set of others."""
-    at, seen = find(a.words, h)
-    return np.where(seen, at.astype(_U), h | _TOP)
-
+def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(_PAIR | (x << _U(_ID)) | y)
 
-def _pairs(code: np.ndarray) -> np.ndarray:
-    """Key of each token and the next: both numbers, or a hash with the top bit set."""
-    x, y = code[:-1], code[1:]
-    return np.where((x | y) & _TOP == 0, _PAIR | (x << _U(_ID)) | y, mix(x * _U(0x9E3779B97F4A7C15) + y) | _TOP)
 
+def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, Grams, Grams | None]:
+    """Words' codes, and the pairs and triples that may be kept.
 
-def _triples(code: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    x, y, z = code[:-2], code[1:-1], code[2:]
-    rare = mix(pair[:-1] * _U(0xD6E8FEB86659FD93) + pair[1:]) | _TOP
-    return np.where((x | y | z) & _TOP == 0, _TRIPLE | (x << _U(2 * _ID)) | (y << _U(_ID)) | z, rare)
-
-
-def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words' codes, pairs' keys, the places where a kept pair may begin, triples' keys and places."""
-    code = _codes(a, h)
-    pair = _pairs(code)
-    inside = doc[1:] == doc[:-1]
-    if a.has_pair is None:
-        return code, pair, np.flatnonzero(inside), None, None
-    inside &= _maybe(a.has_pair, pair)
-    triple = _triples(code, pair)
-    both = inside[1:] & inside[:-1]
-    if a.has_triple is not None:
-        both &= _maybe(a.has_triple, triple)
-    return code, pair, np.flatnonzero(inside), triple, np.flatnonzero(both)
-
-
-def _count(keys_of: Callable[[pa.Array], tuple[np.ndarray, ...]]):
-    """Keys, and what further columns say about each, with their numbers."""
-
-    def total(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        k, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-        k, first, n = np.unique(k, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, *(m[first] for m in more), n)], ["k", "h", "t"][: 1 + len(more)] + ["n"])
+    A word's code is its number, or its hash with the top bit set; an n-gram of numbers is
+    its key, unmixed.
+    """
+    at, seen = a.words.find(h)
+    code = np.where(seen, at.astype(_U), h | _TOP)
+    kept = seen if a.kept is None else seen | a.kept.maybe(h)
+    at = np.flatnonzero((doc[1:] == doc[:-1]) & kept[1:] & kept[:-1])
+    x, y = code[at], code[at + 1]
+    rare = (x | y) >= _TOP
+    pairs = Grams(at, np.where(rare, mix(mix(x * _U(0x9E3779B97F4A7C15) + y) | _TOP), _pair_key(x, y)), x, y, rare)
+    if a.kept_pairs is None:
+        return code, pairs, None
+    pairs = pairs.where(a.kept_pairs.maybe(pairs.key))
+    at = np.flatnonzero(pairs.at[1:] == pairs.at[:-1] + 1)
+    one, two = pairs.where(at), pairs.where(at + 1)
+    rare = one.rare | two.rare
+    exact = _TRIPLE | (one.head << _U(2 * _ID)) | (one.tail << _U(_ID)) | two.tail
+    key = mix(np.where(rare, mix(one.key * _U(0xD6E8FEB86659FD93) + two.key) | _TOP, exact))
+    triples = Grams(one.at, key, one.key, two.key, rare)
+    return code, pairs, triples if a.kept_triples is None else triples.where(a.kept_triples.maybe(key))
+
+
+def _parts_of(order: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Head and tail of n-grams of numbers."""
+    k = unmix(key)
+    x, y, z = (k >> _U(2 * _ID)) & _NUMBER, (k >> _U(_ID)) & _NUMBER, k & _NUMBER
+    return (y, z) if order == 2 else (_pair_key(x, y), _pair_key(y, z))
+
+
+_DEALT = "range int, once binary, more binary, times binary, rare binary"
+_NAMES = ["range", "once", "more", "times", "rare"]
+
+
+def _deal(grams_of: Callable[[pa.Array], Grams], bits: int):
+    """Keys of the texts by their leading `bits`: those that the task met once, others with how
+    often; and rare ones as rows of key, head, tail and number."""
+
+    def flush(held: list[Grams]) -> Iterator[pa.RecordBatch]:
+        key, head, tail, rare = (np.concatenate([g[i] for g in held]) for i in range(1, 5))
+        found = dealt(key[~rare], bits)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array([b""] * found.num_rows, pa.binary())], _NAMES)
+        k, first, n = np.unique(key[rare], return_index=True, return_counts=True)
+        rows = np.column_stack([k, head[rare][first], tail[rare][first], n.astype(_U)])
+        ranges, at = in_ranges(k, 64 - bits)
+        if ranges:
+            none = pa.array([b""] * len(ranges), pa.binary())
+            cells = [rows[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), none, none, none, pa.array(cells, pa.binary())], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for _, part in chunks(batch.column(0)):
-                held.append(keys_of(part))
-                size += len(held[-1][0])
+                held.append(grams_of(part))
+                size += len(held[-1].key)
                 if size > FLUSH:
-                    yield total(held)
+                    yield from flush(held)
                     held, size = [], 0
         if size:
-            yield total(held)
+            yield from flush(held)
 
     return run
 
 
-def _split(counts: DataFrame, shift: int, tag: int) -> DataFrame:
-    """Keys of the first and the last part of each n-gram, which keys of numbers hold."""
-    mask = F.lit((1 << shift) - 1)
-    part = lambda c, x: F.when(F.col("k") < 0, F.col(c)).otherwise(x.bitwiseAND(mask).bitwiseOR(F.lit(tag))).alias(c)
-    return counts.select("k", part("h", F.shiftright("k", _ID)), part("t", F.col("k")), "n")
+_COUNTED = "k bigint, h bigint, t bigint, n bigint, part int, bits binary"
+
+
+def _counted(order: int, least: int, size: int, parts: int):
+    """The n-grams of a range that occur `least` times, and the filter's part for those that do twice."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[c]])
+        k, n = add_up(read("once", _U), read("more", _U), read("times", "<u4"))
+        k, n = k[n >= least], n[n >= least]
+        h, t = _parts_of(order, k) if order > 1 else (k, k)
+        rare = read("rare", _U).reshape(-1, 4)
+        rk, first, which = np.unique(rare[:, 0], return_index=True, return_inverse=True)
+        rn = np.bincount(which, rare[:, 3].astype(np.float64), len(rk)).astype(np.int64)
+        keep = rn >= least
+        columns = [np.concatenate([a, b[keep]]) for a, b in ((k, rk), (h, rare[first, 1]), (t, rare[first, 2]), (n, rn))]
+        bits = _filter_part(columns[0][columns[3] >= 2], size, parts) if size else None
+        columns = [pa.array(c.view(np.int64)) for c in columns]
+        out = pa.table([*columns, pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], [x.split()[0] for x in _COUNTED.split(", ")])
+        one = pa.table([pa.nulls(1, pa.int64())] * 4 + [pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], out.column_names)
+        return pa.concat_tables([out, one])
+
+    return run
 
 
 def _hot(rows: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -165,29 +224,13 @@ def _hot(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     return [k[order], *(got[c].to_numpy().astype(np.float64)[order] for c in columns)]
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    size = 1 << min(BITS, max(6, int(8 * keys.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.sort(_place(batch.column(0).to_numpy().view(_U), size))
-            word, first = np.unique(at >> _U(6), return_index=True)
-            if len(at):
-                bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    got = keys.select("k").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size >> 6, _U)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(_U)
-    return out
-
-
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     """The automaton of a table of texts (text), and the table of what it leaves to a join:
     k, n (of words, else null), v.
 
     Three passes count words, pairs and triples of the whole corpus; each count is added up
-    in tasks before it is shuffled.  A triple can occur twice only if both its pairs do.
+    in tasks before it is shuffled.  A triple can occur twice only if both its pairs do, and a
+    pair only if both its words do.
     """
     spark = texts.sparkSession
     sc = spark.sparkContext
@@ -197,68 +240,94 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    counts = texts.mapInArrow(_count(lambda t: (tokens(t)[0],)), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = held(counts, "words")
+    def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
+        parts = max(3, min(30, int(about // RANGE).bit_length()))
+        size = min(BITS, max(parts + 3, int(8 * about).bit_length()))
+        size = size if size - parts >= 3 else 0
+        found = held(texts.mapInArrow(_deal(grams_of, parts), _DEALT).groupBy("range").applyInArrow(_counted(order, least, size, parts), _COUNTED), name)
+        bits = np.zeros((1 << parts, 1 << max(0, size - parts - 3)), np.uint8)
+        if size:
+            for r in found.where("bits is not null").select("part", "bits").collect():
+                bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        return found.where("k is not null").select("k", "h", "t", "n"), Filter(bits.ravel(), size, parts) if size else None
+
+    def single(t: pa.Array) -> Grams:
+        h = tokens(t)[0]
+        return Grams(h, h, h, h, np.zeros(len(h), bool))
+
+    about = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counts, kept = counted(1, "words", single, 1, about // 6)
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n = n or 0
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    a = Automaton(n, v, discount, *_hot(counts.where("n >= 2"), "n"))
+    hot, number = _hot(counts.where("n >= 2"), "n")
+    # Where all words that occur twice are hot, no other has to be looked for.
+    a = Automaton(n, v, discount, Table(hot), number, None if len(hot) == v - n1 else kept)
 
-    def grams(name: str) -> DataFrame:
+    def grams(order: int) -> tuple[DataFrame, Filter | None]:
         sent = sc.broadcast(a)
 
-        def keys_of(t: pa.Array) -> tuple[np.ndarray, ...]:
+        def grams_of(t: pa.Array) -> Grams:
             h, doc, _ = tokens(t)
-            code, pair, at2, triple, at3 = _grams(sent.value, h, doc)
-            key, part, at = (pair, code, at2) if name == "pairs" else (triple, pair, at3)
-            k = key[at]
-            rare = k >= _TOP
-            return k, np.where(rare, part[at], _U(0)), np.where(rare, part[at + 1], _U(0))
-
-        found = texts.mapInArrow(_count(keys_of), "k bigint, h bigint, t bigint, n bigint")
-        found = found.groupBy("k").agg(F.max("h").alias("h"), F.max("t").alias("t"), F.sum("n").alias("n")).where("n >= 2")
-        found = held(found, name)
-        sent.destroy()
-        return _split(found, _ID, 0) if name == "pairs" else _split(found, 2 * _ID, int(_PAIR))
+            return _grams(sent.value, h, doc)[order - 1]
 
-    pairs = grams("pairs")
-    a.has_pair = _bitmap(pairs)
-    triples = grams("triples")
-    a.has_triple = _bitmap(triples)
+        found = counted(order, f"order-{order}", grams_of, 2, n)
+        sent.destroy()
+        return found
 
-    # Own mass and mass left over of each history, and the values.
-    hot = sc.broadcast(a.words)
+    pairs, a.kept_pairs = grams(2)
+    triples, a.kept_triples = grams(3)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(_U)
-            at, seen = find(hot.value, h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(seen, at.astype(_U), h | _TOP).view(np.int64)), batch.column(1)], ["k", "n"])
-
-    taken = lambda rows: rows.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("taken")).withColumnRenamed("h", "k")
+    # Own mass and mass left over of each history, and the values.  Hot words' are in memory.
+    taken = lambda rows: rows.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
     left = F.greatest(1 - F.coalesce(F.col("taken") / F.col("n"), F.lit(0.0)), F.lit(1e-12))
-    states = counts.where("n >= 2").mapInArrow(coded, "k bigint, n bigint").join(taken(pairs), "k", "left")
-    states = held(states.select("k", "n", left.alias("left"), empty_p(a, F.col("n")).alias("p")), "states")
-    by_h = states.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
-    by_t = states.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
-    arcs = pairs.join(by_h, "h").join(by_t, "t")
+    by_word = held(taken(pairs), "taken")
+    of_hot = by_word.where("h >= 0").toArrow()
+    hot_taken = np.zeros(len(hot))
+    hot_taken[of_hot["h"].to_numpy()] = of_hot["taken"].to_numpy().astype(np.float64)
+    hot_left = np.maximum(1 - hot_taken / np.maximum(number, 1), 1e-12)
+    spare = discount * v / n / (v + 1) if n else 1.0
+    hot_p = np.maximum(number - discount, 0) / max(n, 1) + spare
+    a.values = np.log10(hot_p) + np.log10(hot_left)
+
+    code = F.col("k").bitwiseOR(F.lit(-(1 << 63))).alias("k")
+    rare = counts.where("n >= 2").select("k", "n")
+    rare = rare.join(F.broadcast(spark.createDataFrame(pa.table({"k": hot.view(np.int64)}))), "k", "left_anti") if len(hot) < v - n1 else rare.limit(0)
+    rare = rare.select(code, "n").join(by_word.where("h < 0").withColumnRenamed("h", "k"), "k", "left")
+    rare = held(rare.select("k", "n", left.alias("left"), empty_p(a, F.col("n")).alias("p")), "states")
+
+    facts = sc.broadcast((number, hot_left, hot_p))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n and left of the head and p of the tail; null where they are not hot."""
+        for batch in batches:
+            h, t = (batch.column(i).to_numpy() for i in (1, 2))
+            of = lambda x, at: pa.array(x[np.maximum(at, 0)], mask=at < 0) if len(x) else pa.nulls(len(at), pa.float64())
+            number, left, p = facts.value
+            yield pa.RecordBatch.from_arrays([*batch.columns, of(number, h), of(left, h), of(p, t)], ["k", "h", "t", "n", "n_h", "left_h", "p_t"])
+
+    known = pairs.mapInArrow(told, "k bigint, h bigint, t bigint, n bigint, n_h double, left_h double, p_t double")
+    other = known.where("n_h is null or p_t is null")
+    other = other.join(rare.select(F.col("k").alias("h"), F.col("n").alias("n_r"), F.col("left").alias("left_r")), "h", "left").join(rare.select(F.col("k").alias("t"), F.col("p").alias("p_r")), "t", "left")
+    other = other.select("k", "n", F.coalesce("n_h", "n_r").alias("n_h"), F.coalesce("left_h", "left_r").alias("left_h"), F.coalesce("p_t", "p_r").alias("p_t"))
+    arcs = known.where("n_h is not null and p_t is not null").select("k", "n", "n_h", "left_h", "p_t")
+    arcs = arcs.union(other.where("n_h is not null and p_t is not null")) if len(hot) < v - n1 else arcs
     lower = F.col("left_h") * F.col("p_t")
     arcs = arcs.select("k", "n", lower.alias("lower"), ((F.col("n") - DISCOUNT) / F.col("n_h") + lower).alias("p"))
-    arcs = arcs.join(taken(triples), "k", "left").select("k", "n", "p", left.alias("left"), (F.log10(F.col("p") / F.col("lower")) + F.log10(left)).alias("v"))
+    arcs = arcs.join(taken(triples).withColumnRenamed("h", "k"), "k", "left").select("k", "n", "p", left.alias("left"), (F.log10(F.col("p") / F.col("lower")) + F.log10(left)).alias("v"))
     arcs = held(arcs, "arcs")
     by_h = arcs.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
     by_t = arcs.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
     gain = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("n_h") / (F.col("left_h") * F.col("p_t")))
     last = held(triples.join(by_h, "h").join(by_t, "t").select("k", "n", gain.alias("v")), "last")
 
-    a.values = np.zeros(len(a.words))
-    own = states.where("k >= 0").select("k", (F.log10("p") + F.log10("left")).alias("v")).toArrow()
-    a.values[own["k"].to_numpy()] = own["v"].to_numpy()
-    a.pairs, a.pair_values = _hot(arcs, "v")
-    a.triples, a.triple_values = _hot(last, "v")
+    for order, rows in (("pair", arcs), ("triple", last)):
+        keys, values = _hot(rows, "v")
+        setattr(a, f"{order}s", Table(keys))
+        setattr(a, f"{order}_values", values)
     nothing = F.lit(None).cast("bigint").alias("n")
-    table = states.where("k < 0").select("k", "n", F.log10("left").alias("v"))
-    table = table.union(counts.where("n = 1").select(F.col("k").bitwiseOR(F.lit(-(1 << 63))), "n", F.lit(0.0)))
+    table = rare.select("k", "n", F.log10("left").alias("v"))
+    table = table.union(counts.where("n = 1").select(code, "n", F.lit(0.0)))
     return a, table.union(arcs.select("k", nothing, "v")).union(last.select("k", nothing, "v"))
 
 
@@ -268,13 +337,13 @@ def empty_p(a: Automaton, c: Column) -> Column:
     return F.greatest(c - a.discount, F.lit(0.0)) / F.lit(float(max(a.n, 1))) + F.lit(spare)
 
 
-_NAMES = ["doc_id", "row", "k", "times", "words", "n_tokens", "n_known", "base", "score"]
-_ROWS = "doc_id bigint, row bigint, k bigint, times bigint, words bigint, n_tokens bigint, n_known bigint, base double, score double"
+_OWN = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_ROWS = "row bigint, k bigint, word boolean, own struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
 
 def _traverse(model):
-    """Per document a row of its tokens with hot values, and rows of its other n-grams, where
-    `words` is `times` for words and 0 for longer ones."""
+    """Per document a row of what its tokens and hot n-grams bring, whose k is its row's number,
+    and a row for each of its other n-grams; `word` tells words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = model.value
@@ -282,31 +351,29 @@ def _traverse(model):
             for start, part in chunks(batch.column(1)):
                 h, doc, first = tokens(part)
                 docs = len(first) - 1
-                code, pair, at2, triple, at3 = _grams(a, h, doc)
+                code, pairs, triples = _grams(a, h, doc)
                 known = code < _TOP
                 lp, base = np.zeros(len(h)), np.zeros(len(h))
                 wid = code[known].astype(np.int64)
                 lp[known] = a.values[wid]
                 base[known] = a.base_logp(a.counts[wid])
-                rest = []
-                for keys, at, hot, values in ((pair, at2, a.pairs, a.pair_values), (triple, at3, a.triples, a.triple_values)):
-                    place, seen = find(hot, keys[at])
-                    lp[at[seen]] += values[place[seen]]
-                    rest.append((doc[at[~seen]], keys[at[~seen]]))
+                rest = [(doc[~known], code[~known])]
+                for g, hot, values in ((pairs, a.pairs, a.pair_values), (triples, a.triples, a.triple_values)):
+                    if g is None:
+                        continue
+                    place, seen = hot.find(g.key)
+                    lp[g.at[seen]] += values[place[seen]]
+                    rest.append((doc[g.at[~seen]], g.key[~seen]))
                 lo = first[:-1]
                 sums = [np.add.reduceat(x, lo) for x in (known.astype(np.int64), base, lp)]  # every document has its end
-                ids, rows = batch.column(0).slice(start, docs), batch.column(2).slice(start, docs).to_numpy()
-                none = pa.nulls(docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows), none, none, none, pa.array(np.diff(first)), *(pa.array(x) for x in sums)], _NAMES)
-                for words, d, k in ((1, doc[~known], code[~known]), *((0, *r) for r in rest)):
-                    if not len(k):
-                        continue
-                    order = np.lexsort((k, d))
-                    d, k = d[order], k[order]
-                    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))))
-                    times = np.diff(np.append(at, len(k)))
-                    none, zero = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[at])), pa.array(rows[d[at]]), pa.array(k[at].view(np.int64)), pa.array(times), pa.array(times * words), none, none, zero, zero], _NAMES)
+                rows = batch.column(2).slice(start, docs)
+                own = pa.StructArray.from_arrays([batch.column(0).slice(start, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], fields=list(_OWN))
+                yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.zeros(docs, bool)), own], ["row", "k", "word", "own"])
+                rows = rows.to_numpy()
+                d, k = (np.concatenate(x) for x in zip(*rest, strict=True))
+                if len(k):
+                    word = np.arange(len(k)) < len(rest[0][0])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(k.view(np.int64)), pa.array(word), pa.nulls(len(k), _OWN)], ["row", "k", "word", "own"])
 
     return run
 
@@ -315,26 +382,29 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """log10 probabilities of whole texts: doc_id, n_tokens, n_known, train_tokens,
     base_score, score.
 
-    docs: doc_id, text; the rows where `training` holds are learned from, all are scored.
-    Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end; null and empty
-    texts have the end only.  base_score adds one to each count; score is the automaton's,
-    with the rest of its mass shared by all unseen tokens as one.  Without training rows both
-    are 0.  A row for each input row; rows equal in doc_id and text have one result each.
+    docs: doc_id, text; the rows where `training` holds are learned from, all are scored; other
+    columns are ignored.  Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and
+    one end; null and empty texts have the end only.  base_score adds one to each count; score
+    is the automaton's, with the rest of its mass shared by all unseen tokens as one.  Without
+    training rows both are 0.  A row for each input row; rows equal in doc_id and text have one
+    result each.  Long texts are read in whole; a task holds one at a time.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     a, values = train(docs.where("training").select("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(_traverse(docs.sparkSession.sparkContext.broadcast(a)), _ROWS)
+    # A document's own row has its own key, so that these rows do not meet in one task.
     rows = rows.join(values, "k", "left")
     c = F.coalesce("n", F.lit(0))
-    base = F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))
-    one = F.log10(empty_p(a, c))
+    word = F.col("word")
     nil = F.lit(0.0)
-    out = rows.groupBy("doc_id", "row").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(c > 0, F.col("words")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", base * F.col("words"), nil)).alias("base_score"),
-        F.sum(F.coalesce("score", one * F.col("words") + F.coalesce("v", nil) * F.col("times"), nil)).alias("score"),
-        F.count_if(F.col("times").isNull()).alias("rows"),
+    other = F.col("own").isNull()
+    out = rows.groupBy("row").agg(
+        F.max("own.doc_id").alias("doc_id"),
+        F.sum("own.n_tokens").alias("n_tokens"),
+        F.sum(F.when(other, F.when(word & (c > 0), 1).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
+        F.sum(F.when(other, F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
+        F.sum(F.when(other, F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil)).otherwise(F.col("own.score"))).alias("score"),
+        F.count("own").alias("rows"),
     )
     # Rows equal in doc_id and text met in one group: one result each again.
     each = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))

@@ -32,6 +32,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What `mix` made these of."""
+    h = h.astype(_U, copy=True)
+    h ^= (h >> _U(31)) ^ (h >> _U(62))
+    h *= _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h ^= (h >> _U(27)) ^ (h >> _U(54))
+    h *= _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    h ^= (h >> _U(30)) ^ (h >> _U(60))
+    return h
+
+
+class Table:
+    """Sorted 64-bit hashes, found through their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length())
+        self._shift = _U(64 - bits)
+        self._first = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << self._shift).astype(np.int32)
+        self._first = np.append(self._first, np.int32(len(keys)))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each wanted hash, and whether it is there; -1 where it is not."""
+        top = (wanted >> self._shift).astype(np.int64)
+        at, end = self._first[top], self._first[top + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            here = at[todo]
+            found = self.keys[here] == wanted[todo]
+            out[todo[found]] = here[found]
+            todo = todo[~found]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out, out >= 0
+
+
+def in_ranges(keys: np.ndarray, shift: int) -> tuple[list[int], list[int]]:
+    """The ranges, keys >> shift, of sorted keys, and where each begins; with the end."""
+    ranges = keys >> _U(shift)
+    first = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return ranges[first].astype(np.int64).tolist(), [*first.tolist(), len(keys)]
+
+
+def dealt(keys: np.ndarray, bits: int, whole: bool = True) -> pa.RecordBatch:
+    """Hashes by their leading `bits`: rows (range, once, more, times) of those that are here
+    once, and of the others with their numbers.  If not `whole`, only the next 32 bits are kept."""
+    k, n = np.unique(keys if whole else keys >> _U(32 - bits), return_counts=True)
+    rows: list[tuple] = []
+    for single in (True, False):
+        some = (n == 1) == single
+        part, times = k[some], n[some].astype("<u4")
+        ranges, at = in_ranges(part, 64 - bits if whole else 32)
+        part = part if whole else (part & _U(0xFFFFFFFF)).astype("<u4")
+        for r, lo, hi in zip(ranges, at[:-1], at[1:], strict=True):
+            v = part[lo:hi].tobytes()
+            rows.append((r, v, b"", b"") if single else (r, b"", v, times[lo:hi].tobytes()))
+    r, once, more, times = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), *(pa.array(x, pa.binary()) for x in (once, more, times))], ["range", "once", "more", "times"])
+
+
+def add_up(once: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a range and their numbers, from what `dealt` made of several parts."""
+    keys, n = np.unique(once, return_counts=True)
+    repeated, which = np.unique(more, return_inverse=True)
+    if not len(repeated):
+        return keys, n
+    total = np.bincount(which, times, len(repeated)).astype(np.int64)
+    at = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
+    both = repeated[at] == keys
+    total[at[both]] += n[both]
+    return np.concatenate([keys[~both], repeated]), np.concatenate([n[~both], total])
+
+
 #: One random value per byte, so that the polynomial is not over small numbers.
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _BASE)
 
