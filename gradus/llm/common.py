@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: Rows of up to two long columns that may be broadcast: about 64 MB in the JVM.
 BROADCAST_ROWS = 1_000_000
 
+_temporary: dict[str, str] = {}
+
 #: White space of the rule `[^\x20\x09-\x0D]+` for words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -24,15 +27,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    On a single machine, in local mode, a temporary folder stands for it; a cluster must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="shared-")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if not named and app not in _temporary:
+        _temporary[app] = tempfile.mkdtemp(prefix="shared-")
+    return named or _temporary[app]
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate data, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,13 +66,3 @@ def space_words(c: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a string column; null and blank texts have none."""
     parts = F.split(F.coalesce(c, F.lit("")), SPACE)
     return F.filter(parts, lambda w: w != "")
-
-
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """`df`, in a session whose Arrow batches have at most `rows` rows: with texts or sets in
-    the rows, the default of 10,000 holds a large part of a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
-        conf.set(name, str(rows))
-    return df

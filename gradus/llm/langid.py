@@ -10,16 +10,17 @@ above what held-out texts of that language have is rejected.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import small_batches
+from pyspark.sql.types import StructType
 
 from .words import mix
 
@@ -33,10 +34,16 @@ DEVIATIONS = 6.0
 #: Words whose costs a task remembers.
 CACHE = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks that follow, by Unicode category.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BEGIN, _END = 1, 2
 
 
+def split(text: str | None) -> list[str]:
+    """Words of a text, in lower case: the same for training and prediction."""
+    return _WORD.findall(text.lower()) if text else []
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -161,24 +168,26 @@ def word_costs(model: Model, words: list[str]) -> np.ndarray:
     return -np.add.reduceat(lp, np.cumsum(sizes) - sizes, axis=0)
 
 
-def _score(model_of, ids: str):
-    """(id, text) rows to (id, lang_pred, score, cost, n_symbols, rejected)."""
+JUDGED = "lang_pred string, score double, cost double, n_symbols bigint, rejected boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _judge(model_of, text_at: int):
+    """Add the columns of `JUDGED` to rows whose text is at `text_at`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_of.value
         known: dict[str, int] = {}
-        costs = np.zeros((0, len(model.langs)))
+        costs = np.zeros((0, len(model.langs) + 1))
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 if len(known) > CACHE:
                     known, costs = {}, costs[:0]
                 fresh: list[str] = []
                 docs = []
-                for text in part["text"]:
-                    found = _WORD.findall(text.lower()) if text and model.langs else []
+                for text in part.column(text_at).to_pylist():
                     row = []
-                    for w in found:
+                    for w in split(text) if model.langs else ():
                         i = known.get(w)
                         if i is None:
                             i = known[w] = len(known)
@@ -186,11 +195,11 @@ def _score(model_of, ids: str):
                         row.append(i)
                     docs.append(row)
                 if fresh:
-                    costs = np.concatenate([costs, np.column_stack([word_costs(model, fresh), [len(w) + 1 for w in fresh]])] if costs.size else [np.column_stack([word_costs(model, fresh), [len(w) + 1 for w in fresh]])])
+                    costs = np.concatenate([costs, np.column_stack([word_costs(model, fresh), [len(w) + 1 for w in fresh]])])
                 rows = []
                 for row in docs:
                     if not row:
-                        rows.append(("und", 0.0, None, 0, True))
+                        rows.append(("und", 0.0, None, 0, bool(model.langs)))
                         continue
                     total = costs[row].sum(axis=0)
                     n = int(total[-1])
@@ -199,13 +208,24 @@ def _score(model_of, ids: str):
                     p = 1 / np.exp2(-(ce - ce[best]) * min(n, 60)).sum()
                     limit = model.mean[best] + DEVIATIONS * (model.spread[best] + model.noise[best] / np.sqrt(n))
                     rows.append((model.langs[best], float(p), float(ce[best]), n, bool(ce[best] > limit)))
-                out = pd.DataFrame(rows, columns=["lang_pred", "score", "cost", "n_symbols", "rejected"])
-                out.insert(0, ids, part[ids].to_numpy())
-                yield out
+                kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+                more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(x.split()[0] for x in JUDGED.split(", "))])
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to words of each language and their numbers."""
+    for batch in batches:
+        found: Counter = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found.update((lang, w) for w in split(text))
+        if found:
+            lang, w = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(w), pa.array(list(found.values()), pa.int64())], ["lang", "w", "n"])
+
+
 def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
     """Fit a model to text and lang of labelled documents (doc_id, text, lang).
 
@@ -223,8 +243,7 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
     apart = per_lang / (per_lang + CALIBRATION_DOCS)
     fit = rows.where(u < rate * apart)
     calibrate = rows.where((u >= rate * apart) & (u < rate))
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W\d_]+)"), 1))
-    counts = fit.select("lang", word.alias("w")).groupBy("lang", "w").count()
+    counts = fit.select("lang", "text").mapInArrow(_counted, "lang string, w string, n bigint").groupBy("lang", "w").agg(F.sum("n").alias("count"))
     letters = counts.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).first()[0]
     alphabet = letters + 2
     # One task a language, with the distinct words of its sample; only the finished arrays reach the driver.
@@ -240,24 +259,34 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
     n = len(langs)
     model = Model(langs, list(keys), list(probs), list(contexts), list(weights), -np.log2(alphabet) - 8, np.full(n, np.inf), np.zeros(n), np.zeros(n))
     sent = spark.sparkContext.broadcast(model)
-    score = _score(sent, "lang")
-    seen = calibrate.select("lang", "text").mapInPandas(score, "lang string, lang_pred string, score double, cost double, n_symbols bigint, rejected boolean").where("lang = lang_pred").select("lang", "cost", "n_symbols").toPandas()
+    seen = judged(calibrate.select("lang", "text"), sent).where("lang = lang_pred").select("lang", "cost", "n_symbols").toPandas()
     sent.destroy()
+    # A language with few calibration texts takes the limits of all languages' together.
     for i, lang in enumerate(langs):
         own = seen[seen["lang"] == lang]
+        own = own if len(own) >= 10 else seen
         if len(own) < 10:
-            continue  # too few to calibrate: nothing is rejected for its cost
+            continue  # too few in all: nothing is rejected for its cost
         long = own["cost"][own["n_symbols"] >= own["n_symbols"].median()]
         model.mean[i], model.spread[i] = own["cost"].median(), max(0.05, float(long.std()))
         model.noise[i] = max(0.5, float(((own["cost"] - model.mean[i]) * np.sqrt(own["n_symbols"])).std()))
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), cost (bits a symbol), n_symbols and rejected per row.
+def judged(docs: DataFrame, model) -> DataFrame:
+    """`docs` (text, any others) with the columns of `JUDGED`, which replace any of these names.
 
-    Null texts and texts without letters are `und` with score 0, cost null, and rejected.
-    Whole texts are read; ties between languages go to the first by name.
+    Null texts and texts without letters are `und` with score 0, cost null, and rejected.  A
+    model that knows no language gives `und` to all and rejects nothing.  Whole texts are read,
+    each row by itself; ties between languages go to the first by name.
     """
-    run = _score(docs.sparkSession.sparkContext.broadcast(model), "doc_id")
-    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, cost double, n_symbols bigint, rejected boolean")
+    docs = docs.drop(*(x.split()[0] for x in JUDGED.split(", ")))
+    sent = docs.sparkSession.sparkContext.broadcast(model) if isinstance(model, Model) else model
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(JUDGED).fields])
+    return docs.mapInArrow(_judge(sent, docs.columns.index("text")), schema)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), cost (bits a symbol), n_symbols and rejected per row,
+    as `judged` says; other columns of docs are ignored."""
+    return judged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model).drop("text")

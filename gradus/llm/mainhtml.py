@@ -12,12 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """the of and to in a is it that for on with as was are be this by at from or an not have but they which you
@@ -35,15 +33,17 @@ LINKED = 0.5
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas dialog menu audio video math label fieldset".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas dialog menu audio video".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HINTED = frozenset("div section ul ol dl p span table td header figure a h2 h3 h4".split())
 # Words of class and id names, and roles.
 FURNITURE = frozenset(
     """ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright
-    disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo
+    disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo
     promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split()
 )
+#: Words that say nothing of what a part is for.
+NEUTRAL = frozenset("area block bottom box container content fixed global group inner item left list main outer page panel right section site top wrap wrapper zone".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
@@ -59,7 +59,7 @@ class Block:
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, in an article, in a link
         self.parts: list[tuple[str, bool]] = []
         self.blocks: list[Block] = []
         self.heading = False
@@ -77,12 +77,13 @@ class _Blocks(HTMLParser):
     def _furniture(self, tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
         if tag in DROPPED or "hidden" in attrs or (attrs.get("aria-hidden") == "true" and tag in BLOCKS) or attrs.get("role") in ROLES:
             return True
-        names = set(re.split(r"[\s_-]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        names = [set(re.split(r"[_-]+", x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
         if tag == "header":
             return not inside
         if tag == "article":
-            return bool(names & {"comment", "reply", "ad", "related", "promo"})
-        return tag in HINTED and bool(names & FURNITURE) and not names & CONTENT
+            return any(n & {"comment", "reply", "ad", "related", "promo"} for n in names)
+        # A name says furniture if all of its words do, or say nothing: not share-price or has-sidebar.
+        return tag in HINTED and any(n & FURNITURE and n <= FURNITURE | NEUTRAL for n in names) and not any(n <= CONTENT for n in names)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -99,11 +100,15 @@ class _Blocks(HTMLParser):
                     break
         if tag in ("article", "main") or tag == "body":
             # what an unclosed menu or header swallowed ends here
-            while self.stack and self.stack[-1][1] and not any(t == "article" for t, _, _ in self.stack):
+            while self.stack and self.stack[-1][1] and not any(x[0] == "article" for x in self.stack):
                 self.stack.pop()
+        if tag == "a":  # a new one ends one that is open
+            self.stack = [x if x[0] != "a" else ("", *x[1:]) for x in self.stack]
         dropped, inside = self._state()
-        dropped = dropped or self._furniture(tag, dict(attrs), inside)
-        self.stack.append((tag, dropped, inside or tag in ("article", "main") and not dropped))
+        linked = bool(self.stack) and self.stack[-1][3] and tag != "a"
+        named = dict(attrs)
+        dropped = dropped or self._furniture(tag, named, inside)
+        self.stack.append((tag, dropped, inside or tag in ("article", "main") and not dropped, linked or tag == "a" and "href" in named))
         self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -124,7 +129,7 @@ class _Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
-            self.parts.append((data, any(t == "a" for t, _, _ in self.stack)) if data else (" ", False))
+            self.parts.append((data, bool(self.stack) and self.stack[-1][3]))
 
 
 def page_blocks(html: str) -> list[Block]:
@@ -138,8 +143,18 @@ def page_blocks(html: str) -> list[Block]:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def label(block: Block, has_article: bool) -> bool | None:
-    """First pass: True for main text, False for furniture, None for undecided."""
+def stop_density(text: str) -> float:
+    words = _LETTERS.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def label(block: Block, has_article: bool, known: bool) -> bool | None:
+    """First pass: True for main text, False for furniture, None for undecided.
+
+    `known`: whether the page has stop words at all.  Where it has not, its language is none of
+    those listed, and length and links decide; so they do for long blocks of an article, which
+    may hold lists or code.
+    """
     if has_article and not block.inside:
         return False
     n = len(block.text)
@@ -147,11 +162,9 @@ def label(block: Block, has_article: bool) -> bool | None:
         return False
     if n < SHORT or block.heading:
         return None
-    words = _LETTERS.findall(block.text.lower())
-    density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-    if density >= DENSE or density >= SPARSE and n > LONG:
+    density = stop_density(block.text)
+    if density >= DENSE or density >= SPARSE and n > LONG or not known or block.inside and n > LONG:
         return True
-    # an article's own blocks of unknown words are left to their neighbours
     return None if block.inside or density >= SPARSE else False
 
 
@@ -159,14 +172,15 @@ def main_text(html: str) -> str:
     """Main text: blocks joined by two line feeds; empty if there is none."""
     blocks = page_blocks(html)
     has_article = any(b.inside for b in blocks)
-    first = [label(b, has_article) for b in blocks]
-    decided = [i for i, x in enumerate(first) if x is not None]
+    known = stop_density(" ".join(b.text for b in blocks if len(b.text) >= SHORT)) >= SPARSE / 2
+    first = [label(b, has_article, known) for b in blocks]
+    # Blocks of an article have neighbours there; elsewhere all blocks are neighbours.
+    decided = [i for i, x in enumerate(first) if x is not None and (blocks[i].inside or not has_article)]
     out = []
     for i, (b, x) in enumerate(zip(blocks, first, strict=True)):
         if x is None:
-            best = min((abs(i - j), not first[j]) for j in _around(decided, i)) if decided else (0, not b.inside and not b.heading and len(b.text) < SHORT)
-            # inside an article there is no furniture left to inherit from but lists of links
-            x = not best[1] or b.inside
+            alone = b.inside or b.heading or len(b.text) >= SHORT
+            x = not min((abs(i - j), not first[j]) for j in _around(decided, i))[1] if decided else alone
         if x:
             out.append(b.text)
     return "\n\n".join(out)
@@ -184,16 +198,17 @@ def _around(decided: list[int], i: int) -> list[int]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page's main text.
 
-    pages: page_id, url, html.  Null html is empty, which gives empty text; whole pages are
-    read; each row has its own result.  Markup that is not well-formed is read as far as it
+    pages: page_id, url, html; other columns are ignored.  Null html is empty, which gives empty
+    text; whole pages are read; each row, repeated ones too, has its own result; no rows give none.  Markup that is not well-formed is read as far as it
     makes sense: unclosed paragraphs end at the next, unclosed menus at the article.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": [main_text(h) if h else "" for h in part["html"]]})
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                texts = pa.array([main_text(h) if h else "" for h in part.column(2).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["page_id", "url", "text"])
 
-    out = small_batches(pages).select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string")
+    out = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -12,12 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
@@ -262,17 +260,20 @@ def _joined(spans: list) -> str:
 def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each whole text.
 
-    docs: doc_id, text.  Counts and digest are of the base patterns; spans has the field's as
-    well.  Null texts are empty: no spans, and the digest of the empty string.  The field is
+    docs: doc_id, text; other columns are ignored.  Counts and digest are of the base patterns;
+    spans has the field's as well.  Null texts are empty: no spans, and the digest of the empty
+    string.  A row for each input row, repeated ones too, by its own whole text; no rows give none.  The field is
     fitted to the table `labelled()` on the driver, and sent to tasks (some hundred kB).
     """
     held = docs.sparkSession.sparkContext.broadcast(field or fit())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
-                rows = [([sum(k == i for k, _, _ in b) for i in range(4)], hashlib.sha256(_joined(b).encode()).hexdigest(), _joined(x)) for b, x in find([t or "" for t in part["text"]], held.value)]
-                yield pd.DataFrame({"doc_id": part["doc_id"]} | {f"n_{k}": [r[0][i] for r in rows] for i, k in enumerate(KINDS)} | {"base_sha256": [r[1] for r in rows], "spans": [r[2] for r in rows]})
-
-    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found = find([t or "" for t in part.column(1).to_pylist()], held.value)
+                counts = [pa.array([sum(k == i for k, _, _ in b) for b, _ in found], pa.int64()) for i in range(len(KINDS))]
+                digests = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array([_joined(x) for _, x in found])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

@@ -69,7 +69,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    return secrets.findings(docs, found=ledger.update(docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import cut, small
 
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
@@ -60,50 +60,86 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
 
 
+FOUND = f"blob string, kind string, version int, found {SPANS}"
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan the blobs of `docs` that `ledger` (blob, kind, version) lacks for a rule's version.
 
-    Each content is read once, however many paths hold it.  Returns the pairs that are new
-    to the ledger (blob, kind, version), and the findings in them (blob, found: sorted spans)
-    of blobs with any.  Append both to what earlier runs kept.
+    docs: doc_id, text; several texts of a doc_id are its versions, each a blob.  Each content
+    is read once, however many paths hold it.  Returns the triples that are new to the ledger
+    (blob, kind, version), and the findings in them (`FOUND`, a row for each triple with any).
+    Append both to what earlier runs kept.  Null texts are the empty blob; no rows give none.
     """
     held = blobs(docs)
-    # One path stands for each blob; rows that repeat its doc_id may be read once more.
-    first = held.groupBy("blob").agg(F.min(F.struct("doc_id")).alias("at")).select("blob", F.col("at.doc_id").alias("doc_id"))
     kinds = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    fresh = first.select("blob", "doc_id", F.inline(kinds))
+    fresh = held.select("blob").distinct().select("blob", F.inline(kinds))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # Copies of a content are left out where they are read; rows that repeat its first path are
+    # read once more.
+    named = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    first = named.groupBy("blob").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = small(cut(named.join(first, "blob").where("row <> first").select("row").distinct()))
+    unseen = rows.join(copies, "row", "left_anti").select(F.sha2("text", 256).alias("blob"), "text")
     if ledger is not None:
-        fresh = fresh.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        first = fresh.groupBy("blob", "doc_id").agg(F.collect_set("kind").alias("kinds"))
-    wanted = small(first.select(F.col("doc_id").alias("at_id"), *(["blob", "kinds"] if ledger is not None else [])).distinct())
-    if ledger is None:
-        unseen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")), "left_semi").withColumn("blob", F.sha2("text", 256))
-    else:
-        unseen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.sha2("text", 256) == F.col("blob")))
+        fresh = cut(fresh.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti"))
+        unseen = unseen.join(small(cut(fresh.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))), 100_000), "blob")
     text = F.col("text")
     none = F.array().cast(SPANS)
-    parts = [spans(text, r, i) if ledger is None else F.when(F.array_contains("kinds", r.kind), spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    found = unseen.where(F.lit("|".join(f"(?:{r.pattern})" for r in rules)).isNotNull() & F.greatest(*(text.rlike(r.pattern) for r in rules)))
-    found = found.select("blob", F.array_sort(F.flatten(F.array(*parts))).alias("found")).where("size(found) > 0").dropDuplicates(["blob"])
-    return fresh.select("blob", "kind", "version"), found
+    wanted = lambda r: F.lit(True) if ledger is None else F.array_contains("kinds", r.kind)
+    each = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(wanted(r), spans(text, r, i)).otherwise(none).alias("found")) for i, r in enumerate(rules)))
+    found = unseen.where(F.greatest(*(text.rlike(r.pattern) for r in rules))).select("blob", F.inline(each)).where("size(found) > 0")
+    return fresh, found.dropDuplicates(["blob", "kind", "version"])
+
+
+class Ledger:
+    """What earlier scans read and found, as two tables in a folder that executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._seen, self._found = spark, f"{folder}/seen", f"{folder}/found"
+
+    def _table(self, path: str, schema: str) -> DataFrame:
+        """The table, empty if nothing was written."""
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+        return self._spark.read.schema(schema).parquet(path) if there else self._spark.createDataFrame([], schema)
+
+    def seen(self) -> DataFrame:
+        return self._table(self._seen, "blob string, kind string, version int")
+
+    def found(self) -> DataFrame:
+        return self._table(self._found, FOUND)
+
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scan what is new, and return all findings so far.
+
+        Findings are written before the ledger names their blobs: after a failure between, they
+        are found again, and `findings` takes one of equal ones.
+        """
+        fresh, found = scan(docs, rules, self.seen())
+        fresh = cut(fresh)
+        found.write.mode("append").parquet(self._found)
+        fresh.write.mode("append").parquet(self._seen)
+        return self.found()
 
 
 def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, known: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, found: DataFrame | None = None) -> DataFrame:
     """Findings of every path: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    docs: doc_id, text.  `known` (blob, found) and `ledger` are what earlier scans kept; with
-    them only what is new is scanned.  A row for each input row; null texts are empty; copies
-    share what one scan of their content found; texts without findings have zero counts and
-    the SHA-256 of the empty string.
+    docs: doc_id, text; other columns are ignored.  `found` (`FOUND`) is what scans of all of
+    docs kept; without it they are scanned here.  Only findings of the rules' own versions
+    count: those of older ones are replaced.  A row for each input row; null texts are empty;
+    copies share what one scan of their content found; texts without findings have zero counts
+    and the SHA-256 of the empty string.
     """
-    _, found = scan(docs, rules, ledger)
-    if known is not None:
-        found = known.union(found).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    out = blobs(docs).join(found, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+    found = scan(docs, rules)[1] if found is None else found
+    now = F.greatest(F.lit(False), *((F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules))
+    found = found.where(now).dropDuplicates(["blob", "kind", "version"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    out = blobs(docs).join(small(cut(found), 100_000), "blob", "left").select("doc_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return out.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))

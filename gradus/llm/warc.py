@@ -14,19 +14,21 @@ import urllib.parse
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, small_batches
+from .common import cut, small
 
 #: Payload bytes of an archive, about; a longer record has one of its own.
 ARCHIVE_BYTES = 16 << 20
 #: Pages that the dictionary is trained on, chosen by hash, and its size.
 SAMPLE, DICTIONARY_BYTES = 300, 64 << 10
+#: Characters of each that are read for it.
+SAMPLE_CHARS = 1 << 16
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 1000
 
@@ -38,20 +40,32 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest (SHA-1), record_type, refers_to: of equal payloads of at least
-    LEAST_SHARED bytes the largest page_id's is the response, and others revisit it."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    LEAST_SHARED bytes the largest page_id's is the response, and others revisit it.
+
+    pages: page_id, url, html; other columns are ignored.  Null html is empty.  Rows without
+    page_id may revisit, but no row refers to them; rows that repeat the largest page_id and
+    its payload are all responses.  A row for each input row; no rows give none.
+    """
+    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     facts = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"))
     shared = facts.where(F.col("n") >= LEAST_SHARED)
     last = shared.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null")
     revisits = shared.join(last, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to").distinct()
     pages = pages.withColumn("digest", F.sha1("html"))
-    out = pages.join(small(revisits, 200_000), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    out = pages.join(small(cut(revisits), 200_000), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     return out.select("page_id", "url", "html", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary of a bounded sample of pages; empty if the sample is too small for one."""
-    rows = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id")).limit(SAMPLE).select("html").collect()
+    """A dictionary of a bounded sample of pages; empty if the sample is too small for one.
+
+    The pages with the smallest hashes are chosen by id, and then only these are fetched, each
+    up to `SAMPLE_CHARS`: what reaches the driver is bounded.
+    """
+    key = F.xxhash64("page_id", F.octet_length("html"))
+    some = pages.where("html is not null")
+    last = some.select(key.alias("key")).orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
+    rows = some.where(key <= last).select(F.substring("html", 1, SAMPLE_CHARS)).limit(2 * SAMPLE).collect() if last is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r[0].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -59,7 +73,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 
 def _uri(page_id: object) -> str:
-    return f"<urn:x-page:{'null' if pd.isna(page_id) else int(page_id)}>"
+    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
 
 
 def record(page_id: object, url: str | None, payload: bytes, record_type: str, refers_to: object) -> bytes:
@@ -78,7 +92,7 @@ def record(page_id: object, url: str | None, payload: bytes, record_type: str, r
 
 
 def _writer(folder: str, dictionary):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
         fs.create_dir(root, recursive=True)
         words = dictionary.value
@@ -88,7 +102,9 @@ def _writer(folder: str, dictionary):
 
         written = []
         for batch in batches:
-            for page_id, url, html, kind, refers in batch[["page_id", "url", "html", "record_type", "refers_to"]].itertuples(index=False):
+            columns = (batch.column(c) for c in ("page_id", "url", "html", "record_type", "refers_to"))
+            for cells in zip(*columns, strict=True):
+                page_id, url, html, kind, refers = (c.as_py() for c in cells)
                 payload = html.encode()
                 frames.append(packer.compress(record(page_id, url, payload, kind, refers)))
                 size += len(payload)
@@ -97,7 +113,7 @@ def _writer(folder: str, dictionary):
                     number, frames, size = number + 1, [], 0
         if frames:
             written.append(_close(fs, root, part, number, lead, frames))
-        yield pd.DataFrame(written, columns=["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in written], pa.string()), pa.array([n for _, n in written], pa.int64())], ["path", "records"])
 
     return run
 
@@ -114,8 +130,8 @@ def _close(fs: pafs.FileSystem, root: str, part: int, number: int, lead: bytes,
 def write(planned: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Write the pages of `plan` as archives; returns path and records of each.  It is lazy:
     an action on the result writes.  Rows are sorted in tasks, so that reruns write the same."""
-    rows = small_batches(planned).sortWithinPartitions("page_id", "digest")
-    return rows.mapInPandas(_writer(folder, planned.sparkSession.sparkContext.broadcast(dictionary)), "path string, records bigint")
+    rows = planned.sortWithinPartitions("page_id", "digest")
+    return rows.mapInArrow(_writer(folder, planned.sparkSession.sparkContext.broadcast(dictionary)), "path string, records bigint")
 
 
 def frames(content: bytes) -> Iterator[bytes | str]:
@@ -190,34 +206,29 @@ def parse(raw: bytes) -> dict:
 RECORD = "path string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, error string"
 
 
+_KINDS = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+
+
 def _reader(payloads: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in batch[["path", "content"]].itertuples(index=False):
-                rows, size = [], 0
-                for raw in frames(content):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path, rows, size = path.as_py(), [], 0
+                for raw in frames(content.as_py()):
                     row = parse(raw) if isinstance(raw, bytes) else {"error": raw}
                     if not payloads:
                         row["payload"] = None
                     rows.append(row | {"path": path})
                     size += len(raw)
                     if size > ARCHIVE_BYTES // 4:
-                        yield _frame(rows, names)
+                        yield pa.RecordBatch.from_pylist(rows, _KINDS)
                         rows, size = [], 0
                 if rows:
-                    yield _frame(rows, names)
+                    yield pa.RecordBatch.from_pylist(rows, _KINDS)
 
     return run
 
 
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows).reindex(columns=names)
-    for c in ("page_id", "payload_bytes", "refers_to"):
-        out[c] = pd.array([None if pd.isna(x) else int(x) for x in out[c]], "Int64")
-    return out.astype({"error": object}).where(out.notna(), None)
-
-
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Records of the folder's archives (`RECORD`), payload null for revisits.
 
@@ -225,4 +236,4 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     rows with `error`; the archive's later records follow unless a frame itself is broken.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    return files.mapInPandas(_reader(payloads), RECORD)
+    return files.mapInArrow(_reader(payloads), RECORD)

@@ -132,20 +132,84 @@ def test_language_cases(spark):
     text = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
     for r in got:
         if r.doc_id is not None and r.doc_id != 9:
-            assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", text[r.doc_id] or "")), r
+            assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id] or "")), r
     none = langid.predict(d, langid.train(d.limit(0)))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert langid.predict(d.limit(0), model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    words, alphabet = ["ab", "abc", "b", "ca"], 5  # a b c, the end, and one for all others
-    orders = langid._fit_language(words, np.array([3, 1, 2, 1]), alphabet)
-    keys, p, _, _ = orders[0]
-    n = len(p)
-    assert abs(p.sum() + (1 - p.sum()) - 1) < 1e-12 and n == 4
-    for _, p, ctx, gamma in orders[1:]:
-        assert (p > 0).all() and (p <= 1).all() and (gamma > 0).all() and (gamma <= 1).all()
+def test_language_letters(spark):
+    """Number characters are no letters; marks belong to their word, in training as in prediction."""
+    assert langid.split("½ ² 12 ③") == [] and langid.split("हिन्दी Éa-b") == ["हिन्दी", "éa", "b"]
+    rows = [(i, "हिन्दी भाषा में लिखा", "hi") for i in range(40)] + [(i, "words of plain english", "en") for i in range(40, 80)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    big = (1 << 60) + 1
+    d = spark.createDataFrame([(big, "हिन्दी में", "x"), (None, "½ ²", "x"), (3, "plain words", "x")], "doc_id bigint, text string, rejected string").coalesce(1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, model).collect()}
+    assert got == {big: "hi", None: "und", 3: "en"}
+    kept = langid.judged(d, model)
+    assert kept.columns == ["doc_id", "text", "lang_pred", "score", "cost", "n_symbols", "rejected"] and kept.count() == 3
+
+
+def test_language_rejects_others(spark):
+    """Texts of a language that is not learned are rejected, by the pooled limit if a language has
+    few calibration texts."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(d.where("lang in ('en', 'de')"))
+    odd = "zxqj vkkw qqpz xjvk zzqx kwvj pqqz xxkv jwzq vvxk qzpj kkxw zjqv " * 20
+    got = langid.predict(spark.createDataFrame([(1, odd)], "doc_id bigint, text string"), model).first()
+    assert got.rejected
+    few = langid.train(d.where("lang = 'en'").unionByName(d.where("lang = 'de'").limit(9)))
+    assert np.isfinite(few.mean).all()
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney by dictionaries, over words with their begin and end marks."""
+
+    def __init__(self, words, alphabet):
+        self.alphabet, n = alphabet, langid.ORDER
+        top = Counter()
+        for w, c in words.items():
+            s = "^" * (n - 1) + w + "$"
+            for i in range(n - 1, len(s)):
+                top[s[i - n + 1 : i + 1]] += c
+        self.counts = {n: top}
+        for k in range(n - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.d = {}
+        for k, c in self.counts.items():
+            n1, n2 = (sum(v == i for v in c.values()) for i in (1, 2))
+            self.d[k] = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+    def p(self, context, char, k):
+        c, d = self.counts[k], self.d[k]
+        if k == 1:
+            total = sum(c.values())
+            return max(c[char] - d, 0) / total + d * len(c) / total / self.alphabet
+        context = context[len(context) - k + 1 :]
+        mine = {g: v for g, v in c.items() if g[:-1] == context}
+        if not mine:
+            return self.p(context, char, k - 1)
+        total = sum(mine.values())
+        return max(mine.get(context + char, 0) - d, 0) / total + d * len(mine) / total * self.p(context, char, k - 1)
+
+
+def test_kneser_ney_against_dictionaries():
+    words = {"ab": 3, "abc": 1, "b": 2, "ca": 1, "abcab": 2}
+    alphabet = 5  # a b c, the end, and one for all others
+    orders = langid._fit_language(list(words), np.array(list(words.values())), alphabet)
+    pairs = [[(k, p)] for k, p, _, _ in orders]
+    keys, probs = zip(*(langid._merge(x, np.nan) for x in pairs))
+    contexts, weights = zip(*(langid._merge([(c, g)], 0.0) for _, _, c, g in orders[1:]))
+    model = langid.Model(["x"], list(keys), list(probs), list(contexts), list(weights), -30.0, *(np.zeros(1) for _ in range(3)))
+    brute = KneserNey(words, alphabet)
+    for w in ("ab", "ba", "cab", "abcab", "c"):
+        s = "^" * (langid.ORDER - 1) + w + "$"
+        want = -sum(np.log2(brute.p(s[:i], s[i], langid.ORDER)) for i in range(langid.ORDER - 1, len(s)))
+        assert abs(langid.word_costs(model, [w])[0, 0] - want) < 1e-4, w
+    for context in ("^^^^", "^^^a", "^^ab", "zzzz"):
+        seen = sum(brute.p(context, c, langid.ORDER) for c in "abc$")
+        assert seen < 1 < seen + 2 * brute.p(context, "?", langid.ORDER) + 1e-9
 
 
 def brute_pii(text):

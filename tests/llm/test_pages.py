@@ -69,5 +69,29 @@ def test_html():
 def test_extract(spark):
     got = {r.page_id: r for r in mainhtml.extract(pages(spark)).collect()}
     assert got[3].text == got[4].text == "" and got[3].n_chars == 0
-    assert got[1].text.startswith("word word") or got[1].text == ""
+    assert got[1].text == ("word " * 400).strip()  # long, without links, of no known language
     assert mainhtml.extract(pages(spark).limit(0)).count() == 0
+
+
+def test_html_contracts():
+    """Named anchors are no links; other languages, class names with further words, formulas and fieldsets stay."""
+    assert mainhtml.main_text(f"<body><a name=top><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></body>") == f"Head\n\n{LONG}\n\n{LONG}"
+    russian = "Это длинный абзац обычного текста на русском языке, в котором нет ни одной ссылки и много слов подряд."
+    assert mainhtml.main_text(f"<div><p>{russian}</p><p>{russian}</p><ul><li><a href=x>Меню</a></li></ul></div>") == f"{russian}\n\n{russian}"
+    kept = [f"<p class='{c}'>{c} {LONG}</p>" for c in ("share-price", "social-policy", "legal", "has-sidebar")]
+    assert mainhtml.main_text(f"<main>{''.join(kept)}</main>").count(LONG) == 4
+    assert mainhtml.main_text(f"<main><p>{LONG} <math><mi>x</mi></math></p><fieldset><p>{LONG}</p></fieldset></main>") == f"{LONG} x\n\n{LONG}"
+    # In an article a short block takes the label of its nearest decided neighbour.
+    page = f"<article><p>{LONG}</p><p>short</p><p>{LONG}</p><h2>More</h2><ul><li><a href=a>{LONG}</a></li><li><a href=b>{LONG}</a></li></ul><p>tail</p></article>"
+    assert mainhtml.main_text(page) == f"{LONG}\n\nshort\n\n{LONG}\n\nMore"
+
+
+def test_large_ids(spark, tmp_path):
+    """Ids above 2 ** 53 stay whole beside nulls."""
+    big, html = 1 << 60, "<p>" + LONG * 20 + "</p>"
+    p = spark.createDataFrame([(big + 1, "u", html), (big + 3, "u", html), (None, "u", "x"), (big + 5, None, None)], "page_id bigint, url string, html string").coalesce(1)
+    assert {r.page_id for r in mainhtml.extract(p).collect()} == {big + 1, big + 3, big + 5, None}
+    folder = f"file://{tmp_path}/w"
+    warc.write(warc.plan(p), folder, b"").collect()
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(spark, folder).collect()}
+    assert got == {big + 1: ("revisit", big + 3), big + 3: ("response", None), None: ("response", None), big + 5: ("response", None)}
