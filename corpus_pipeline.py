@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import decontaminate, jaccard, langid, secrets
-from gradus.llm.common import shared_dir, table
+from gradus.llm.common import cut, dropped, shared_dir, small, table
 from gradus.llm.queries import mixed
 from gradus.session import ship
 
@@ -33,18 +33,20 @@ def _by_key(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select(F.col("key").alias("doc_id"), "text")
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return _keyed(docs).join(keys.select(F.col("doc_id").alias("key")), "key", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among `keys` (doc_id); where these are few, no text is shuffled."""
+    keys = small(cut(keys.select(F.col("doc_id").alias("key")).distinct()))
+    return _keyed(docs).join(keys, "key", "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows that no language's model accepts; `lang` becomes the predicted one.
 
-    Each row is judged by its own text: rows without doc_id too, and rows that share one apart.
+    Each row is judged where it is read, by its own text: rows without doc_id too, and rows
+    that share one apart.  Rows without text are not accepted.  No rows give no rows.
     """
-    model = langid.train(docs)
-    found = langid.predict(_by_key(docs), model).where("not rejected").groupBy(F.col("doc_id").alias("key")).agg(F.min("lang_pred").alias("lang_pred"))
-    return _keyed(docs).join(found, "key").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.judged(docs.select(*COLUMNS), langid.train(docs)).where("not rejected")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,28 +54,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without doc_id come last; among rows with the same doc_id the smallest key stays.
     Rows equal in doc_id and text, null included, are one document even without shingles;
-    of those the smallest in the other columns stays.
+    of those the smallest in the other columns stays.  No rows give no rows.
     """
     ship(spark)
-    groups = jaccard.components(_by_key(docs)).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = _keyed(docs).select("key", "doc_id").distinct().join(groups, "key")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    kept = _keyed(docs).join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
-    return kept.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    groups = jaccard.components(_by_key(docs)).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    groups = cut(groups)
+    # Only groups of several documents need their ids.
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = cut(groups.join(small(cut(several.select("component_id"))), "component_id", "left_semi").select("key", "component_id"))
+    ids = _keyed(docs).select("key", "doc_id").join(small(crowd), "key").distinct()
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")).select("component_id", "first.key")
+    copies = crowd.join(first, ["component_id", "key"], "left_anti")
+    kept = _without(docs, copies.select(F.col("key").alias("doc_id")))
+    repeated = small(cut(groups.where("rows > 1").select("key")))
+    once = kept.join(repeated, "key", "left_anti").select(*COLUMNS)
+    return once.union(kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows whose own text holds a window of a benchmark item, with or without doc_id."""
-    return _kept(docs, decontaminate.contamination(_by_key(docs), table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Drop rows whose own text holds a window of a benchmark item, with or without doc_id.
+
+    Rows without text, and all rows if there are no items, stay.
+    """
+    found = decontaminate.occurrences(_by_key(docs), table(spark, sf_dir, "benchmark"))
+    return _without(docs, found).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows in whose own text a secret is found, with or without doc_id."""
-    return _kept(docs, secrets.findings(_by_key(docs)).where("spans = ''"))
+    """Drop rows in whose own text a secret is found, with or without doc_id; rows without text stay."""
+    return _without(docs, secrets.findings(_by_key(docs)).where("spans <> ''")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of what is left."""
+    """doc_id, size, source_size, target and taken of what is left: a row for each row."""
     return mixed(spark, docs, sf_dir)
 
 
@@ -87,7 +100,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to and read from the shared folder."""
+    """All stages over `documents`, each written to and read from the shared folder.
+
+    What a stage read is removed when the next one's input is written; the last one's input
+    stays for those who read the result.
+    """
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -95,6 +112,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{i}-{name}")
             docs = spark.read.parquet(f"{at}/{i}-{name}")
+            if i:
+                dropped(spark, f"{at}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
 
 
