@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gradus.functions import intake as I
 from gradus.functions import text as T
 
 
@@ -22,13 +23,26 @@ def test_equation_key(spark):
 
 
 def test_equation_likeness(spark):
-    like = lambda a, b: one(spark, T.equation_likeness(F.lit(a), F.lit(b)))
+    like = lambda a, b: one(spark, T.equation_likeness(F.lit(a), F.lit(b), F.lit(True)))
     assert [like("a+b", "a+b"), like("a+b", "a+b=c"), like("a/b+sqrt(x)", "y=a/b+sqrt(x)"), like("", "")] == [1.0, 0.0, 0.85, 0.0]
+    assert one(spark, T.equation_likeness(F.lit("a"), F.lit("a"), F.lit(False))) == 0.0
 
 
 def test_class_number(spark):
-    number = lambda s: one(spark, T.class_number(F.lit(s)))
-    assert [number("Class - 11 physics"), number("std. 9"), number("Grade 7"), number("for XII"), number("none")] == [11, 9, 7, 12, None]
+    number = lambda s: one(spark, I.class_number(F.lit(s)))
+    assert [number("Class - 11 physics"), number("std. 9"), number("Grade 7"), number("for XII"), number("none"), number("class 99, std 8")] == [11, 9, 7, 12, None, 8]
+
+
+def test_fractions_and_runs(spark):
+    assert one(spark, I.fractions(F.lit(r"1/2 and 3 / 4, $5/6 \7/8"))).startswith(r"$\frac{1}{2}$ and $\frac{3}{4}$")
+    labels = F.array(*(F.lit(x) for x in "badbcd"))
+    assert one(spark, I.longest_run(labels)) == [1, 3, 4, 5]
+    assert one(spark, I.longest_run(F.array().cast("array<string>"))) == []
+
+
+def test_references(spark):
+    c = F.lit("&lt;a&gt; &#233;&#x1F600; &nope; &#xD800; &amp;amp;")
+    assert one(spark, I.html_unescaped(c)) == "<a> é😀 &nope; &#xD800; &amp;"
 
 
 def test_option_index(spark):
