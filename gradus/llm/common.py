@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -45,6 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _temporary[app]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark's cleaner removes the shuffle files and, where
+    `spark.cleaner.referenceTracking.cleanCheckpoints` is set, the checkpoints of tables that
+    nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, folder: str) -> None:
     """Remove a folder of intermediate data, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

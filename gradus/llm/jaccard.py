@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, tidy
 from .components import connected
 from .words import add_up, chunks, dealt, mix, shingle_sets
 
@@ -100,6 +100,7 @@ def _hot_shingles(docs: DataFrame, k: int, bits: int) -> tuple[np.ndarray, np.nd
             least = 2 ** (power + 1)
             break
     hot = counts.where(F.col("df") >= least).toPandas().sort_values("key")
+    tidy(docs.sparkSession)
     return hot["key"].to_numpy(np.uint64), hot["df"].to_numpy(np.uint32)
 
 
@@ -405,6 +406,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1009))).otherwise(0)
     postings = postings.repartition(parts, "token", salt).sortWithinPartitions("token")
     postings = cut(postings.mapInArrow(_listed, _LISTED))
+    tidy(spark)
 
     # The lists of frequent shingles, of which few reach a prefix, are added up over tasks.
     dealt = postings.where("list is null").select("token", "node", "n", "pos", "copies")
@@ -433,6 +435,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         return with_y.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
 
     first = cut(connected(linked(stars)))
+    tidy(spark)
 
     # Then the lists that still hold several components ...
     placed = members.join(first, "node", "left").select("list", "node", "tokens", "pos", "n", F.coalesce("component", "node").alias("comp"))

@@ -23,10 +23,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: n-grams of each order whose values every task holds; at most 2 ** _ID.
@@ -191,21 +192,22 @@ def _deal(grams_of: Callable[[pa.Array], Grams], bits: int):
 _COUNTED = "k bigint, h bigint, t bigint, n bigint, part int, bits binary"
 
 
-def _counted(order: int, least: int, size: int, parts: int):
-    """The n-grams of a range that occur `least` times, and the filter's part for those that do twice."""
+def _counted(least: int, size: int, parts: int):
+    """The n-grams of a range that occur `least` times, and the filter's part for those that do
+    twice; head and tail of rare ones only, as others' keys have them."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         read = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[c]])
         k, n = add_up(read("once", _U), read("more", _U), read("times", "<u4"))
         k, n = k[n >= least], n[n >= least]
-        h, t = _parts_of(order, k) if order > 1 else (k, k)
         rare = read("rare", _U).reshape(-1, 4)
         rk, first, which = np.unique(rare[:, 0], return_index=True, return_inverse=True)
         rn = np.bincount(which, rare[:, 3].astype(np.float64), len(rk)).astype(np.int64)
         keep = rn >= least
-        columns = [np.concatenate([a, b[keep]]) for a, b in ((k, rk), (h, rare[first, 1]), (t, rare[first, 2]), (n, rn))]
-        bits = _filter_part(columns[0][columns[3] >= 2], size, parts) if size else None
-        columns = [pa.array(c.view(np.int64)) for c in columns]
+        n = np.concatenate([n, rn[keep]])
+        bits = _filter_part(np.concatenate([k, rk[keep]])[n >= 2], size, parts) if size else None
+        ends = [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(rare[first, i][keep].view(np.int64))]) for i in (1, 2)]
+        columns = [pa.array(np.concatenate([k, rk[keep]]).view(np.int64)), *ends, pa.array(n)]
         out = pa.table([*columns, pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], [x.split()[0] for x in _COUNTED.split(", ")])
         one = pa.table([pa.nulls(1, pa.int64())] * 4 + [pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], out.column_names)
         return pa.concat_tables([out, one])
@@ -213,15 +215,28 @@ def _counted(order: int, least: int, size: int, parts: int):
     return run
 
 
-def _hot(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Keys and columns of at most HOT rows with the highest n, by key as unsigned."""
+def _ended(order: int):
+    """Fill in heads and tails that the keys have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(_U)
+            ends = [pc.coalesce(batch.column(i), pa.array(x.view(np.int64))) for i, x in enumerate(_parts_of(order, key), 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ends, batch.column(3)], ["k", "h", "t", "n"])
+
+    return run
+
+
+def _hot(rows: DataFrame, *columns: str) -> tuple[int, list[np.ndarray]]:
+    """The n from which rows are hot, at most HOT of them; their keys, as unsigned and in order, and columns."""
     sizes = sorted(((r["n"], r["count"]) for r in rows.groupBy("n").count().collect()), reverse=True)
     total = np.cumsum([c for _, c in sizes])
     fit = int(np.searchsorted(total, HOT, "right"))
-    got = rows.where(F.col("n") >= (sizes[fit - 1][0] if fit else 1 << 62)).select("k", *columns).toArrow()
+    least = sizes[fit - 1][0] if fit else 1 << 62
+    got = rows.where(F.col("n") >= least).select("k", *columns).toArrow()
     k = got["k"].to_numpy().view(_U)
     order = np.argsort(k)
-    return [k[order], *(got[c].to_numpy().astype(np.float64)[order] for c in columns)]
+    return least, [k[order], *(got[c].to_numpy().astype(np.float64)[order] for c in columns)]
 
 
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
@@ -238,18 +253,21 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
 
     def held(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
+        del df
+        tidy(spark)
         return spark.read.parquet(f"{folder}/{name}")
 
     def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
         parts = max(3, min(30, int(about // RANGE).bit_length()))
         size = min(BITS, max(parts + 3, int(8 * about).bit_length()))
         size = size if size - parts >= 3 else 0
-        found = held(texts.mapInArrow(_deal(grams_of, parts), _DEALT).groupBy("range").applyInArrow(_counted(order, least, size, parts), _COUNTED), name)
+        found = held(texts.mapInArrow(_deal(grams_of, parts), _DEALT).groupBy("range").applyInArrow(_counted(least, size, parts), _COUNTED), name)
         bits = np.zeros((1 << parts, 1 << max(0, size - parts - 3)), np.uint8)
         if size:
             for r in found.where("bits is not null").select("part", "bits").collect():
                 bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-        return found.where("k is not null").select("k", "h", "t", "n"), Filter(bits.ravel(), size, parts) if size else None
+        found = found.where("k is not null").select("k", "h", "t", "n")
+        return found if order == 1 else found.mapInArrow(_ended(order), "k bigint, h bigint, t bigint, n bigint"), Filter(bits.ravel(), size, parts) if size else None
 
     def single(t: pa.Array) -> Grams:
         h = tokens(t)[0]
@@ -260,7 +278,7 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n = n or 0
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    hot, number = _hot(counts.where("n >= 2"), "n")
+    _, (hot, number) = _hot(counts.where("n >= 2"), "n")
     # Where all words that occur twice are hot, no other has to be looked for.
     a = Automaton(n, v, discount, Table(hot), number, None if len(hot) == v - n1 else kept)
 
@@ -321,14 +339,16 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     gain = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("n_h") / (F.col("left_h") * F.col("p_t")))
     last = held(triples.join(by_h, "h").join(by_t, "t").select("k", "n", gain.alias("v")), "last")
 
-    for order, rows in (("pair", arcs), ("triple", last)):
-        keys, values = _hot(rows, "v")
-        setattr(a, f"{order}s", Table(keys))
-        setattr(a, f"{order}_values", values)
+    pair_least, (keys, a.pair_values) = _hot(arcs, "v")
+    a.pairs = Table(keys)
+    triple_least, (keys, a.triple_values) = _hot(last, "v")
+    a.triples = Table(keys)
     nothing = F.lit(None).cast("bigint").alias("n")
     table = rare.select("k", "n", F.log10("left").alias("v"))
     table = table.union(counts.where("n = 1").select(code, "n", F.lit(0.0)))
-    return a, table.union(arcs.select("k", nothing, "v")).union(last.select("k", nothing, "v"))
+    for rows, least in ((arcs, pair_least), (last, triple_least)):
+        table = table.union(rows.where(F.col("n") < least).select("k", nothing, "v"))
+    return a, table
 
 
 def empty_p(a: Automaton, c: Column) -> Column:
