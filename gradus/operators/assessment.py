@@ -147,9 +147,9 @@ def html_list_items(t) -> DataFrame:
     return t("pages").select("page_id", F.array_join(items, "\n").alias("items"))
 
 
-@query("""SELECT o_custkey AS user_id, count(*) AS attempts, count(*) FILTER (o_orderstatus <> 'O') AS completed, max(o_totalprice) AS best FROM
+@query("""SELECT o_custkey AS user_id, count(*) AS attempts, count(*) FILTER (o_orderstatus <> 'O') AS completed, max(o_totalprice) AS best, floor(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) / count(*) + 0.5e0) / 100 AS average FROM
  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 50 GROUP BY o_custkey""")
 def user_recent50(t) -> DataFrame:
     """Summary of each user's latest fifty attempts; older ones do not count."""
     o = latest(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 50)
-    return o.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("attempts"), F.count_if(F.col("o_orderstatus") != "O").alias("completed"), F.max("o_totalprice").alias("best"))
+    return o.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("attempts"), F.count_if(F.col("o_orderstatus") != "O").alias("completed"), F.max("o_totalprice").alias("best"), (F.floor(F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)) / F.count("*") + 0.5) / 100).alias("average"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import percent, similarity
-from .ranking import best, latest
+from .ranking import best, latest, placed_in
 from .registry import query
 
 
@@ -160,20 +160,6 @@ def attempt_ranks(t) -> DataFrame:
     return t("orders").select(F.col("o_orderkey").alias("attempt_id")).join(placed, F.col("attempt_id") == F.col("k"), "left").drop("k")
 
 
-def placed_in(rows: DataFrame, group: str, score: str, ties: list[Column]) -> DataFrame:
-    """`place` from 1 in each group by falling score; ties by further keys.
-
-    Rows of one score are ordered apart, and the counts of higher scores are added, so that no
-    task orders a whole group.
-    """
-    counts = rows.groupBy(group, score).agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col(group).alias("__g"), F.col(score).alias("__s"), above.alias("__above"))
-    inside = F.row_number().over(Window.partitionBy(group, score).orderBy(*ties))
-    j = rows.withColumn("__inside", inside).join(counts, F.col(group).eqNullSafe(F.col("__g")) & F.col(score).eqNullSafe(F.col("__s")))
-    return j.withColumn("place", (F.col("__above") + F.col("__inside")).cast("bigint")).drop("__g", "__s", "__above", "__inside")
-
-
 @query("SELECT conv_id, turn, CAST(turn % 3 AS BIGINT) AS level, CAST(row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS BIGINT) AS number FROM conversations")
 def list_counters(t) -> DataFrame:
     """Numbers of list items: each level counts on, deeper ones are not begun anew."""
