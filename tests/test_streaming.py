@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from gradus.streaming import autosave
+from gradus.streaming import autosave, jobs
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
 START = datetime(2024, 1, 1)
@@ -43,3 +43,24 @@ def test_rate_windows_count_what_the_watermark_closes(spark, tmp_path):
         newest[key] = max(newest.get(key, 0), r["requests"])
     assert sum(newest.values()) == 61 and len(newest) == 13
     assert all(n == 5 for (_, start), n in newest.items() if start < START + timedelta(days=1))
+
+
+def test_stalled_jobs_are_resumed_and_given_up(spark, tmp_path):
+    at = str(tmp_path / "in")
+    beat = lambda i, seconds, user: (i, START + timedelta(seconds=seconds), user, "beat", 0.0)
+    for rows in ([beat(0, 0, 1), beat(1, 0, 2)], [beat(2, 200, 2)], [beat(3, 210, 1)], [beat(4, 5000, 2)], [beat(5, 5001, 2)]):
+        _write(spark, rows, at)
+    out = _run(jobs.stalls(autosave.event_stream(spark, at, SCHEMA, 1)), "stalls", "append", spark, tmp_path)
+    seen = [(r.state, r.resumes) for r in out.where("user_id = 1").collect()]
+    assert ("resumed", 1) in seen and ("alive", 1) in seen and ("resumed", 2) in seen
+
+
+def test_answers_merge_by_field(spark, tmp_path):
+    at, into = str(tmp_path / "in"), str(tmp_path / "table")
+    spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", None)], "attempt int, question int, choice string, number double").write.parquet(into)
+    schema = "attempt int, question int, seq int, given array<string>, choice string, number double"
+    rows = [(1, 1, 1, ["choice"], "c", None), (1, 1, 3, ["number"], None, 7.0), (1, 1, 2, ["choice"], None, None), (1, 2, 1, ["number"], "x", 2.0), (1, 9, 1, ["choice"], "x", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(at)
+    for _ in range(2):  # a second run finds nothing new
+        jobs.merge_answers(spark.readStream.schema(schema).parquet(at), into, str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(into).collect())) == [(1, 1, None, 7.0), (1, 2, "b", 2.0)]
