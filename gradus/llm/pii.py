@@ -7,6 +7,7 @@ apart at them and only the runs between them are decoded, in batches of equal le
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Made rows of each kind in the labelled table.
+LABELLED = 60
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
@@ -38,6 +41,14 @@ PLAIN = [
     "0.75 0.25 0.5", "see [12] and [13]", "$ 400 or 3 %", "room 101 on 5th", "a 16-bit or 32-bit", "id 48213 in list", "no 7 and 12 , 15", "user@ or @home", "1999-2004 and 2010/11", "x1 y2 z3", "score 3-2 and 4-1", "lines 100-200", "code 12345 is", "sum 1000000000000 of", "12 34 56 78", "v2.0.1 , 3.14159",
 ]
 
+# How personal data and other numbers are written; # is a digit, ~ a letter.
+FORMATS = {
+    "email": ["~~~.~~~~@mail#.example.org", "~~~~_##@~~~~.example.com", "~~~@~~~~", "~~~~##@intranet", "~.~~~~~@~~~~-~~.example.de"],
+    "ip": ["10.#.#.##", "192.168.#.1##", "172.16.##.#", "8.#.#.#", "2##.1##.##.1"],
+    "card": ["4### #### #### ####", "5###-####-####-####", "4###############", "37#############"],
+    "phone": ["+1 (###) ###-####", "+44 20 #### ####", "(###) ###-####", "0## ######", "###-###-####", "+49 ## ######", "(0##) ####-####", "0## #### ####"],
+}
+OTHERS = ["19##-0#-1#", "20##", "#.#.##", "v#.#", "##.##", "#,###", "## %", "p. ##-##", "[##]", "#:##", "id #####", "##/##", "#-#", "##-bit", "$ ###", "x#", "#### kg", "###### lines"]
 _TOKEN = re.compile(r"\S+")
 _MARK = re.compile(r"[0-9@]")
 
@@ -122,9 +133,27 @@ def labelled() -> list[tuple[list[str], list[int]]]:
     return rows
 
 
+def made(seed: int, each: int) -> list[tuple[list[str], list[int]]]:
+    """Rows made from `FORMATS` and `OTHERS`, `each` of a kind, in the templates' sentences."""
+    rng = random.Random(seed)
+    written = lambda f: "".join(str(rng.randrange(10)) if c == "#" else rng.choice("abcdefghiklmnoprstu") if c == "~" else c for c in f)
+    rows = []
+    for k, kind in enumerate([*KINDS, None]):
+        for i in range(each):
+            formats = FORMATS[kind] if kind else OTHERS
+            inner = written(formats[i % len(formats)]).split()
+            if kind == "card":  # numbers of cards pass a check of their digits
+                while not luhn("".join(c for w in inner for c in w if c.isdigit())):
+                    inner = written(formats[i % len(formats)]).split()
+            left, right = rng.choice(TEMPLATES).split("{}")
+            y = [1 + 2 * k] + [2 + 2 * k] * (len(inner) - 1) if kind else [0] * len(inner)
+            rows.append((left.split() + inner + right.split(), [0] * len(left.split()) + y + [0] * len(right.split())))
+    return rows
+
+
 def fit(rows: list[tuple[list[str], list[int]]] | None = None, steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Maximise the conditional likelihood of the labelled rows by Adam steps."""
-    rows = rows or labelled()
+    rows = rows or labelled() + made(1, LABELLED)
     names = sorted({f for w, _ in rows for i in range(len(w)) for f in features(w, i)})
     index = {f: i for i, f in enumerate(names)}
     n, t, m = len(LABELS), max(len(w) for w, _ in rows), len(rows)
