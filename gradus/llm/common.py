@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.checkpoint()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _temporary[app]
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect garbage on the driver, so that Spark's cleaner removes the shuffle files and, where
-    `spark.cleaner.referenceTracking.cleanCheckpoints` is set, the checkpoints of tables that
-    nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files once they end; the caller's setting comes back.
+
+    For results that are written whole and read from there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def dropped(spark: SparkSession, folder: str) -> None:

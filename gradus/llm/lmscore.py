@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tidy
+from .common import shared_dir, shuffles_freed
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: n-grams of each order whose values every task holds; at most 2 ** _ID.
@@ -252,9 +252,8 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     def held(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        del df
-        tidy(spark)
+        with shuffles_freed(spark):
+            df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
