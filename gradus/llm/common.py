@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of up to two long columns that may be broadcast: about 64 MB in the JVM.
-BROADCAST_ROWS = 1_000_000
+#: What may be broadcast: rows of up to two long columns, about 64 MB in the JVM; and data, whatever its rows.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 _temporary: dict[str, str] = {}
 
@@ -69,9 +69,14 @@ def dropped(spark: SparkSession, folder: str) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows (few, narrow columns);
-    else as it is, so that Spark shuffles both sides.  `df` should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df` with a broadcast hint if it has at most `rows` rows and BROADCAST_BYTES of data; else
+    as it is, so that Spark shuffles both sides.  `df` is read twice: it should be cut or cheap."""
+    wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "struct", "map"))]
+    size = F.count("*") * 8 * len(df.columns)
+    for w in wide:
+        size = size + F.coalesce(F.sum(w), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def lower_ascii(c: Column) -> Column:

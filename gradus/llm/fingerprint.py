@@ -40,6 +40,21 @@ def merged(sketches: list[Column], k: int = K) -> Column:
     return F.slice(F.sort_array(reduce(F.array_union, sketches)), 1, k)
 
 
+def combined(parts: DataFrame, by: str, sketch: str, k: int = K) -> DataFrame:
+    """`by` and `sketch` of whole texts or groups from the sketches of their parts.
+
+    Each task keeps the k smallest hashes of a group before they are shuffled, so that a group of
+    any size costs k rows a task.  Groups whose parts have no shingles have an empty sketch; a
+    null `by` is a group.
+    """
+    each = parts.select(by, F.explode(sketch).alias("__h")).distinct()
+    place = F.row_number().over(Window.partitionBy(by).orderBy("__h"))
+    least = each.withColumn("__n", place).where(F.col("__n") <= k).groupBy(by).agg(F.array_sort(F.collect_list("__h")).alias(sketch))
+    keys = parts.select(F.struct(by).alias("__key")).distinct()
+    out = keys.join(least.select(F.struct(by).alias("__key2"), sketch), F.col("__key").eqNullSafe(F.col("__key2")), "left")
+    return out.select(F.col(f"__key.{by}").alias(by), F.coalesce(sketch, F.array().cast("array<bigint>")).alias(sketch))
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated |A & B| / |A | B|, exact for sets of up to k; two empty sets are alike."""
     union = merged([a, b], k)
@@ -79,9 +94,10 @@ def successors(docs: DataFrame, rows: int = 100_000) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of texts and of their edited texts: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next, n_distinct.
+    fingerprint, edited_fingerprint, near_edited, near_next, n_distinct, in_edited (the share of
+    the text's shingles that the edited text has).
 
-    docs: doc_id, text.  In the edited text the last floor(n_chars / 4) code points are the
+    docs: doc_id, text; other columns are ignored; whole texts are read.  In the edited text the last floor(n_chars / 4) code points are the
     first as many of the next document's text (by doc_id; after the last comes the first).
     Null texts are empty.  Of rows that share a doc_id, the next document is that of the next
     id, whose smallest text by order stands for it; each row has its own result.
@@ -105,4 +121,5 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
         distinct(F.col("sketch"), k).alias("n_distinct"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("in_edited"),
     )

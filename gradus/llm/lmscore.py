@@ -8,8 +8,8 @@ with two occurrences counts, however large the corpus is.
 The log-probability of a text is a sum over its n-grams: a word brings that of its arc from
 the empty history and its own failure weight; a bigram that is an arc brings what it gains
 over backing off, and its failure weight as a history; a trigram what it gains.  So each
-n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT most
-frequent n-grams of each order and Bloom filters of at most 2 ** BITS bits, which tell most
+n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT and
+HOT_GRAMS most frequent n-grams of each order and Bloom filters of at most 2 ** BITS bits, which tell most
 n-grams that have no value; all others are resolved by a join.  Both bound memory only, and
 change no result.
 """
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir, shuffles_freed
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
-#: n-grams of each order whose values every task holds; at most 2 ** _ID.
-HOT = 1 << 20
+#: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
+HOT, HOT_GRAMS = 1 << 20, 1 << 19
 #: Bits of the filter of kept n-grams of an order, as a power of two, at most.
-BITS = 27
+BITS = 26
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up, and of a range that another adds up.
@@ -227,11 +227,11 @@ def _ended(order: int):
     return run
 
 
-def _hot(rows: DataFrame, *columns: str) -> tuple[int, list[np.ndarray]]:
-    """The n from which rows are hot, at most HOT of them; their keys, as unsigned and in order, and columns."""
+def _hot(rows: DataFrame, most: int, *columns: str) -> tuple[int, list[np.ndarray]]:
+    """The n from which rows are hot, at most `most` of them; their keys, as unsigned and in order, and columns."""
     sizes = sorted(((r["n"], r["count"]) for r in rows.groupBy("n").count().collect()), reverse=True)
     total = np.cumsum([c for _, c in sizes])
-    fit = int(np.searchsorted(total, HOT, "right"))
+    fit = int(np.searchsorted(total, most, "right"))
     least = sizes[fit - 1][0] if fit else 1 << 62
     got = rows.where(F.col("n") >= least).select("k", *columns).toArrow()
     k = got["k"].to_numpy().view(_U)
@@ -277,7 +277,7 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n = n or 0
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    _, (hot, number) = _hot(counts.where("n >= 2"), "n")
+    _, (hot, number) = _hot(counts.where("n >= 2"), HOT, "n")
     # Where all words that occur twice are hot, no other has to be looked for.
     a = Automaton(n, v, discount, Table(hot), number, None if len(hot) == v - n1 else kept)
 
@@ -333,14 +333,15 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     arcs = arcs.select("k", "n", lower.alias("lower"), ((F.col("n") - DISCOUNT) / F.col("n_h") + lower).alias("p"))
     arcs = arcs.join(taken(triples).withColumnRenamed("h", "k"), "k", "left").select("k", "n", "p", left.alias("left"), (F.log10(F.col("p") / F.col("lower")) + F.log10(left)).alias("v"))
     arcs = held(arcs, "arcs")
+    facts.destroy()
     by_h = arcs.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
     by_t = arcs.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
     gain = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("n_h") / (F.col("left_h") * F.col("p_t")))
     last = held(triples.join(by_h, "h").join(by_t, "t").select("k", "n", gain.alias("v")), "last")
 
-    pair_least, (keys, a.pair_values) = _hot(arcs, "v")
+    pair_least, (keys, a.pair_values) = _hot(arcs, HOT_GRAMS, "v")
     a.pairs = Table(keys)
-    triple_least, (keys, a.triple_values) = _hot(last, "v")
+    triple_least, (keys, a.triple_values) = _hot(last, HOT_GRAMS, "v")
     a.triples = Table(keys)
     nothing = F.lit(None).cast("bigint").alias("n")
     table = rare.select("k", "n", F.log10("left").alias("v"))

@@ -50,8 +50,14 @@ class Table:
         self.keys = keys
         bits = max(1, len(keys).bit_length())
         self._shift = _U(64 - bits)
-        self._first = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << self._shift).astype(np.int32)
-        self._first = np.append(self._first, np.int32(len(keys)))
+        first = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << self._shift).astype(np.int32)
+        self._first = np.append(first, np.int32(len(keys)))
+
+    def __getstate__(self) -> np.ndarray:  # what is sent to tasks: the rest is made there
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
 
     def __len__(self) -> int:
         return len(self.keys)

@@ -94,7 +94,8 @@ def test_lm_keeps_rare_ngrams(spark, monkeypatch):
     want = Counter((i, round(model.score(t), 3)) for i, t in rows)
     assert ("rare", "one", "two") in model.three
     for hot in (1 << 20, 2, 0):
-        monkeypatch.setattr(lmscore, "HOT", hot, raising=False)
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        monkeypatch.setattr(lmscore, "HOT_GRAMS", hot)
         got = lmscore.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id").isNotNull()).collect()
         assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want, hot
 

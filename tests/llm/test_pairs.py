@@ -231,8 +231,13 @@ def test_fingerprints(spark):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + nxt[:cut]
         r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         x, y = shingles(t), shingles(edited)
+        z = shingles(nxt)
+        if len(x | z) <= fingerprint.K:
+            assert abs((len(x & z) / len(x | z) if x | z else 1.0) - r.near_next) < 1e-9
+        if len(x | y) < fingerprint.K:
+            assert r.n_distinct == len(x) and abs((len(x & y) / len(x) if x else 1.0) - r.in_edited) < 1e-9
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         true = len(x & y) / len(x | y) if x | y else 1.0
         off.append(abs(true - r.near_edited))
         if len(x | y) <= fingerprint.K:
@@ -241,3 +246,18 @@ def test_fingerprints(spark):
     assert got[7].fingerprint == got[8].fingerprint
     assert fingerprint.fingerprints(d.limit(0)).count() == 0
     assert fingerprint.fingerprints(docs(spark)).count() == docs(spark).count()
+
+
+def test_sketches_of_parts_merge(spark):
+    """Sketches of parts give that of the whole, by column and by group."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", f"w{i} x{i} y{i} z{i} v{i} u{i % 40}") for i in range(300)] + [("b", "one two three four five six"), ("b", ""), ("c", None), (None, "one two three four five")]
+    parts = fingerprint.sketched(spark.createDataFrame(rows, "id string, text string"), "text", "s")
+    every = {}
+    for r in parts.collect():
+        every.setdefault(r.id, set()).update(r.s)
+    got = {r.id: list(r.s) for r in fingerprint.combined(parts, "id", "s").collect()}
+    assert got == {i: sorted(h)[: fingerprint.K] for i, h in every.items()}
+    two = parts.where("id = 'b'").select(fingerprint.merged([F.col("s"), F.array(F.lit(1), F.lit(-5)).cast("array<bigint>")]).alias("m")).collect()
+    assert all(list(r.m) == sorted(r.m) and {1, -5} <= set(r.m) for r in two)
