@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intake import html_unescaped
+from .intake import OPTION_LINE, html_unescaped
 
 # Characters without width, and marks of word processors.
 NO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff\u00ad]"
@@ -96,3 +96,61 @@ def file_kind(name: Column, head: Column) -> Column:
     """Kind of an upload by its first bytes, else by its name."""
     by_name = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(head.startswith("%PDF"), "pdf").when(head.startswith("PK") & (by_name == "docx"), "docx").when(head.startswith("\u0089PNG") | by_name.isin("png", "jpg", "jpeg", "webp"), "image").when(by_name.isin("txt", "md"), "text").when(by_name.isin("html", "htm") | head.startswith("<"), "html").otherwise("unknown")
+
+
+# Fractions that are one character.
+FRACTIONS = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
+_NUMBER = r"(?i)^(?:Q(?:uestion)?\s*)?\d{1,3}[).:\-\s]+|^\(\d{1,3}\)\s+"
+
+
+def merged_lines(c: Column, going_on: str = r"(?i)(?:\b(?:and|or|the|of|to|is|if|a|an|in|with|for)|[,=+\-])$") -> Column:
+    """Lines that go on with the one before are put behind it.
+
+    A line goes on if it is no option or question and begins in lower case or with a stop, or if
+    what stands before, as merged so far, asks for more or is short and without an end.
+    """
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.element_at(acc, -1)
+        own = x.rlike(_NUMBER) | x.rlike(OPTION_LINE)
+        short = (F.length(before) < 55) & ~before.rlike("[.?!:;]$") & ~before.rlike(OPTION_LINE)
+        more = x.rlike("^[a-z]") | x.rlike(r"^[,.;?]") | before.rlike(going_on) | short
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", before, x)))
+        return F.when(F.size(acc) == 0, F.array(x)).when(~own & more, joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+
+
+def malformed(c: Column) -> Column:
+    """Names of what is wrong with the formulas of a text."""
+    n = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    tests = (("fraction", n(r"\\frac\s*\{[^{}]*\}\s*\{[^{}]*\}") < n(r"\\frac")), ("probability", c.rlike(r"\b[PQR]\s*\([^)]*$")), ("dollars", n(r"\$") % 2 != 0))
+    return F.array_compact(F.array(*(F.when(wrong, name) for name, wrong in tests)))
+
+
+def isolated_figures(c: Column) -> tuple[Column, Column]:
+    """Text with [FIGURE_0], [FIGURE_1] for its embedded images; and their data, in order."""
+    image = r"""<img\b[^>]*\bsrc\s*=\s*["']data:image/[^"']+["'][^>]*>|data:image/[a-z+.-]+;base64,[A-Za-z0-9+/=]+"""
+    parts, found = F.split(c, image, -1), F.regexp_extract_all(c, F.lit(f"({image})"), F.lit(1))
+    mark = lambda i: F.when(i < F.size(found), F.concat(F.lit("[FIGURE_"), i.cast("string"), F.lit("]"))).otherwise("")
+    text = F.array_join(F.transform(parts, lambda x, i: F.concat(x, mark(i))), "")
+    return text, F.transform(found, lambda x: F.regexp_extract(x, r"(data:image/[a-z+.-]+;base64,[A-Za-z0-9+/=]+)", 1))
+
+
+def prepared_math(c: Column) -> Column:
+    """Fractions and roots in full: those of one character, and shorthands such as frac12 and sqrt(x)."""
+    for char, said in FRACTIONS.items():
+        c = F.replace(c, F.lit(char), F.lit("\\frac{{{}}}{{{}}}".format(*said.split("/"))))
+    pair = r"(?:([0-9])([0-9])|([a-zA-Z])([a-zA-Z]))\b"
+    c = F.regexp_replace(c, r"(?<!\\)\bfrac(?=\{)", r"\\frac")
+    c = F.regexp_replace(c, rf"(?:(?<!\\)\b|\\)frac{pair}", r"\\frac{$1$3}{$2$4}")
+    c = F.regexp_replace(c, r"(?<!\\)\bsqrt(?=\{)", r"\\sqrt")
+    return F.regexp_replace(c, r"(?:(?<!\\)\b|\\)sqrt(?:([a-zA-Z0-9])\b|\(([^)]+)\))", r"\\sqrt{$1$2}")
+
+
+def closed_braces(c: Column) -> Column:
+    """As many closing braces as opening ones, put at the end; missing opening ones at the begin."""
+    n = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    off = n("{") - n("}")
+    return F.concat(F.repeat(F.lit("{"), F.greatest(-off, F.lit(0)).cast("int")), c, F.repeat(F.lit("}"), F.greatest(off, F.lit(0)).cast("int")))

@@ -118,6 +118,49 @@ def tagged_paper(t) -> DataFrame:
     return tagged_blocks(t("part").select(k.alias("id"), body.alias("body")))
 
 
+#: A question's number at the begin of a line, in the forms that papers without tags have.
+NUMBER = r"(?i)^(?:(?:Q(?:uestion)?\s*)?(\d{1,3})[).:\-\s]+|\((\d{1,3})\)\s+)"
+
+
+def plain_blocks(papers: DataFrame) -> DataFrame:
+    """Blocks of papers without tags (id, body): id, block, section, number, stem, options, passage.
+
+    A header or a question's number opens a block; blocks without lines are left out.  Option
+    lines with one marker are options, and lines after them go on with the last one.  What stands
+    between the header of a comprehension section and its first question is that one's passage.
+    """
+    l = papers.select("id", F.posexplode(F.split(F.regexp_replace("body", r"\r\n", "\n"), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    line = F.col("line")
+    header = read.section_name(line)
+    start = header.isNull() & line.rlike(NUMBER)
+    option = header.isNull() & ~start & read.is_option(line) & (F.size(F.array_distinct(read.marker_labels(line))) < 2)
+    w = Window.partitionBy("id").orderBy("pos")
+    l = l.withColumns({"header": header, "start": start, "is_option": option})
+    l = l.withColumns({"block": F.count_if(F.col("header").isNotNull() | F.col("start")).over(w), "section": F.coalesce(F.last("header", ignorenulls=True).over(w), F.lit("General"))})
+    inside = Window.partitionBy("id", "block").orderBy("pos")
+    l = l.withColumns({"option": F.count_if("is_option").over(inside), "opened": F.max("start").over(inside)}).where("header is null")
+    said = F.when(F.col("start"), F.regexp_replace("line", NUMBER, "")).when(F.col("is_option"), F.concat_ws(":", read.option_label(line), read.option_text(line))).otherwise(line)
+    number = F.when(F.col("start"), F.concat(F.regexp_extract("line", NUMBER, 1), F.regexp_extract("line", NUMBER, 2)).try_cast("int"))
+    passage = ~F.col("opened") & F.lower("section").rlike("comprehension|passage") & (F.col("option") == 0)
+    l = l.select("id", "block", "section", "pos", "option", number.alias("number"), passage.alias("passage"), said.alias("said"))
+    g = l.groupBy("id", "block", "section").agg(F.max("number").alias("number"), F.array_sort(F.collect_list(F.struct("pos", "option", "passage", "said"))).alias("lines"))
+    of = lambda keep: F.array_join(F.transform(F.filter("lines", keep), lambda x: x["said"]), "\n")
+    options = F.aggregate(F.filter("lines", lambda x: x["option"] > 0), F.struct(F.lit("").alias("said"), F.lit(0).cast("bigint").alias("option")), lambda a, x: F.struct(F.concat(a["said"], F.when(a["said"] == "", "").when(a["option"] == x["option"], " ").otherwise("|"), x["said"]).alias("said"), x["option"].alias("option")), lambda a: a["said"])
+    g = g.select("id", "block", "section", "number", of(lambda x: (x["option"] == 0) & ~x["passage"]).alias("stem"), options.alias("options"), of(lambda x: x["passage"]).alias("own"))
+    before = F.lag(F.struct("section", "own")).over(Window.partitionBy("id").orderBy("block"))
+    g = g.withColumn("before", before)
+    passage = F.when(F.col("before.section") == F.col("section"), F.nullif(F.col("before.own"), F.lit("")))
+    return g.withColumn("passage", passage).where("stem <> '' or options <> ''").select("id", "block", "section", "number", "stem", "options", "passage")
+
+
+@query("""SELECT p_partkey AS id, CAST(b AS BIGINT) AS block, s AS section, CAST(n AS INT) AS number, replace(stem, '#', p_name) AS stem, options, replace(passage, '#', p_name) AS passage FROM part, (VALUES
+ (0, 'General', NULL, 'About # here', '', NULL), (1, 'General', 1, 'What is #?' || chr(10) || 'Say it.', 'a:one and on|b:two', NULL), (2, 'General', 2, 'Which (a) x or (b) y?', '', NULL), (5, 'Comprehension', 12, 'Who ran?', '', 'A story of a # is told.' || chr(10) || 'It is long.'), (6, 'Comprehension', 13, 'Why?', 'a:so', NULL)) AS v(b, s, n, stem, options, passage)""")
+def plain_paper(t) -> DataFrame:
+    """Question blocks of papers without tags; the SQL states what each paper must give."""
+    body = F.concat(F.lit("About "), "p_name", F.lit(" here\n1. What is "), "p_name", F.lit("?\nSay it.\n\nA: one\nand on\nB: two\r\nQ2) Which (a) x or (b) y?\nSection B\nComprehension\nA story of a "), "p_name", F.lit(" is told.\nIt is long.\n(12) Who ran?\nQuestion 13: Why?\nA: so"))
+    return plain_blocks(t("part").select(F.col("p_partkey").alias("id"), body.alias("body")))
+
+
 def chosen(pool: DataFrame, specs: list[tuple[str, int, list[str]]]) -> DataFrame:
     """Questions for the sections of a paper: section, id, place.
 
@@ -179,3 +222,59 @@ def paper_selection(t) -> DataFrame:
     p = t("part").where((size < 49) | (F.col("p_type") == "PROMO"))
     pool = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("chapter"), level.alias("difficulty"), F.concat("p_name", "p_type").alias("key"), F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-sel"))).alias("h"))
     return chosen(pool, _SPECS)
+
+
+_MATHS = {0: ("frac12 and sqrtx of ½", r"\frac{1}{2} and \sqrt{x} of \frac{1}{2}", ""), 1: (r"\frac{a} and \sqrt(y+1) {x", r"\frac{a} and \sqrt{y+1} {x}", "fraction"), 2: ("P(A and frac{1}{2} $", r"P(A and \frac{1}{2} $", "probability,dollars"), 3: (r"\fracab } done", r"{\frac{a}{b} } done", ""), 4: ("fraction and sqrtxy", "fraction and sqrtxy", "")}
+_MATHS_SQL = ", ".join(f"({k}, '{a}', '{b}')" for k, (_, a, b) in _MATHS.items())
+
+
+@query(f"SELECT p_partkey, said, wrong FROM part JOIN (VALUES {_MATHS_SQL}) AS v(k, said, wrong) ON p_partkey % 5 = k")
+def prepared_maths(t) -> DataFrame:
+    """Formulas written in full with their braces closed, and what is still wrong; the SQL states what each gives."""
+    kinds = t("part").sparkSession.createDataFrame([(k, raw) for k, (raw, _, _) in _MATHS.items()], "k bigint, raw string")
+    p = t("part").select("p_partkey", (F.col("p_partkey") % 5).alias("k")).join(F.broadcast(kinds), "k")
+    p = p.select("p_partkey", clean.prepared_math(F.col("raw")).alias("m"))
+    return p.select("p_partkey", clean.closed_braces(F.col("m")).alias("said"), F.array_join(clean.malformed(F.col("m")), ",").alias("wrong"))
+
+
+@query("SELECT p_partkey, 'A long line that goes on ' || p_name || ' and' || chr(10) || '(a) one' || chr(10) || '1. ' || p_type || ' is of more.' || chr(10) || 'Next , then' AS said FROM part")
+def merged_lines(t) -> DataFrame:
+    """Lines that go on with the one before, in order of the merged text."""
+    c = F.concat(F.lit("A long line\ngoes on\n"), "p_name", F.lit(" and\n(a) one\n1. "), "p_type", F.lit(" is of\nmore.\nNext\n, then\n"))
+    return t("part").select("p_partkey", clean.merged_lines(F.replace(c, F.lit("line\ngoes"), F.lit("line that\ngoes"))).alias("said"))
+
+
+@query("SELECT p_partkey, p_name || ' [FIGURE_0] and [FIGURE_1] end' AS said, 'data:image/png;base64,AA' || p_partkey || '=,data:image/gif;base64,Bz+/' AS data FROM part")
+def isolated_figures(t) -> DataFrame:
+    """Embedded images out of the text, in order."""
+    c = F.concat("p_name", F.lit(' <img alt="x" src="data:image/png;base64,AA'), F.col("p_partkey").cast("string"), F.lit('="/> and data:image/gif;base64,Bz+/ end'))
+    text, data = clean.isolated_figures(c)
+    return t("part").select("p_partkey", text.alias("said"), F.array_join(data, ",").alias("data"))
+
+
+@query("""SELECT p_brand AS paper, '<h1>' || p_brand || '</h1><ol>' || string_agg('<li>' || p_name || ' (' || (p_size % 4 + 1) || ')</li>', '' ORDER BY p_partkey) || '</ol>' AS html, string_agg(chr(CAST(65 + p_partkey % 4 AS INT)), ' ' ORDER BY p_partkey) AS key, CAST(sum(p_size % 4 + 1) AS BIGINT) AS marks
+FROM part WHERE p_brand <> 'Brand#3' GROUP BY p_brand""")
+def paper_export(t) -> DataFrame:
+    """Papers as HTML with their answer keys; drafts are left out."""
+    marks = F.col("p_size") % 4 + 1
+    item = F.concat(F.lit("<li>"), read.html_escaped(F.col("p_name")), F.lit(" ("), marks.cast("string"), F.lit(")</li>"))
+    p = t("part").where("p_brand <> 'Brand#3'").select("p_brand", "p_partkey", item.alias("item"), F.chr(65 + F.col("p_partkey") % 4).alias("letter"), marks.alias("marks"))
+    p = p.groupBy(F.col("p_brand").alias("paper")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "item", "letter"))).alias("q"), F.sum("marks").cast("bigint").alias("marks"))
+    html = F.concat(F.lit("<h1>"), read.html_escaped(F.col("paper")), F.lit("</h1><ol>"), F.array_join(F.transform("q", lambda x: x["item"]), ""), F.lit("</ol>"))
+    return p.select("paper", html.alias("html"), F.array_join(F.transform("q", lambda x: x["letter"]), " ").alias("key"), "marks")
+
+
+@query("SELECT a.p_partkey AS replaced, (SELECT arg_min(b.p_partkey, (md5(CAST(b.p_partkey AS VARCHAR)), b.p_partkey)) FROM part b WHERE b.p_type = a.p_type AND b.p_partkey % 10 <> 0) AS by_question FROM part a WHERE a.p_partkey % 100 = 0")
+def replaced_questions(t) -> DataFrame:
+    """Another question of the chapter for each that goes; those in use are left out."""
+    p = t("part").select("p_partkey", "p_type", F.md5(F.col("p_partkey").cast("string")).alias("h"))
+    free = p.where("p_partkey % 10 <> 0").groupBy("p_type").agg(F.min_by("p_partkey", F.struct("h", "p_partkey")).alias("by_question"))
+    return p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("replaced"), "p_type").join(free, "p_type", "left").drop("p_type")
+
+
+@query("SELECT s_suppkey AS slot, coalesce(n_nationkey, -1) AS question, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 9 END, n_regionkey, 4) AS marks FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey * 2")
+def applied_selection(t) -> DataFrame:
+    """Chosen questions put into the places of a paper, which keep their own marks."""
+    n = t("nation").select((F.col("n_nationkey") * 2).alias("at"), F.col("n_nationkey").alias("question"), "n_regionkey")
+    s = t("supplier").select(F.col("s_suppkey").alias("slot")).join(n, F.col("slot") == F.col("at"), "left")
+    return s.select("slot", F.coalesce("question", F.lit(-1)).alias("question"), F.coalesce(F.when(F.col("slot") % 3 == 0, 9), "n_regionkey", F.lit(4)).alias("marks"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import percent, similarity
+from .assessment import score_attempts
 from .ranking import best, latest, placed_in
-from .registry import query
+from .registry import ORACLES, query
 
 
 def half_up(c: Column, digits: int = 0) -> Column:
@@ -303,3 +304,13 @@ def started_attempts(t) -> DataFrame:
     c = t("customer").select(F.col("c_custkey").alias("user_id")).join(n, F.col("user_id") == F.col("o_custkey"), "left")
     done = F.coalesce("done", F.lit(0))
     return c.select("user_id", "resumed", (F.col("resumed").isNull() & (done < 12)).alias("created"), (done + 1).alias("number"))
+
+
+_SUBMITTED = f"""SELECT s.attempt_id, s.score, s.pct, CASE WHEN p.place IS NULL THEN 'unranked' ELSE 'ranked' END AS state, p.place FROM ({ORACLES['score_attempts']}) s LEFT JOIN (SELECT o_orderkey AS attempt_id, place FROM orders LEFT JOIN (SELECT o_orderkey AS k, CAST(row_number() OVER (PARTITION BY test_id ORDER BY score DESC, o_orderdate, o_custkey) AS BIGINT) AS place FROM ({_BEST})) ON o_orderkey = k) p USING (attempt_id)"""
+
+
+@query(_SUBMITTED)
+def submitted_attempts(t) -> DataFrame:
+    """Attempts scored answer by answer, with the rank of each that is a student's best."""
+    s = score_attempts(t).select("attempt_id", "score", "pct").join(attempt_ranks(t), "attempt_id", "left")
+    return s.select("attempt_id", "score", "pct", F.when(F.col("place").isNull(), "unranked").otherwise("ranked").alias("state"), "place")
