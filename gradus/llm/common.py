@@ -88,3 +88,18 @@ def space_words(c: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a string column; null and blank texts have none."""
     parts = F.split(F.coalesce(c, F.lit("")), SPACE)
     return F.filter(parts, lambda w: w != "")
+
+
+def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """`df`, in a session whose Arrow batches have about `size` bytes at most: at the default of 64
+    MB the buffers on both sides of a Python worker hold a large part of an executor's memory.
+
+    Spark reads this setting when a query runs, which is after this returns; so it stays, and the
+    session's later queries have it too.  A smaller setting of the caller's is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    held = re.fullmatch(r"(-?\d+)b?", conf.get(name))
+    if not held or not 0 < int(held[1]) <= size:
+        conf.set(name, str(size))
+    return df

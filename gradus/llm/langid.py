@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import small_batches
 from .words import mix
 
 ORDER = 5
@@ -283,7 +284,7 @@ def judged(docs: DataFrame, model) -> DataFrame:
     docs = docs.drop(*(x.split()[0] for x in JUDGED.split(", ")))
     sent = docs.sparkSession.sparkContext.broadcast(model) if isinstance(model, Model) else model
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(JUDGED).fields])
-    return docs.mapInArrow(_judge(sent, docs.columns.index("text")), schema)
+    return small_batches(docs).mapInArrow(_judge(sent, docs.columns.index("text")), schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffles_freed
+from .common import shared_dir, shuffles_freed, small_batches
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
@@ -409,7 +409,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     training rows both are 0.  A row for each input row; rows equal in doc_id and text have one
     result each.  Long texts are read in whole; a task holds one at a time.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     a, values = train(docs.where("training").select("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(_traverse(docs.sparkSession.sparkContext.broadcast(a)), _ROWS)
     # A document's own row has its own key, so that these rows do not meet in one task.

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """the of and to in a is it that for on with as was are be this by at from or an not have but they which you
@@ -210,5 +212,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = pa.array([main_text(h) if h else "" for h in part.column(2).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["page_id", "url", "text"])
 
-    out = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
+    out = small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

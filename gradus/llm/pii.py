@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Made rows of each kind in the labelled table.
 LABELLED = 60
 KINDS = ("email", "ip", "card", "phone")
@@ -305,4 +307,4 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 digests = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found])
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array([_joined(x) for _, x in found])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
