@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import small, space_words
 
 #: Documents of a bucket of keys, about: what one window of the prefix sum holds.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
