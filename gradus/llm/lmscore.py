@@ -277,7 +277,7 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n = n or 0
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    _, (hot, number) = _hot(counts.where("n >= 2"), HOT, "n")
+    word_least, (hot, number) = _hot(counts.where("n >= 2"), HOT, "n")
     # Where all words that occur twice are hot, no other has to be looked for.
     a = Automaton(n, v, discount, Table(hot), number, None if len(hot) == v - n1 else kept)
 
@@ -308,8 +308,7 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     a.values = np.log10(hot_p) + np.log10(hot_left)
 
     code = F.col("k").bitwiseOR(F.lit(-(1 << 63))).alias("k")
-    rare = counts.where("n >= 2").select("k", "n")
-    rare = rare.join(F.broadcast(spark.createDataFrame(pa.table({"k": hot.view(np.int64)}))), "k", "left_anti") if len(hot) < v - n1 else rare.limit(0)
+    rare = counts.where((F.col("n") >= 2) & (F.col("n") < word_least))
     rare = rare.select(code, "n").join(by_word.where("h < 0").withColumnRenamed("h", "k"), "k", "left")
     rare = held(rare.select("k", "n", left.alias("left"), empty_p(a, F.col("n")).alias("p")), "states")
 
