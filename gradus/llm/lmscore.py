@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffles_freed, small_batches
+from .common import cut, dropped, shared_dir, shuffles_freed, small_batches
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
 HOT, HOT_GRAMS = 1 << 20, 1 << 19
 #: Bits of the filter of kept n-grams of an order, as a power of two, at most.
-BITS = 26
+BITS = 27
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up, and of a range that another adds up.
@@ -239,9 +239,9 @@ def _hot(rows: DataFrame, most: int, *columns: str) -> tuple[int, list[np.ndarra
     return least, [k[order], *(got[c].to_numpy().astype(np.float64)[order] for c in columns)]
 
 
-def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton of a table of texts (text), and the table of what it leaves to a join:
-    k, n (of words, else null), v.
+def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
+    """The automaton of a table of texts (text), and the tables of what it leaves to joins, one of
+    words and pairs, one of triples: k, n (of words, else null), v.
 
     Three passes count words, pairs and triples of the whole corpus; each count is added up
     in tasks before it is shuffled.  A triple can occur twice only if both its pairs do, and a
@@ -342,12 +342,12 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     a.pairs = Table(keys)
     triple_least, (keys, a.triple_values) = _hot(last, HOT_GRAMS, "v")
     a.triples = Table(keys)
+    for name in ("order-2", "order-3", "taken"):  # read for the last time
+        dropped(spark, f"{folder}/{name}")
     nothing = F.lit(None).cast("bigint").alias("n")
-    table = rare.select("k", "n", F.log10("left").alias("v"))
-    table = table.union(counts.where("n = 1").select(code, "n", F.lit(0.0)))
-    for rows, least in ((arcs, pair_least), (last, triple_least)):
-        table = table.union(rows.where(F.col("n") < least).select("k", nothing, "v"))
-    return a, table
+    told_by_join = lambda rows, least: rows.where(F.col("n") < least).select("k", nothing, "v")
+    words = rare.select("k", "n", F.log10("left").alias("v")).union(counts.where("n = 1").select(code, "n", F.lit(0.0)))
+    return a, [words.union(told_by_join(arcs, pair_least)), told_by_join(last, triple_least)]
 
 
 def empty_p(a: Automaton, c: Column) -> Column:
@@ -360,9 +360,10 @@ _OWN = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known",
 _ROWS = "row bigint, k bigint, word boolean, own struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
 
-def _traverse(model):
-    """Per document a row of what its tokens and hot n-grams bring, whose k is its row's number,
-    and a row for each of its other n-grams; `word` tells words."""
+def _traverse(model, step: int):
+    """First, per document a row of what its tokens and hot n-grams bring, whose k is its row's
+    number, and a row for each of its other words and pairs, where `word` tells words; in the
+    second step a row for each of its other triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = model.value
@@ -376,18 +377,20 @@ def _traverse(model):
                 wid = code[known].astype(np.int64)
                 lp[known] = a.values[wid]
                 base[known] = a.base_logp(a.counts[wid])
-                rest = [(doc[~known], code[~known])]
-                for g, hot, values in ((pairs, a.pairs, a.pair_values), (triples, a.triples, a.triple_values)):
+                rest = [(doc[~known], code[~known])] if step == 0 else [(doc[:0], code[:0])]
+                for order, (g, hot, values) in enumerate(((pairs, a.pairs, a.pair_values), (triples, a.triples, a.triple_values))):
                     if g is None:
                         continue
                     place, seen = hot.find(g.key)
                     lp[g.at[seen]] += values[place[seen]]
-                    rest.append((doc[g.at[~seen]], g.key[~seen]))
+                    if order == step:
+                        rest.append((doc[g.at[~seen]], g.key[~seen]))
                 lo = first[:-1]
                 sums = [np.add.reduceat(x, lo) for x in (known.astype(np.int64), base, lp)]  # every document has its end
                 rows = batch.column(2).slice(start, docs)
-                own = pa.StructArray.from_arrays([batch.column(0).slice(start, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], fields=list(_OWN))
-                yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.zeros(docs, bool)), own], ["row", "k", "word", "own"])
+                if step == 0:
+                    own = pa.StructArray.from_arrays([batch.column(0).slice(start, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], fields=list(_OWN))
+                    yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.zeros(docs, bool)), own], ["row", "k", "word", "own"])
                 rows = rows.to_numpy()
                 d, k = (np.concatenate(x) for x in zip(*rest, strict=True))
                 if len(k):
@@ -409,22 +412,29 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     result each.  Long texts are read in whole; a task holds one at a time.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
-    a, values = train(docs.where("training").select("text"))
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(_traverse(docs.sparkSession.sparkContext.broadcast(a)), _ROWS)
-    # A document's own row has its own key, so that these rows do not meet in one task.
-    rows = rows.join(values, "k", "left")
+    a, tables = train(docs.where("training").select("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(a)
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     c = F.coalesce("n", F.lit(0))
     word = F.col("word")
     nil = F.lit(0.0)
     other = F.col("own").isNull()
-    out = rows.groupBy("row").agg(
-        F.max("own.doc_id").alias("doc_id"),
-        F.sum("own.n_tokens").alias("n_tokens"),
-        F.sum(F.when(other, F.when(word & (c > 0), 1).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
-        F.sum(F.when(other, F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
-        F.sum(F.when(other, F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil)).otherwise(F.col("own.score"))).alias("score"),
-        F.count("own").alias("rows"),
-    )
+
+    def summed(step: int, values: DataFrame) -> DataFrame:
+        # A document's own row has its own key, so that these rows do not meet in one task.
+        rows = keyed.mapInArrow(_traverse(sent, step), _ROWS).join(values, "k", "left")
+        return rows.groupBy("row").agg(
+            F.max("own.doc_id").alias("doc_id"),
+            F.sum("own.n_tokens").alias("n_tokens"),
+            F.sum(F.when(other, F.when(word & (c > 0), 1).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
+            F.sum(F.when(other, F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
+            F.sum(F.when(other, F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil)).otherwise(F.col("own.score"))).alias("score"),
+            F.count("own").alias("rows"),
+        )
+
+    # One order after the other, so that the shuffles of one are gone before the next.
+    parts = [cut(summed(step, values)) for step, values in enumerate(tables)]
+    out = parts[0].union(parts[1]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score", "rows")))
     # Rows equal in doc_id and text met in one group: one result each again.
     each = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))
     out = out.select("*", each.alias("copy"))
