@@ -79,7 +79,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     # read once more.
     named = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
     first = named.groupBy("blob").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = small(cut(named.join(first, "blob").where("row <> first").select("row").distinct()))
+    copies = small(cut(named.join(small(cut(first), 200_000), "blob").where("row <> first").select("row").distinct()))
     unseen = rows.join(copies, "row", "left_anti").select(F.sha2("text", 256).alias("blob"), "text")
     if ledger is not None:
         fresh = cut(fresh.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti"))
