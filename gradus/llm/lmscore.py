@@ -33,11 +33,11 @@ from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, w
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
 HOT, HOT_GRAMS = 1 << 20, 1 << 19
 #: Bits of the filter of kept n-grams of an order, as a power of two, at most.
-BITS = 27
+BITS = 26
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up, and of a range that another adds up.
-FLUSH = RANGE = 1_000_000
+FLUSH, RANGE = 500_000, 1_000_000
 
 _END = np.uint64(0)  # hash of the token that ends a text
 _ID = 20  # bits of a hot word's number
