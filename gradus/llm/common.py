@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut lineage with a table in the shared folder; the shuffles that made it go at once."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the one that spark.checkpoint.dir names.
 

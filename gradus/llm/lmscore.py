@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, shared_dir, shuffles_freed, small_batches
+from .common import dropped, shared_dir, small_batches, written
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
@@ -252,9 +252,7 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     def held(df: DataFrame, name: str) -> DataFrame:
-        with shuffles_freed(spark):
-            df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return written(df, f"{folder}/{name}")
 
     def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
         parts = max(3, min(30, int(about // RANGE).bit_length()))
@@ -433,7 +431,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         )
 
     # One order after the other, so that the shuffles of one are gone before the next.
-    parts = [cut(summed(step, values)) for step, values in enumerate(tables)]
+    parts = [written(summed(step, values)) for step, values in enumerate(tables)]
     out = parts[0].union(parts[1]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score", "rows")))
     # Rows equal in doc_id and text met in one group: one result each again.
     each = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))
