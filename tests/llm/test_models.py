@@ -91,13 +91,13 @@ def test_lm_keeps_rare_ngrams(spark, monkeypatch):
     """n-grams that occur twice among millions of tokens are arcs, in tasks or in the join."""
     rows = [(1, "x " * 3_300_000), (2, "rare one two three x"), (3, "rare one two three y"), (4, "z rare one two"), (5, None), (None, "two three y new")]
     model = Backoff([t for i, t in rows if i])
-    want = Counter((i, round(model.score(t), 3)) for i, t in rows)
+    want = {i: model.score(t) for i, t in rows}  # sums of millions of terms, in another order
     assert ("rare", "one", "two") in model.three
     for hot in (1 << 20, 2, 0):
         monkeypatch.setattr(lmscore, "HOT", hot)
         monkeypatch.setattr(lmscore, "HOT_GRAMS", hot)
         got = lmscore.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id").isNotNull()).collect()
-        assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want, hot
+        assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) <= 1e-8 * abs(want[r.doc_id]) for r in got), hot
 
 
 def test_lm_mass():
