@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, langid, lmscore, mainhtml, mixing, pii, secrets, warc
+from . import audit, clusters, decontaminate, fingerprint, jaccard, langid, linededup, lmscore, mainhtml, mixing, pii, secrets, warc
 from .common import shared_dir, table
 from .sql import ORACLES
 
@@ -74,6 +74,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(docs, found=ledger.update(docs))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,4 +95,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES", "mixed"]
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op6_pii, op7_language_id, op8_decontamination, op9_html_extraction, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_mixing, op3_jaccard_join, op4_warc, op5_fingerprint, op6_pii, op7_language_id, op8_decontamination, op9_html_extraction, op10_secret_scan, op11_line_dedup, op12_filter_audit, op13_clustering, pipeline)}

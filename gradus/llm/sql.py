@@ -75,3 +75,44 @@ SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256
 
 
 ORACLES["op10_secret_scan"] = _secrets()
+
+ORACLES["op11_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, p, l[p] AS line, translate(trim(l[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM d)),
+k AS (SELECT key, max(doc_id) AS last FROM x WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5)
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT x.*, k.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM x LEFT JOIN k USING (key)) GROUP BY r"""
+
+# Documents meet orders one by one.
+ORACLES["op12_filter_audit"] = rf"""
+WITH s AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS first FROM t GROUP BY t),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(t.doc_id > first, false)] AS bad FROM t JOIN e USING (t) LEFT JOIN s ON t.doc_id = s.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+r AS (SELECT part, good, toxic, filter_order, list_transform([1, 2, 3, 4, 5], lambda i: bad[instr('ABCDE', filter_order[i])]) AS b FROM f, o),
+g AS (SELECT part, filter_order, step, filter_order[step] AS filter, count(*) FILTER (NOT list_contains(b[1:step], true)) AS kept, count(*) FILTER (here) AS removed,
+  count(*) FILTER (b[step] AND NOT here) AS redundant, count(*) FILTER (b[step] AND len(list_filter(b, lambda x: x)) = 1) AS unique_fails, count(*) FILTER (here AND good) AS good_lost, count(*) FILTER (here AND toxic) AS toxic_lost
+  FROM (SELECT *, b[step] AND NOT list_contains(b[1:step - 1], true) AS here FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM r)) GROUP BY ALL)
+SELECT * EXCLUDE (filter), CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM g"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Every distance in every round; components and centroids as rows."""
+    steps = [f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS (SELECT r, unnest(range(64)) AS i, unnest(x) AS x FROM v),
+c0 AS (SELECT c, unnest(range(64)) AS i, unnest(x) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM v) WHERE c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS (SELECT r, min({{'d': d, 'c': c}}) AS m FROM (SELECT r, c, CAST(sum((p.x - q.x) * (p.x - q.x)) AS BIGINT) AS d FROM p JOIN c{n} q USING (i) GROUP BY r, c) GROUP BY r)")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT m.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN p USING (r) GROUP BY ALL),
+c{n + 1} AS (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN s{n} USING (c, i))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) w ON w.c = m.c"""
+
+
+ORACLES["op13_clustering"] = _clusters()
