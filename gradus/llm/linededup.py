@@ -54,7 +54,7 @@ class LineRuns:
     Runs are named in the session's catalogue; `close` removes them and their files.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4):
         self._spark, self._fanout = spark, fanout
         self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._name = f"lines_{uuid.uuid4().hex}"
@@ -98,20 +98,20 @@ class LineRuns:
             self._gone(full)
             at += 1
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch (h1, h2, n, last; a hash once) and return its hashes that were new.
-
-        The batch merge-anti-joins the runs; what is left is its own run.  Hashes that runs had
-        are added to the tallies.  `batch` is read twice: it should be a table.
-        """
-        known = [n for level in self._known for n in level]
-        fresh = reduce(lambda rows, run: rows.join(self._spark.table(run), HASH, "left_anti"), known, batch)
-        run = self.stored(fresh)
-        if known:
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """What of a batch (h1, h2, n, last) no run holds: a merge-anti-join with each run.  Read
+        it before `add`, which may compact the runs."""
+        known = (self._spark.table(n) for level in self._known for n in level)
+        return reduce(lambda rows, run: rows.join(run, HASH, "left_anti"), known, batch)
+
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch (h1, h2, n, last; a hash once): its new hashes are its run, and the others
+        go to the tallies.  `batch` is read twice: it should be a table."""
+        first = not any(self._known)
+        run = self.stored(self.fresh(batch))
+        if not first:
             self._push(self._tallies, self.stored(batch.join(self._spark.table(run), HASH, "left_anti")))
-        new = cut(self._spark.table(run).select(*HASH))
         self._push(self._known, run)
-        return new
 
     def frequent(self, least: int = 5) -> DataFrame:
         """h1, h2, last of the hashes that `least` documents of all batches hold."""
