@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.markup import BLOCKS, formula_parts, has_end, html_nodes, with_nodes, within
+from ..sources.markup import BLOCKS, has_end, html_nodes, with_nodes, within
 from .intake import html_unescaped
 from .mathml import page_with_latex
 
@@ -139,5 +139,5 @@ def plain_text(blocks: DataFrame, *keys: str) -> DataFrame:
 def page_blocks(pages: DataFrame, html: str, *keys: str, into: tuple[str, ...] = ()) -> DataFrame:
     """Typed blocks of pages, as `joined_blocks`, with formulas as LaTeX.  Rows with equal keys
     must not repeat: keys name a page."""
-    latex = pages.select(*keys, page_with_latex(formula_parts(F.col(html))).alias("html"))
+    latex = pages.select(*keys, page_with_latex(F.col(html)).alias("html"))
     return joined_blocks(units(with_nodes(latex, html_nodes, "html", *keys), *keys, into=into), *keys)

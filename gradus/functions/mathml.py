@@ -1,11 +1,20 @@
-"""Mathematics of word processors and browsers (OMML, MathML) as LaTeX: a fold of their trees."""
+"""Mathematics of word processors and browsers (OMML, MathML) as LaTeX: a fold of their trees.
+
+A formula's nodes are folded from the last to the first: each takes the folded nodes one level
+deeper, which are its children, and gives what the rule of its kind makes of them.  An Arrow
+function does so for a batch of pages; the same rules as column expressions took thirty times as
+long, since Spark interprets the lambdas of folds.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from ..sources.markup import formula_spans, parsed
 
 # Operators, functions, marks over a letter, and signs of sums, as LaTeX.
 OPERATORS = {"⋂": r"\cap", "⋃": r"\cup", "×": r"\times", "÷": r"\div", "±": r"\pm", "→": r"\rightarrow", "⇒": r"\Rightarrow", "≠": r"\neq", "≤": r"\le", "≥": r"\ge", "∞": r"\infty", "&InvisibleTimes;": ""}
@@ -14,146 +23,209 @@ OVER = {"vec": ("→", r"\rightarrow", "⃗"), "hat": ("^", "̂", "hat"), "bar":
 LARGE = {"∫": r"\int", "Integral": r"\int", "∑": r"\sum", "Sum": r"\sum", "∏": r"\prod", "Product": r"\prod"}
 SPACED = ("math", "mrow", "mtr", "mtd")
 
-#: What a folded node is to its parent: its LaTeX by its own rule, its content's without that
-#: rule, cells of a row, its texts, its plain text, and the values that properties carry.
-_FOLDED = ("name", "latex", "inner", "cells", "cells_plain", "texts", "plain", "val", "chr", "beg", "end")
 
 
-def balanced(s: Column) -> Column:
+class Folded(NamedTuple):
+    """A folded node: its kind, LaTeX by its own rule and that of its content, plain text of both,
+    its texts, its attributes, its children."""
+
+    kind: str
+    latex: str
+    inner: str
+    plain: str
+    inner_plain: str
+    texts: str
+    attributes: dict
+    kids: tuple
+
+
+def balanced(s: str) -> bool:
     """Whether braces in a string close what they open."""
-    step = lambda n, c: F.when((n < 0) | (c == ""), n).when(c == "{", n + 1).otherwise(n - 1)
-    return F.aggregate(F.split(F.regexp_replace(s, "[^{}]", ""), ""), F.lit(0), step) == 0
+    depth = 0
+    for c in s:
+        depth += (c == "{") - (c == "}")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+_NONE = Folded("", "", "", "", "", "", {}, ())
+
+
+def _joined(parts, sep: str) -> str:
+    return sep.join(x for x in parts if x)
+
+
+class Kids:
+    """A node's children by name and by place; those that are missing are empty."""
+
+    def __init__(self, kids: tuple, attributes: dict, texts: str):
+        self.all, self.attributes, self.texts, self.word = kids, attributes, texts, texts.strip()
+
+    def has(self, kind: str) -> bool:
+        return any(k.kind == kind for k in self.all)
+
+    def named(self, kind: str) -> list[Folded]:
+        return [k for k in self.all if k.kind == kind]
+
+    def __getitem__(self, key: str | int) -> Folded:
+        if isinstance(key, int):
+            return self.all[key] if key < len(self.all) else _NONE
+        return next((k for k in self.all if k.kind == key), _NONE)
+
+    def value(self, properties: str, kind: str) -> str:
+        """The `val` of a property: a child of the child that holds properties."""
+        held = next((k for k in self[properties].kids if k.kind == kind), _NONE)
+        return held.attributes.get("val", "")
+
+    def spaced(self) -> str:
+        return _joined((k.latex for k in self.all), " ")
+
+
+def _fenced(left: str, right: str, body: str) -> str:
+    sign = lambda c: f"\\{c}" if c in "{}" else c
+    return f"\\left{sign(left)} {body} \\right{sign(right)}"
+
+
+def _over(mark: str, body: str) -> str:
+    kind = next((k for k, marks in OVER.items() if mark in marks), None)
+    return f"\\{kind}{{{body}}}" if kind else f"\\overset{{{mark}}}{{{body}}}"
+
+
+def _cells(rows: list[Folded], cell: str, field: str) -> list[list[str]]:
+    return [[getattr(k, field) for k in r.kids if k.kind == cell] for r in rows]
+
+
+def _matrix(row: str, cell: str, field: str) -> tuple[Callable, Callable]:
+    tex = lambda k: "\\begin{matrix}" + " \\\\ ".join(" & ".join(c) for c in _cells(k.named(row), cell, field)) + "\\end{matrix}"
+    return tex, lambda k: [x for c in _cells(k.named(row), cell, "inner_plain") for x in c]
+
+
+def _identifier(word: str) -> str:
+    if len(word) < 2 or word.startswith("\\"):
+        return word
+    return f"\\{word}" if word in FUNCTIONS else f"\\text{{{word}}}"
+
+
+def _large(k: Kids) -> str:
+    sign = k.value("narypr", "chr")
+    limits = (f"_{{{k['sub'].inner}}}" if k.has("sub") else "") + (f"^{{{k['sup'].inner}}}" if k.has("sup") else "")
+    return (LARGE.get(sign, sign) if sign else "\\sum") + limits + " " + k["e"].inner
+
+
+def _root(index: str | None, body: str) -> str:
+    return f"\\sqrt{{{body}}}" if index is None else f"\\sqrt[{index}]{{{body}}}"
+
+
+def _by(*kinds: str) -> Callable[[Kids], list[str]]:
+    return lambda k: [k[x].inner_plain for x in kinds]
 
 
-def _trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+def _at(*places: int) -> Callable[[Kids], list[str]]:
+    return lambda k: [k[i].plain for i in places]
 
 
-def _bound(value: Column, use) -> Column:
-    """`use` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _all(k: Kids) -> list[str]:
+    return [x.plain for x in k.all]
 
 
-def _joined(items: Column, field: str, sep: str) -> Column:
-    return F.array_join(F.filter(F.transform(items, lambda k: k[field]), lambda x: x != ""), sep)
+#: The rule of a kind: its LaTeX, and its plain text in parts.
+RULES: dict[str, tuple[Callable[[Kids], str], Callable[[Kids], list[str]]]] = {
+    "#text": (lambda k: k.texts, lambda k: [k.texts]),
+    "t": (lambda k: k.texts, lambda k: [k.texts]),
+    "mi": (lambda k: _identifier(k.word), lambda k: [k.word]),
+    "mn": (lambda k: k.word, lambda k: [k.word]),
+    "mo": (lambda k: OPERATORS.get(k.word, k.word), lambda k: [k.word]),
+    "mtext": (lambda k: f"\\text{{{k.texts}}}", lambda k: [k.texts]),
+    "math": (lambda k: f"\n$${k.spaced()}$$\n" if k.attributes.get("display") == "block" else f"${k.spaced()}$", _all),
+    "f": (lambda k: f"\\frac{{{k['num'].inner}}}{{{k['den'].inner}}}", _by("num", "den")),
+    "mfrac": (lambda k: f"\\frac{{{k[0].latex}}}{{{k[1].latex}}}", _at(0, 1)),
+    "ssup": (lambda k: f"{k['e'].inner}^{{{k['sup'].inner}}}", _by("e", "sup")),
+    "msup": (lambda k: f"{k[0].latex}^{{{k[1].latex}}}", _at(0, 1)),
+    "ssub": (lambda k: f"{k['e'].inner}_{k['sub'].inner}", _by("e", "sub")),
+    "msub": (lambda k: f"{k[0].latex}_{k[1].latex}", _at(0, 1)),
+    "ssubsup": (lambda k: f"{k['e'].inner}_{{{k['sub'].inner}}}^{{{k['sup'].inner}}}", _by("e", "sup", "sub")),
+    "msubsup": (lambda k: f"{k[0].latex}_{{{k[1].latex}}}^{{{k[2].latex}}}", _at(0, 2, 1)),
+    "rad": (lambda k: _root(k["deg"].inner if k.has("deg") else None, k["e"].inner), _by("e", "deg")),
+    "msqrt": (lambda k: _root(None, k.spaced()), _all),
+    "mroot": (lambda k: _root(k[1].latex if len(k.all) > 1 else None, k[0].latex), _at(0, 1)),
+    "nary": (_large, _by("sup", "sub", "e")),
+    "d": (lambda k: _fenced(k.value("dpr", "begchr") or "(", k.value("dpr", "endchr") or ")", k["e"].inner), _by("e")),
+    "mfenced": (lambda k: _fenced(k.attributes.get("open") or "(", k.attributes.get("close") or ")", k.spaced()), _all),
+    "m": _matrix("mr", "e", "inner"),
+    "mtable": _matrix("mtr", "mtd", "latex"),
+    "eqarr": (lambda k: "\\begin{aligned}" + " \\\\ ".join(e.inner for e in k.named("e")) + "\\end{aligned}", lambda k: [e.inner_plain for e in k.named("e")]),
+    "acc": (lambda k: _over((k.value("accpr", "chr") or "→").strip(), k["e"].inner), _by("e")),
+    "mover": (lambda k: _over(k[1].texts.strip(), k[0].latex), _at(0)),
+    "munder": (lambda k: f"\\underset{{{k[1].latex}}}{{{k[0].latex}}}", _at(0, 1)),
+    "munderover": (lambda k: f"{k[0].latex}_{{{k[1].latex}}}^{{{k[2].latex}}}", _at(0, 1, 2)),
+}
+RULES |= {"sup": RULES["ssup"], "sub": RULES["ssub"]}
 
 
-def _node(n: Column, kids: Column) -> Column:
+def _fold(node: dict, kids: tuple) -> Folded:
     """A node with its folded children: the rule of its kind, or plain text where the braces of
-    what the rule gives do not balance."""
-    name = F.lower(n["name"])
-    none = F.lit("")
-
-    def kid(tag: str, field: str) -> Column:
-        return F.coalesce(F.get(F.filter(kids, lambda k: k["name"] == tag), F.lit(0))[field], none)
-
-    def at(i: int, field: str = "latex") -> Column:
-        return F.coalesce(F.get(kids, F.lit(i))[field], none)
-
-    has = lambda tag: F.exists(kids, lambda k: k["name"] == tag)
-    plain = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
-    attribute = lambda a: F.nullif(F.coalesce(F.try_element_at(n["attributes"], F.lit(a)), none), none)
-    texts = F.when(name == "#text", n["text"]).otherwise(F.array_join(F.transform(F.filter(kids, lambda k: k["name"] == "#text"), lambda k: k["texts"]), ""))
-    word = _trimmed(texts)
-    lookup = lambda table, x, other: F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x), other)
-    all_plain = _joined(kids, "plain", " ")
-    content = F.when(name.isin(*SPACED), _joined(kids, "latex", " ")).otherwise(_joined(kids, "latex", ""))
-    rows = lambda tag, field, sep: F.array_join(F.transform(F.filter(kids, lambda k: k["name"] == tag), lambda k: k[field]), sep)
-    tex = F.concat
-    lit = F.lit
-
-    def fenced(left: Column, right: Column, body: Column) -> Column:
-        sign = lambda c: F.when(c.isin("{", "}"), tex(lit("\\"), c)).otherwise(c)
-        return tex(lit("\\left"), sign(left), lit(" "), body, lit(" \\right"), sign(right))
-
-    def over(mark: Column, body: Column) -> Column:
-        kind = F.coalesce(*(F.when(mark.isin(*marks), lit(k)) for k, marks in OVER.items()))
-        return F.when(kind.isNotNull(), tex(lit("\\"), kind, lit("{"), body, lit("}"))).otherwise(tex(lit("\\overset{"), mark, lit("}{"), body, lit("}")))
-
-    def matrix(row: str) -> Column:
-        return tex(lit("\\begin{matrix}"), rows(row, "cells", " \\\\ "), lit("\\end{matrix}"))
-
-    sign = kid("narypr", "chr")
-    large = F.when(sign == "", lit("\\sum")).otherwise(lookup(LARGE, sign, sign))
-    limits = tex(F.when(has("sub"), tex(lit("_{"), kid("sub", "inner"), lit("}"))).otherwise(none), F.when(has("sup"), tex(lit("^{"), kid("sup", "inner"), lit("}"))).otherwise(none))
-    root = lambda index, body: tex(lit("\\sqrt["), index, lit("]{"), body, lit("}"))
-    plain_root = lambda body: tex(lit("\\sqrt{"), body, lit("}"))
-    falsy = lambda c, other: F.coalesce(F.nullif(c, none), lit(other))
-    e = kid("e", "inner")
-    spaced = _joined(kids, "latex", " ")
-    mark = _trimmed(at(1, "texts"))
-    #: Kinds, their LaTeX, and their plain text.
-    rules: list[tuple[tuple[str, ...], Column, Column]] = [
-        (("#text", "t"), texts, texts),
-        (("mi",), F.when((F.length(word) > 1) & ~word.startswith("\\"), F.when(word.isin(*FUNCTIONS), tex(lit("\\"), word)).otherwise(tex(lit("\\text{"), word, lit("}")))).otherwise(word), word),
-        (("mn",), word, word),
-        (("mo",), lookup(OPERATORS, word, word), word),
-        (("mtext",), tex(lit("\\text{"), texts, lit("}")), texts),
-        (("math",), F.when(attribute("display") == "block", tex(lit("\n$$"), content, lit("$$\n"))).otherwise(tex(lit("$"), content, lit("$"))), all_plain),
-        (("f",), tex(lit("\\frac{"), kid("num", "inner"), lit("}{"), kid("den", "inner"), lit("}")), plain(kid("num", "plain"), kid("den", "plain"))),
-        (("mfrac",), tex(lit("\\frac{"), at(0), lit("}{"), at(1), lit("}")), plain(at(0, "plain"), at(1, "plain"))),
-        (("sup", "ssup"), tex(e, lit("^{"), kid("sup", "inner"), lit("}")), plain(kid("e", "plain"), kid("sup", "plain"))),
-        (("msup",), tex(at(0), lit("^{"), at(1), lit("}")), plain(at(0, "plain"), at(1, "plain"))),
-        (("sub", "ssub"), tex(e, lit("_"), kid("sub", "inner")), plain(kid("e", "plain"), kid("sub", "plain"))),
-        (("msub",), tex(at(0), lit("_"), at(1)), plain(at(0, "plain"), at(1, "plain"))),
-        (("ssubsup",), tex(e, lit("_{"), kid("sub", "inner"), lit("}^{"), kid("sup", "inner"), lit("}")), plain(kid("e", "plain"), kid("sup", "plain"), kid("sub", "plain"))),
-        (("msubsup",), tex(at(0), lit("_{"), at(1), lit("}^{"), at(2), lit("}")), plain(at(0, "plain"), at(2, "plain"), at(1, "plain"))),
-        (("rad",), F.when(has("deg"), root(kid("deg", "inner"), e)).otherwise(plain_root(e)), plain(kid("e", "plain"), kid("deg", "plain"))),
-        (("msqrt",), plain_root(spaced), all_plain),
-        (("mroot",), F.when(F.size(kids) > 1, root(at(1), at(0))).otherwise(plain_root(at(0))), plain(at(0, "plain"), at(1, "plain"))),
-        (("nary",), tex(large, limits, lit(" "), e), plain(kid("sup", "plain"), kid("sub", "plain"), kid("e", "plain"))),
-        (("d",), fenced(falsy(kid("dpr", "beg"), "("), falsy(kid("dpr", "end"), ")"), e), kid("e", "plain")),
-        (("mfenced",), fenced(F.coalesce(attribute("open"), lit("(")), F.coalesce(attribute("close"), lit(")")), spaced), all_plain),
-        (("m",), matrix("mr"), rows("mr", "cells_plain", " ")),
-        (("mtable",), matrix("mtr"), rows("mtr", "cells_plain", " ")),
-        (("eqarr",), tex(lit("\\begin{aligned}"), rows("e", "inner", " \\\\ "), lit("\\end{aligned}")), _joined(F.filter(kids, lambda k: k["name"] == "e"), "plain", " ")),
-        (("acc",), over(_trimmed(falsy(kid("accpr", "chr"), "→")), e), kid("e", "plain")),
-        (("mover",), over(mark, at(0)), at(0, "plain")),
-        (("munder",), tex(lit("\\underset{"), at(1), lit("}{"), at(0), lit("}")), plain(at(0, "plain"), at(1, "plain"))),
-        (("munderover",), tex(at(0), lit("_{"), at(1), lit("}^{"), at(2), lit("}")), plain(at(0, "plain"), at(1, "plain"), at(2, "plain"))),
-    ]
-    latex = reduce(lambda case, r: case.when(name.isin(*r[0]), r[1]), rules, F.when(lit(False), none)).otherwise(content)
-    as_plain = reduce(lambda case, r: case.when(name.isin(*r[0]), r[2]), rules, F.when(lit(False), none)).otherwise(all_plain)
-    cells = F.when(name == "mr", rows("e", "inner", " & ")).when(name == "mtr", rows("mtd", "latex", " & ")).otherwise(none)
-    cells_plain = F.when(name == "mr", _joined(F.filter(kids, lambda k: k["name"] == "e"), "plain", " ")).when(name == "mtr", _joined(F.filter(kids, lambda k: k["name"] == "mtd"), "plain", " ")).otherwise(none)
-    value = F.coalesce(attribute("val"), none)
-    found = F.struct(latex.alias("latex"), as_plain.alias("plain"), _joined(kids, "latex", "").alias("inner"), all_plain.alias("all"))
-
-    def checked(x: Column) -> Column:
-        ok = lambda c, other: F.when(balanced(c), c).otherwise(other)
-        values = {"name": name, "latex": ok(x["latex"], x["plain"]), "inner": ok(x["inner"], x["all"]), "cells": cells, "cells_plain": cells_plain, "texts": texts, "plain": x["plain"], "val": value, "chr": kid("chr", "val"), "beg": kid("begchr", "val"), "end": kid("endchr", "val")}
-        return F.struct(n["depth"].alias("depth"), *(values[k].alias(k) for k in _FOLDED))
-
-    return _bound(found, checked)
-
-
-def latex_of(nodes: Column) -> Column:
-    """LaTeX of the first tree of a node array (`sources.markup.NODES`); null without a tree.
-
-    From the last node to the first, each takes the folded nodes one level deeper off the front:
-    these are its children.  The work grows with the square of a formula's nodes, at worst.
-    """
-    depth_first = F.reverse(F.filter(nodes, lambda n: (n["root"] == 0) & ~n["name"].isin("#stray", "#comment", "#end")))
-    empty = F.array().cast("array<struct<depth:int," + ",".join(f"{k}:string" for k in _FOLDED) + ">>")
-
-    def fold(done: Column, n: Column) -> Column:
-        kids = F.filter(done, lambda k: k["depth"] == n["depth"] + 1)
-        rest = F.filter(done, lambda k: k["depth"] <= n["depth"])
-        return F.concat(F.array(_bound(kids, lambda k: _node(n, k))), rest)
-
-    return F.get(F.aggregate(depth_first, empty, fold), F.lit(0))["latex"]
-
-
-def formula(raw: Column, nodes: Column) -> Column:
-    """A formula's markup as LaTeX in dollars: two for displayed ones, on lines of their own."""
-    block = F.lower(raw).contains("omathpara") | F.lower(raw).contains('display="block"')
-
-    def dressed(tex: Column) -> Column:
-        return F.when(block, F.concat(F.lit("\n$$"), _trimmed(tex), F.lit("$$\n"))).when(tex.startswith("$"), tex).otherwise(F.concat(F.lit("$"), _trimmed(tex), F.lit("$")))
-
-    return F.coalesce(_bound(latex_of(nodes), dressed), raw)
-
-
-def page_with_latex(parts: Column) -> Column:
-    """A page whose formulas are LaTeX, from `sources.markup.formula_parts` of it."""
-    return F.array_join(F.transform(parts, lambda p: F.when(p["raw"].isNull(), p["text"]).otherwise(formula(p["raw"], p["nodes"]))), "")
+    what it gives do not balance.  Kinds without a rule are their content."""
+    kind = node["name"].lower().rpartition(":")[2]
+    texts = node["text"] if kind == "#text" else "".join(k.texts for k in kids if k.kind == "#text")
+    k = Kids(kids, node["attributes"] or {}, texts)
+    inner_plain = _joined(_all(k), " ")
+    joined = _joined((x.latex for x in kids), "")
+    inner = joined if balanced(joined) else inner_plain
+    rule = RULES.get(kind)
+    if rule:
+        latex, plain = rule[0](k), _joined(rule[1](k), " ")
+    else:
+        latex, plain = (k.spaced() if kind in SPACED else joined), inner_plain
+    return Folded(kind, latex if balanced(latex) else plain, inner, plain, inner_plain, texts, k.attributes, kids)
+
+
+def latex_of(nodes: list[dict]) -> str | None:
+    """LaTeX of the first tree of parsed nodes; None without one.  Blank texts are none."""
+    root = next((n["root"] for n in nodes if n["root"] >= 0), None)
+    done: list[tuple[int, Folded]] = []  # the next node's children come last
+    for n in reversed(nodes):
+        if n["root"] != root or n["name"].startswith("#") and not (n["text"] or "").strip():
+            continue
+        kids = []
+        while done and done[-1][0] > n["depth"]:
+            kids.append(done.pop()[1])
+        done.append((n["depth"], _fold(n, tuple(kids))))
+    return done[-1][1].latex if done else None
+
+
+def formula(raw: str) -> str | None:
+    """A formula's markup as LaTeX in dollars: two for displayed ones, on lines of their own.  None
+    without a tree."""
+    tex = latex_of(parsed(raw))
+    if tex is None:
+        return None
+    low = raw.lower()
+    if "omathpara" in low or 'display="block"' in low:
+        return f"\n$${tex.strip()}$$\n"
+    return tex if tex.startswith("$") else f"${tex.strip()}$"
+
+
+@F.udf(returnType=StringType(), useArrow=True)
+def page_with_latex(html):
+    """A page whose formulas are LaTeX; those without a tree stay as they are.  Null stays null."""
+    if html is None:
+        return None
+    out, at = [], 0
+    for start, end in formula_spans(html):
+        raw = html[start:end]
+        out += [html[at:start], formula(raw) or raw]
+        at = end
+    return "".join(out) + html[at:]
+
+
+@F.udf(returnType=ArrayType(StructType([StructField("raw", StringType()), StructField("latex", StringType())])), useArrow=True)
+def formulas(html):
+    """The formulas of a page, in order: markup and LaTeX."""
+    return None if html is None else [{"raw": html[a:b], "latex": formula(html[a:b])} for a, b in formula_spans(html)]
+
+
+@F.udf(returnType=StringType(), useArrow=True)
+def nodes_latex(nodes):
+    """LaTeX of a node array, without dollars."""
+    return None if nodes is None else latex_of([n if isinstance(n, dict) else n.asDict() for n in nodes])

@@ -31,13 +31,17 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: Implied ends do not reach beyond these.
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NO_ELEMENT = frozenset(("html", "body"))
+#: Inline elements that are left out when they hold no text, and what counts as content.
+WRAPPERS = frozenset("span font b i u strong em sup sub".split())
+CONTENT = frozenset(("img", "table", "iframe"))
 
 
 class _Tree:
     """Nodes so far, the open elements, and the depths of each name's, so that each tag costs
     what it closes."""
 
-    def __init__(self) -> None:
+    def __init__(self, tidy: bool = False) -> None:
+        self.tidy, self.empty = tidy, 0
         self.nodes: list[dict] = []
         self.open: list[dict] = []
         self.names: dict[str, list[int]] = {}
@@ -48,9 +52,11 @@ class _Tree:
         up = self.open[-1] if self.open else None
         depth = len(self.open)
         path = None if depth >= PATH_DEPTH else name if up is None else f"{up['path']}/{name}"
-        node = {"id": len(self.nodes), "parent": up and up["id"], "last": len(self.nodes), "root": up["root"] if up else self.roots, "depth": depth, "place": up["children"] if up else self.roots, "name": name, "path": path, "attributes": None, "text": None, "raw": None, "lead": "".join(self.lead), "error": None, "children": 0, "element": element} | more
+        node = {"id": len(self.nodes), "parent": up and up["id"], "last": len(self.nodes), "root": up["root"] if up else self.roots, "depth": depth, "place": up["children"] if up else self.roots, "name": name, "path": path, "attributes": None, "text": None, "raw": None, "lead": "".join(self.lead), "error": None, "children": 0, "blank": True} | more
         self.lead = []
         self.nodes.append(node)
+        if up and (name in CONTENT or (node["text"] or "").strip()):
+            up["blank"] = False
         if up:
             up["children"] += 1
         else:
@@ -66,6 +72,18 @@ class _Tree:
         self.names[node["name"].lower()].pop()
         node["last"] = len(self.nodes) - 1
         node["error"] = node["error"] or error
+        up = self.open[-1] if self.open else None
+        if up and not node["blank"]:
+            up["blank"] = False
+        if self.tidy and node["blank"] and node["name"].lower() in WRAPPERS:
+            del self.nodes[node["id"] :]
+            self.lead = [node["lead"]]
+            self.empty += 1
+            if up:
+                up["children"] -= 1
+            else:
+                self.roots -= 1
+            return
         self.lead.append(written or f"</{node['tag']}>")
 
     def stray(self, raw: str, error: str) -> None:
@@ -99,7 +117,7 @@ class _Marks:
         return found
 
 
-def parsed(text: str | None, html: bool = False, implied: bool = True) -> list[dict] | None:
+def parsed(text: str | None, html: bool = False, implied: bool = True, tree: _Tree | None = None) -> list[dict] | None:
     """Nodes of XML, or of HTML.  A null text has none.
 
     XML: names and attributes lose their prefixes, comments and declarations go, white space
@@ -107,11 +125,11 @@ def parsed(text: str | None, html: bool = False, implied: bool = True) -> list[d
     with an error if its name is another.  HTML: comments are nodes, all text is kept; an end tag
     without its element is a stray; with `implied`, `html` and `body` are no elements, and
     paragraphs, items, rows and cells end where the next begins.  Elements still open at the end
-    or at their parent's end are marked `unclosed`.
+    are marked `unclosed`, those open where an outer one ends `crossed`, other implied ends `implied`.
     """
     if text is None:
         return None
-    tree, marks, at, n = _Tree(), _Marks(text), 0, len(text)
+    tree, marks, at, n = tree or _Tree(), _Marks(text), 0, len(text)
     while at < n:
         start = marks.find("<", at)
         start = n if start < 0 else start
@@ -153,7 +171,7 @@ def parsed(text: str | None, html: bool = False, implied: bool = True) -> list[d
                 tree.stray(raw, "end without start")
             elif html:
                 while tree.open[-1]["name"] != name:
-                    tree.leave("unclosed")
+                    tree.leave("crossed")
                 tree.leave(written=raw)
             else:
                 tree.leave(None if tree.open[-1]["tag"] == tag else f"ended by {raw}", written=raw)
@@ -165,11 +183,10 @@ def parsed(text: str | None, html: bool = False, implied: bool = True) -> list[d
                 bounds = BOUNDS.get(name, ("td", "th", "table", "button"))
                 if tree.holds(other, bounds):
                     while tree.open[-1]["name"] != other:
-                        tree.leave("unclosed")
+                        tree.leave("crossed")
                     tree.leave("implied")
-        node = tree.add(name, True, attributes=_attributes(raw[1 + len(tag) : -1]), raw=raw, tag=tag)
+        node = tree.add(name, attributes=_attributes(raw[1 + len(tag) : -1]), raw=raw, tag=tag)
         if raw.endswith("/>") or html and name in VOID:
-            node["element"] = False
             continue
         tree.enter(node)
         if html and name in RAW:
@@ -203,34 +220,45 @@ def tag_nodes(text):
     return parsed(text, html=True, implied=False)
 
 
-_OPEN = re.compile(r"<(?:m:)?(oMathPara|oMath)\b|<(math)\b", re.I)
-_CLOSE = re.compile(r"</(?:m:)?(oMathPara|oMath)\s*>|</(math)\s*>", re.I)
-PARTS = ArrayType(StructType([StructField("text", _STRING), StructField("raw", _STRING), StructField("nodes", NODES)]))
+REPAIRED = StructType([StructField("html", _STRING)] + [StructField(n, _INT) for n in ("unclosed", "crossed", "stray", "empty")])
+
 
+@F.udf(returnType=REPAIRED, useArrow=True)
+def repaired(text):
+    """HTML whose every element ends once, in order, and how many repairs of each kind it took:
+    ends added at the end of the page and where an outer element ends, end tags without an
+    element that go, inline elements without text or image that go.  What needs none of these is
+    unchanged.  Null stays null."""
+    return mended(text)
 
-@F.udf(returnType=PARTS, useArrow=True)
-def formula_parts(text):
-    """A page in turn as text and formulas: (text, null, null) or (null, markup, nodes).
 
-    A formula is an element oMathPara, oMath or math up to the next end of that name; without
-    one, or without any node inside, it stays text.  All ends are found in one pass."""
+def mended(text: str | None) -> dict | None:
     if text is None:
         return None
+    tree = _Tree(tidy=True)
+    nodes = parsed(text, html=True, implied=False, tree=tree)
+    errors = [n["error"] for n in nodes if n["error"]]
+    kept = "".join(n["lead"] + (n["text"] or ("" if n["name"] == "#stray" else n["raw"] or "")) for n in nodes)
+    return {"html": kept, "unclosed": errors.count("unclosed"), "crossed": errors.count("crossed"), "stray": errors.count("end without start"), "empty": tree.empty}
+
+
+_OPEN = re.compile(r"<(?:m:)?(oMathPara|oMath)\b|<(math)\b", re.I)
+_CLOSE = re.compile(r"</(?:m:)?(oMathPara|oMath)\s*>|</(math)\s*>", re.I)
+def formula_spans(text: str) -> list[tuple[int, int]]:
+    """Where formulas stand in a page: elements oMathPara, oMath or math up to the next end of that
+    name; those without one are none.  All ends are found in one pass."""
     ends: dict[str, list[tuple[int, int]]] = {}
     for m in _CLOSE.finditer(text):
         ends.setdefault((m[1] or m[2]).lower(), []).append((m.start(), m.end()))
     out, at = [], 0
     for m in _OPEN.finditer(text):
-        if m.start() < at:
-            continue
-        close = ends.get((m[1] or m[2]).lower(), [])
-        i = bisect_left(close, (m.end(), 0))
-        if i < len(close):
-            raw = text[m.start() : close[i][1]]
-            nodes = parsed(raw)
-            out += [{"text": text[at : m.start()], "raw": None, "nodes": None}, {"text": None, "raw": raw, "nodes": nodes}]
-            at = close[i][1]
-    return out + [{"text": text[at:], "raw": None, "nodes": None}]
+        if m.start() >= at:
+            close = ends.get((m[1] or m[2]).lower(), [])
+            i = bisect_left(close, (m.end(), 0))
+            if i < len(close):
+                at = close[i][1]
+                out.append((m.start(), at))
+    return out
 
 
 def with_nodes(df: DataFrame, parse, column: str, *keys: str) -> DataFrame:
