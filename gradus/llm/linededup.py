@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, dropped, lower_ascii, shared_dir, shuffles_freed, small
 
+#: Documents of a bucket of hashes, about, where there are fewer buckets than shuffle partitions.
+BUCKET_DOCS = 50_000
 #: White space that is stripped from both ends of a line.
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 #: 128 bits: two lines of a corpus of 10^12 share them with a chance of about 10^-15.
@@ -161,12 +163,16 @@ def dedup(docs: DataFrame, batches: int = 4, least: int = 5, least_chars: int =
 
     As `without`, with `frequent` from the table itself, whose documents come as `batches` by a
     hash of doc_id.  All batches are hashed and sorted in one pass over the texts, which combines
-    equal lines before it shuffles; then each meets the runs of those before.  An empty table gives
-    no rows.
+    equal lines before it shuffles; then each meets the runs of those before.  There are as many
+    buckets as shuffle partitions, or fewer, by the number of documents, down to one a core, so
+    that a small table does not become thousands of files.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    runs = LineRuns(spark)
-    every = runs.stored(hashed(docs, least_chars, batch=F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "batch")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(most, max(spark.sparkContext.defaultParallelism, docs.count() // BUCKET_DOCS)))
+    runs = LineRuns(spark, buckets)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    every = runs.stored(hashed(docs, least_chars, batch=batch).coalesce(buckets), "batch")
     for b in range(batches):
         runs.add(spark.table(every).where(F.col("batch") == b).drop("batch"))
     frequent = runs.frequent(least)
