@@ -50,14 +50,14 @@ class LineRuns:
     A run is a table (h1, h2, n, last) in the shared folder, bucketed by hash and sorted inside a
     bucket, so that runs join by merging, without a shuffle.  Each hash lies in one run, that of
     the batch that brought it first; what later batches bring of known hashes goes to runs of
-    tallies.  `fanout` runs of a level are merged into one of the next, so a hash is rewritten
-    once a level, and a batch meets at most `fanout` runs of each level.
+    tallies.  Two runs of a level are merged into one of the next, so that a hash is rewritten
+    once a level, and a batch meets one run of each level at most.
 
     Runs are named in the session's catalogue; `close` removes them and their files.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4):
-        self._spark, self._fanout = spark, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self._spark = spark
         self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._name = f"lines_{uuid.uuid4().hex}"
         self._folder = f"{shared_dir(spark)}/{self._name}"
@@ -79,24 +79,21 @@ class LineRuns:
             self._spark.sql(f"DROP TABLE {name}")
             dropped(self._spark, f"{self._folder}/{name}")
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs as one, by merging two at a time: numbers add up, the largest doc_id stays."""
-        def two(a: DataFrame, b: DataFrame) -> DataFrame:
-            both = a.join(b.select(*HASH, F.col("n").alias("more"), F.col("last").alias("later")), HASH, "full_outer")
-            n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
-            return both.select(*HASH, n.alias("n"), F.greatest("last", "later").alias("last"))
-
-        return reduce(two, (self._spark.table(n) for n in names))
+    def _merged(self, a: str, b: str) -> DataFrame:
+        """Two runs as one, by a merge: numbers add up, the largest doc_id stays."""
+        more = self._spark.table(b).select(*HASH, F.col("n").alias("more"), F.col("last").alias("later"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+        return self._spark.table(a).join(more, HASH, "full_outer").select(*HASH, n.alias("n"), F.greatest("last", "later").alias("last"))
 
     def _push(self, levels: list[list[str]], name: str) -> None:
-        """A new run on the lowest level; full levels are compacted into the next."""
+        """A new run on the lowest level; a level with two is compacted into the next."""
         levels[0].append(name)
         at = 0
-        while len(levels[at]) >= self._fanout:
+        while len(levels[at]) > 1:
             full, levels[at] = levels[at], []
             if at + 1 == len(levels):
                 levels.append([])
-            levels[at + 1].append(self.stored(self._merged(full)))
+            levels[at + 1].append(self.stored(self._merged(*full)))
             self._gone(full)
             at += 1
 
@@ -116,16 +113,18 @@ class LineRuns:
         self._push(self._known, run)
 
     def frequent(self, least: int = 5) -> DataFrame:
-        """h1, h2, last of the hashes that `least` documents of all batches hold."""
+        """h1, h2, last of the hashes that `least` documents of all batches hold: each run, merged
+        with the tallies."""
         tallies = [n for level in self._tallies for n in level]
-        held = self._spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint, last bigint")
-        more = self._merged(tallies) if tallies else held
-        more = more.select(*HASH, F.col("n").alias("more"), F.col("last").alias("later"))
+        held = self._spark.createDataFrame([], "h1 bigint, h2 bigint, last bigint")
         for run in (n for level in self._known for n in level):
-            all_of = self._spark.table(run).join(more, HASH, "left")
-            n = F.col("n") + F.coalesce("more", F.lit(0))
-            held = held.unionByName(all_of.where(n >= least).select(*HASH, n.alias("n"), F.greatest("last", "later").alias("last")))
-        return cut(held.select(*HASH, "last"))
+            rows, n, last = self._spark.table(run), F.col("n"), [F.col("last")]
+            for i, name in enumerate(tallies):
+                rows = rows.join(self._spark.table(name).select(*HASH, F.col("n").alias(f"n{i}"), F.col("last").alias(f"last{i}")), HASH, "left")
+                n, last = n + F.coalesce(f"n{i}", F.lit(0)), [*last, F.col(f"last{i}")]
+            last = F.greatest(*last) if tallies else last[0]
+            held = held.unionByName(rows.where(n >= least).select(*HASH, last.alias("last")))
+        return cut(held)
 
     def close(self) -> None:
         self._gone([n for levels in (self._known, self._tallies) for level in levels for n in level])

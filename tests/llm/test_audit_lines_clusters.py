@@ -68,7 +68,7 @@ def test_line_dedup_shuffled_and_empty(spark, monkeypatch):
 
 def test_line_runs(spark):
     """Batches one by one: what is new to the runs, levels, and totals over them."""
-    runs = linededup.LineRuns(spark, buckets=4, fanout=2)
+    runs = linededup.LineRuns(spark, buckets=4)
     rng = random.Random(8)
     seen, total, last = set(), Counter(), {}
     for b in range(7):
@@ -92,12 +92,14 @@ def test_runs_merge_without_a_shuffle(spark):
     rows = spark.range(1000).selectExpr("id AS h1", "id AS h2", "1L AS n", "id AS last")
     a, b = runs.stored(rows), runs.stored(rows.where("id < 500"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
     try:
-        plan = spark.table(a).join(spark.table(b), linededup.HASH, "left_anti")._jdf.queryExecution().executedPlan().toString()
+        anti = shown(spark.table(a).join(spark.table(b), linededup.HASH, "left_anti"))
+        plans = [anti, shown(runs._merged(a, b))]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     runs.close()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
 
 
 def brute_audit(rows, labels):
