@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks, mathml
+from ..functions import blocks, mathml, office
 from ..sources import markup
 from .registry import query
 
@@ -163,3 +163,31 @@ def repaired_pages(t) -> DataFrame:
     elements = F.filter("nodes", lambda n: markup.has_end(n))
     of = lambda *e: F.size(F.filter("nodes", lambda n: n["error"].isin(*e))).cast("bigint")
     return r.select("page_id", (of("unclosed", "crossed") - of("end without start")).alias("added"), F.size(elements).cast("bigint").alias("n_ends"))
+
+
+@query(r"""WITH p AS (SELECT *, p_size % 8 AS k FROM part)
+SELECT p_partkey, 1 AS place, 's' || p_partkey AS shape, CASE WHEN k IN (0, 1, 2, 3, 4) THEN 'formula' WHEN k = 5 THEN 'figure' ELSE 'unresolved' END AS kind,
+ CASE k WHEN 0 THEN 'omml' WHEN 1 THEN 'mathml' WHEN 2 THEN 'ole' WHEN 3 THEN 'vml' WHEN 4 THEN 'img_alt' END AS origin,
+ CASE k WHEN 0 THEN '\frac{' || p_size || '}{' || p_partkey || '}' WHEN 1 THEN '$' || p_size || ' \times x$' WHEN 2 THEN 'x+' || p_size WHEN 3 THEN 'y=' || p_size WHEN 4 THEN 'z-' || p_size WHEN 5 THEN 'pic' || p_size || '.png' END AS value,
+ CASE WHEN k = 5 THEN p_name || '!' END AS caption FROM p
+UNION ALL SELECT p_partkey, 2, 'last', 'formula', 'vml', 'abc', NULL FROM p""")
+def drawing_formulas(t) -> DataFrame:
+    """What a word processor's drawings stand for, by the first of their representations that is a formula."""
+    k = F.col("p_size") % 8
+    shape = lambda *inside: _x('<v:shape id="s', ":p_partkey", '">', *inside, "</v:shape>")
+    data = lambda src, *title: _x('<v:imagedata src="', src, '" o:title="', *title, '"/>')
+    ole = lambda *more: _x('<!--[if gte mso 9]><xml><o:OLEObject Type="Embed" ShapeID="s', ":p_partkey", '"', *more, "></o:OLEObject></xml><![endif]-->")
+    image = lambda *more: _x('<img width=10 v:shapes="s', ":p_partkey", '"', *more, ">")
+    omml = _x("<m:oMath><m:f><m:num><m:r><m:t>", ":p_size", "</m:t></m:r></m:num> <m:den><m:r><m:t>", ":p_partkey", "</m:t></m:r></m:den></m:f></m:oMath>")
+    kinds = [
+        _x(shape(omml, "<math><mi>no</mi></math>"), ole(' title="a+b"')),
+        _x(ole(' title="a+b"'), shape("<v:textbox><math>\n<mn>", ":p_size", "</mn> <mo>×</mo><mi>x</mi></math></v:textbox>", data("x.wmf", "c=d"))),
+        _x(shape(data("x.wmf", "y=1")), ole(' alt="x+', ":p_size", '"')),
+        _x(ole(' alt="some words"'), shape(data("x.png", "y=", ":p_size"))),
+        _x(shape(data("x.png", "two words")), image(' alt="Equation z-', ":p_size", '"')),
+        _x(shape(data(_x("pic", ":p_size", ".png"), ":p_name", "!"))),
+        _x(shape(data("equation7.gif", "two words"))),
+        _x(shape(), ole(' ProgID="Equation.3"'), image(' src="a.gif"')),
+    ]
+    html = _x("<p>", F.coalesce(*(F.when(k == i, c) for i, c in enumerate(kinds))), "</p><p><v:shape o:spid=last><v:imagedata src='a' title='abc'></v:shape> end<img src=plain.gif>")
+    return office.drawings(t("part").select("p_partkey", html.alias("html")), "html", "p_partkey")

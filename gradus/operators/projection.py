@@ -56,7 +56,7 @@ def patched_fields(t) -> DataFrame:
     return c.select("c_custkey", value("segment", "c_mktsegment", True).alias("segment"), value("name", "c_name", False).alias("name"))
 
 
-_PLACED = "SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem"
+_PLACED = "SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) AS n FROM lineitem"
 
 
 def _paper(t) -> DataFrame:

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +30,15 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.sparkContext.addPyFile(archive)
         _shipped.add(app)
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once, by a checkpoint in the folder that spark.checkpoint.dir names; in local
+    mode without one, in a temporary folder.  For what a plan reads several times."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()

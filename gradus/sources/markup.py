@@ -95,10 +95,12 @@ class _Tree:
         return deepest(name) > max(map(deepest, bounds))
 
 
-def _attributes(tag: str) -> dict[str, str]:
+def _attributes(tag: str, html: bool) -> dict[str, str]:
+    """Attributes by local name, of HTML in lower case; the last of equal names counts."""
     out: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(tag):
-        out[name.rpartition(":")[2]] = a or b or c
+        local = name.rpartition(":")[2]
+        out[local.lower() if html else local] = a or b or c
     return out
 
 
@@ -185,7 +187,7 @@ def parsed(text: str | None, html: bool = False, implied: bool = True, tree: _Tr
                     while tree.open[-1]["name"] != other:
                         tree.leave("crossed")
                     tree.leave("implied")
-        node = tree.add(name, attributes=_attributes(raw[1 + len(tag) : -1]), raw=raw, tag=tag)
+        node = tree.add(name, attributes=_attributes(raw[1 + len(tag) : -1], html), raw=raw, tag=tag)
         if raw.endswith("/>") or html and name in VOID:
             continue
         tree.enter(node)
