@@ -99,18 +99,20 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored; whole texts are read.  In the edited text the last floor(n_chars / 4) code points are the
     first as many of the next document's text (by doc_id; after the last comes the first).
-    Null texts are empty.  Of rows that share a doc_id, the next document is that of the next
-    id, whose smallest text by order stands for it; each row has its own result.
+    Null texts are empty.  Of rows that share a doc_id, the next document is that of the next id;
+    where that has several texts, the one with the smallest SHA-256 stands for it.  Each row has
+    its own result, by its own length.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chain = small(cut(successors(docs)).select(F.col("next_id.doc_id").alias("next"), F.col("id.doc_id").alias("target"), F.floor(F.col("n_chars") / 4).cast("int").alias("need")))
     heads = docs.join(chain, F.col("doc_id").eqNullSafe(F.col("next"))).select("target", F.substring("text", F.lit(1), F.col("need")).alias("head"), "text")
-    heads = sketched(heads, "text", "sketch", k).select("target", "head", "sketch")
-    heads = heads.groupBy("target").agg(F.min(F.struct("head", "sketch")).alias("next"))
+    heads = sketched(heads.withColumn("digest", F.sha2("text", 256)), "text", "sketch", k).select("target", "digest", "head", "sketch")
+    heads = heads.groupBy("target").agg(F.min(F.struct("digest", "head", "sketch")).alias("next"))
     out = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("target")))
     out = out.select("doc_id", "text", F.char_length("text").cast("bigint").alias("n_chars"), F.col("next.head").alias("head"), F.col("next.sketch").alias("next_sketch"))
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
-    out = out.withColumn("edited", F.concat(kept, "head"))
+    moved = F.floor(F.col("n_chars") / 4).cast("int")
+    kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - moved)
+    out = out.withColumn("edited", F.concat(kept, F.substring("head", F.lit(1), moved)))
     out = sketched(sketched(out, "text", "sketch", k), "edited", "edited_sketch", k)
     return out.select(
         "doc_id",
