@@ -52,6 +52,8 @@ FORMATS = {
 }
 OTHERS = ["19##-0#-1#", "20##", "#.#.##", "v#.#", "##.##", "#,###", "## %", "p. ##-##", "[##]", "#:##", "id #####", "##/##", "#-#", "##-bit", "$ ###", "x#", "#### kg", "###### lines"]
 _TOKEN = re.compile(r"\S+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])" + IP.pattern)
 _MARK = re.compile(r"[0-9@]")
 
 
@@ -63,21 +65,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def email_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL, in order.  A match has one at sign and what of its word stands before it:
+    from each at sign back once, to the end of the last match at most, and on from there."""
+    after, at = 0, text.find("@")
+    while at >= 0:
+        lo = at
+        while lo > after and text[lo - 1] in _LOCAL:
+            lo -= 1
+        m = EMAIL.match(text, lo) if lo < at else None
+        if m:
+            yield m.span()
+            after = m.end()
+        at = text.find("@", max(after, at + 1))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start.
 
-    A match of the e-mail pattern lies inside one word, so only words with an at sign are read.
+    The time is in proportion to the text: an e-mail address is read from its at sign, and an
+    address of numbers begins where a run of digits does, since a match from inside a run would be
+    part of one from there; runs that are looked at again are at most three.
     """
-    out, after, at = [], 0, text.find("@")
-    while at >= 0:
-        lo, hi = at, at
-        while lo > after and not text[lo - 1].isspace():
-            lo -= 1
-        end = _TOKEN.match(text, at).end()
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, lo, end)]
-        after = end
-        at = text.find("@", end)
-    for m in IP.finditer(text):
+    out = [(0, *span) for span in email_spans(text)]
+    for m in _IP.finditer(text):
         if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
