@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+MATCHES = "array<struct<gap:bigint,own:bigint,n:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -35,24 +36,26 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Matches as (start, rank, kind, end) in code points.
-
-    Spark gives the matches and the pieces between them, not their places; the running
-    sum of the pieces' and matches' lengths gives those.
-    """
+def matches(text: Column, rule: Rule) -> Column:
+    """Matches of a rule in order, as (gap, own, n): characters since the last match, of the match,
+    and of the group.  Spark gives matches and the pieces between them; each is found once."""
     pattern = F.lit(rule.pattern)
-    every = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("p"))
-    sizes = F.transform(F.sequence(F.lit(0), F.size(every["m"]) - 1), lambda i: F.struct(F.char_length(F.get(every["p"], i)).cast("bigint").alias("gap"), F.char_length(F.get(every["m"], i)).cast("bigint").alias("own"), F.char_length(F.get(every["g"], i)).alias("n")))
-    kind = F.lit(rule.kind)
+    every = F.array(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("p")))
+    size = lambda c: F.char_length(c).cast("bigint")
+    each = lambda e: F.transform(e["m"], lambda m, i: F.struct(size(F.get(e["p"], i)).alias("gap"), size(m).alias("own"), size(F.get(e["g"], i)).alias("n")))
+    return F.when(text.rlike(rule.pattern), F.get(F.transform(every, each), F.lit(0))).otherwise(F.array().cast(MATCHES))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), kind.alias("kind"), (start + x["own"]).alias("end")))
-        return F.struct((start + x["own"]).alias("at"), F.when(x["n"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(sizes, zero, add, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+def placed(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Findings (`FOUND`) of rows (blob, kind, version, matches): starts are the running sums of
+    what stands before.  A text's matches are rows, and their places are summed by a window."""
+    m = found.select("blob", "kind", "version", F.posexplode("matches").alias("at", "m"))
+    own = Window.partitionBy("blob", "kind", "version").orderBy("at")
+    m = m.withColumn("end", F.sum(F.col("m.gap") + F.col("m.own")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.coalesce(*(F.when(F.col("kind") == r.kind, r.least) for r in rules))
+    rank = F.coalesce(*(F.when(F.col("kind") == r.kind, i) for i, r in enumerate(rules)))
+    span = F.struct((F.col("end") - F.col("m.own")).alias("start"), rank.alias("rank"), "kind", "end")
+    return m.where(F.col("m.n") >= least).groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(span)).alias("found"))
 
 
 def blobs(docs: DataFrame) -> DataFrame:
@@ -60,6 +63,11 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
 
 
+def _row() -> Column:
+    """128 bits that stand for doc_id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("b"))
+
+
 FOUND = f"blob string, kind string, version int, found {SPANS}"
 
 
@@ -74,10 +82,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     held = blobs(docs)
     kinds = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
     fresh = held.select("blob").distinct().select("blob", F.inline(kinds))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(_row().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     # Copies of a content are left out where they are read; rows that repeat its first path are
     # read once more.
-    named = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    named = docs.select(_row().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
     first = named.groupBy("blob").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = small(cut(named.join(small(cut(first), 200_000), "blob").where("row <> first").select("row").distinct()))
     unseen = rows.join(copies, "row", "left_anti").select(F.sha2("text", 256).alias("blob"), "text")
@@ -85,11 +93,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
         fresh = cut(fresh.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti"))
         unseen = unseen.join(small(cut(fresh.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))), 100_000), "blob")
     text = F.col("text")
-    none = F.array().cast(SPANS)
+    none = F.array().cast(MATCHES)
     wanted = lambda r: F.lit(True) if ledger is None else F.array_contains("kinds", r.kind)
-    each = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(wanted(r), spans(text, r, i)).otherwise(none).alias("found")) for i, r in enumerate(rules)))
-    found = unseen.where(F.greatest(*(text.rlike(r.pattern) for r in rules))).select("blob", F.inline(each)).where("size(found) > 0")
-    return fresh, found.dropDuplicates(["blob", "kind", "version"])
+    each = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(wanted(r), matches(text, r)).otherwise(none).alias("matches")) for r in rules))
+    found = unseen.where(F.greatest(*(text.rlike(r.pattern) for r in rules))).select("blob", F.inline(each)).where("size(matches) > 0")
+    return fresh, placed(found.dropDuplicates(["blob", "kind", "version"]), rules)
 
 
 class Ledger:
@@ -138,7 +146,7 @@ def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, found: DataFrame
     """
     found = scan(docs, rules)[1] if found is None else found
     now = F.greatest(F.lit(False), *((F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules))
-    found = found.where(now).dropDuplicates(["blob", "kind", "version"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    found = found.where(now).dropDuplicates(["blob", "kind", "version"]).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
     out = blobs(docs).join(small(cut(found), 100_000), "blob", "left").select("doc_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")

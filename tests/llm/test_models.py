@@ -245,6 +245,23 @@ def test_pii(spark):
     assert pii.detect(d.limit(0)).count() == 0
 
 
+def test_base_patterns_against_plain_ones():
+    """The same matches as the patterns on random strings, and long dense texts in seconds."""
+    import random
+    import time
+
+    rng = random.Random(9)
+    plain = lambda t: [(0, *m.span()) for m in pii.EMAIL.finditer(t)] + [(1, *m.span()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for _ in range(20000):
+        t = "".join(rng.choice("a1@..-_% 259+é\n") for _ in range(rng.randrange(0, 40)))
+        assert [x for x in pii.base_spans(t) if x[0] < 2] == plain(t), t
+    for piece in ("7", "a", "a@", "1.", "1.1", "a.b@c.d_", "+1 ", "+1(", "@", "4111 ", "x@y"):
+        for t in (piece * 300_000, piece * 300_000 + "@x", "y" * 1_000_000 + piece * 1000):
+            start = time.perf_counter()
+            pii.base_spans(t)
+            assert time.perf_counter() - start < 5, piece
+
+
 def test_viterbi_is_best():
     import itertools
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -159,6 +160,11 @@ def test_secrets(spark):
     got = secrets.findings(d)
     assert Counter(tuple(r)[:5] for r in got.collect()) == want
     assert got.where("doc_id = 1002").first().spans.startswith("github:0:44")
+    long = "0123456789abcdef01234567 token: x%06d " * 60_000 % tuple(range(60_000))
+    start = time.perf_counter()
+    r = secrets.findings(docs(spark, [(1, long)])).first()
+    assert (r.n_hex, r.n_assign) == (60_000, 60_000) and time.perf_counter() - start < 60
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_secrets(long)).encode()).hexdigest()
     assert secrets.findings(d.limit(0)).count() == 0
 
 
@@ -245,7 +251,24 @@ def test_fingerprints(spark):
     assert max(off) < 0.25 and sum(off) / len(off) < 0.03
     assert got[7].fingerprint == got[8].fingerprint
     assert fingerprint.fingerprints(d.limit(0)).count() == 0
-    assert fingerprint.fingerprints(docs(spark)).count() == docs(spark).count()
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows that share a doc_id, null too, with texts of other lengths: each by its own length."""
+    d = docs(spark)
+    rows = [(r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect()]
+    ids = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i))
+    chosen = {i: min((t for j, t in rows if j == i), key=lambda t: hashlib.sha256(t.encode()).hexdigest()) for i in ids}
+    after = {i: chosen[ids[(n + 1) % len(ids)]] for n, i in enumerate(ids)}
+    edited = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + after[i][: len(t) // 4]).encode()).hexdigest()) for i, t in rows]
+    got = fingerprint.fingerprints(d).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(edited)
+    near = {(i, t): (len(shingles(t) & shingles(after[i])) / len(shingles(t) | shingles(after[i])) if shingles(t) | shingles(after[i]) else 1.0) for i, t in rows if len(shingles(t) | shingles(after[i])) <= fingerprint.K}
+    by_sha = {(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + after[i][: len(t) // 4]).encode()).hexdigest()): near[i, t] for i, t in near}
+    assert len({i for i, *_ in by_sha}) > 20
+    for r in got:
+        want = by_sha.get((r.doc_id, r.n_chars, r.edited_sha256))
+        assert want is None or abs(want - r.near_next) < 1e-9
 
 
 def test_sketches_of_parts_merge(spark):
