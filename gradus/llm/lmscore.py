@@ -10,8 +10,9 @@ the empty history and its own failure weight; a bigram that is an arc brings wha
 over backing off, and its failure weight as a history; a trigram what it gains.  So each
 n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT and
 HOT_GRAMS most frequent n-grams of each order and Bloom filters of at most 2 ** BITS bits, which tell most
-n-grams that have no value; all others are resolved by a join.  Both bound memory only, and
-change no result.
+n-grams that have no value; all others are resolved by a join, each once a document with its
+number there.  Both bound memory only, and change no result: where a filter would be full, there
+is none, and all n-grams may have a value.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, w
 
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
 HOT, HOT_GRAMS = 1 << 20, 1 << 19
-#: Bits of the filter of kept n-grams of an order, as a power of two, at most.
-BITS = 26
+#: Bits of the filter of kept n-grams of an order, as a power of two, at most; and the ranges of
+#: keys that have a part of it, as a power of two: with more of them (some 10^11 tokens) such a filter is full.
+BITS, PARTS = 26, 16
 #: What is taken off the count of each kept bigram and trigram.
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up, and of a range that another adds up.
@@ -82,7 +84,8 @@ class Automaton:
     discount: float
     words: Table  # hashes of hot words; a place in it is the word's number
     counts: np.ndarray
-    kept: Filter | None = None  # words, pairs, triples that occur twice
+    only_hot: bool = False  # no other words occur twice
+    kept: Filter | None = None  # words, pairs, triples that occur twice; None: any may
     values: np.ndarray | None = None
     kept_pairs: Filter | None = None
     pairs: Table | None = None
@@ -122,29 +125,30 @@ def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(_PAIR | (x << _U(_ID)) | y)
 
 
-def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, Grams, Grams | None]:
-    """Words' codes, and the pairs and triples that may be kept.
+def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray, order: int = 3) -> tuple[np.ndarray, Grams, Grams | None]:
+    """Words' codes, and the pairs and, for order 3, triples that may be kept.
 
     A word's code is its number, or its hash with the top bit set; an n-gram of numbers is
     its key, unmixed.
     """
     at, seen = a.words.find(h)
     code = np.where(seen, at.astype(_U), h | _TOP)
-    kept = seen if a.kept is None else seen | a.kept.maybe(h)
+    may = lambda f, keys: np.ones(len(keys), bool) if f is None else f.maybe(keys)
+    kept = seen if a.only_hot else seen | may(a.kept, h)
     at = np.flatnonzero((doc[1:] == doc[:-1]) & kept[1:] & kept[:-1])
     x, y = code[at], code[at + 1]
     rare = (x | y) >= _TOP
     pairs = Grams(at, np.where(rare, mix(mix(x * _U(0x9E3779B97F4A7C15) + y) | _TOP), _pair_key(x, y)), x, y, rare)
-    if a.kept_pairs is None:
+    if order == 2:
         return code, pairs, None
-    pairs = pairs.where(a.kept_pairs.maybe(pairs.key))
+    pairs = pairs.where(may(a.kept_pairs, pairs.key))
     at = np.flatnonzero(pairs.at[1:] == pairs.at[:-1] + 1)
     one, two = pairs.where(at), pairs.where(at + 1)
     rare = one.rare | two.rare
     exact = _TRIPLE | (one.head << _U(2 * _ID)) | (one.tail << _U(_ID)) | two.tail
     key = mix(np.where(rare, mix(one.key * _U(0xD6E8FEB86659FD93) + two.key) | _TOP, exact))
     triples = Grams(one.at, key, one.key, two.key, rare)
-    return code, pairs, triples if a.kept_triples is None else triples.where(a.kept_triples.maybe(key))
+    return code, pairs, triples.where(may(a.kept_triples, key))
 
 
 def _parts_of(order: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +261,7 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
         parts = max(3, min(30, int(about // RANGE).bit_length()))
         size = min(BITS, max(parts + 3, int(8 * about).bit_length()))
-        size = size if size - parts >= 3 else 0
+        size = size if parts <= PARTS and size - parts >= 3 else 0
         found = held(texts.mapInArrow(_deal(grams_of, parts), _DEALT).groupBy("range").applyInArrow(_counted(least, size, parts), _COUNTED), name)
         bits = np.zeros((1 << parts, 1 << max(0, size - parts - 3)), np.uint8)
         if size:
@@ -277,14 +281,14 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
     word_least, (hot, number) = _hot(counts.where("n >= 2"), HOT, "n")
     # Where all words that occur twice are hot, no other has to be looked for.
-    a = Automaton(n, v, discount, Table(hot), number, None if len(hot) == v - n1 else kept)
+    a = Automaton(n, v, discount, Table(hot), number, len(hot) == v - n1, kept)
 
     def grams(order: int) -> tuple[DataFrame, Filter | None]:
         sent = sc.broadcast(a)
 
         def grams_of(t: pa.Array) -> Grams:
             h, doc, _ = tokens(t)
-            return _grams(sent.value, h, doc)[order - 1]
+            return _grams(sent.value, h, doc, order)[order - 1]
 
         found = counted(order, f"order-{order}", grams_of, 2, n)
         sent.destroy()
@@ -355,13 +359,24 @@ def empty_p(a: Automaton, c: Column) -> Column:
 
 
 _OWN = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-_ROWS = "row bigint, k bigint, word boolean, own struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
+_ROWS = "row bigint, k bigint, times bigint, word boolean, own struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
 
 def _traverse(model, step: int):
     """First, per document a row of what its tokens and hot n-grams bring, whose k is its row's
-    number, and a row for each of its other words and pairs, where `word` tells words; in the
-    second step a row for each of its other triples."""
+    number, and a row for each of its other words and pairs, with how often it is there, where
+    `word` tells words; in the second step such a row for each of its other triples."""
+
+    def once(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of each document, and their numbers."""
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        return doc[at], key[at], np.diff(np.append(at, len(key)))
+
+    names = ["row", "k", "times", "word", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = model.value
@@ -375,25 +390,25 @@ def _traverse(model, step: int):
                 wid = code[known].astype(np.int64)
                 lp[known] = a.values[wid]
                 base[known] = a.base_logp(a.counts[wid])
-                rest = [(doc[~known], code[~known])] if step == 0 else [(doc[:0], code[:0])]
+                rest = [once(doc[~known], code[~known])] if step == 0 else [once(doc[:0], code[:0])]
                 for order, (g, hot, values) in enumerate(((pairs, a.pairs, a.pair_values), (triples, a.triples, a.triple_values))):
                     if g is None:
                         continue
                     place, seen = hot.find(g.key)
                     lp[g.at[seen]] += values[place[seen]]
                     if order == step:
-                        rest.append((doc[g.at[~seen]], g.key[~seen]))
+                        rest.append(once(doc[g.at[~seen]], g.key[~seen]))
                 lo = first[:-1]
                 sums = [np.add.reduceat(x, lo) for x in (known.astype(np.int64), base, lp)]  # every document has its end
                 rows = batch.column(2).slice(start, docs)
                 if step == 0:
                     own = pa.StructArray.from_arrays([batch.column(0).slice(start, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], fields=list(_OWN))
-                    yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.zeros(docs, bool)), own], ["row", "k", "word", "own"])
+                    yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.ones(docs, np.int64)), pa.array(np.zeros(docs, bool)), own], names)
                 rows = rows.to_numpy()
-                d, k = (np.concatenate(x) for x in zip(*rest, strict=True))
+                d, k, times = (np.concatenate(x) for x in zip(*rest, strict=True))
                 if len(k):
                     word = np.arange(len(k)) < len(rest[0][0])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(k.view(np.int64)), pa.array(word), pa.nulls(len(k), _OWN)], ["row", "k", "word", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(k.view(np.int64)), pa.array(times), pa.array(word), pa.nulls(len(k), _OWN)], names)
 
     return run
 
@@ -414,7 +429,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(a)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     c = F.coalesce("n", F.lit(0))
-    word = F.col("word")
+    word, times = F.col("word"), F.col("times")
     nil = F.lit(0.0)
     other = F.col("own").isNull()
 
@@ -424,9 +439,9 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         return rows.groupBy("row").agg(
             F.max("own.doc_id").alias("doc_id"),
             F.sum("own.n_tokens").alias("n_tokens"),
-            F.sum(F.when(other, F.when(word & (c > 0), 1).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
-            F.sum(F.when(other, F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
-            F.sum(F.when(other, F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil)).otherwise(F.col("own.score"))).alias("score"),
+            F.sum(F.when(other, F.when(word & (c > 0), times).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
+            F.sum(F.when(other, times * F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
+            F.sum(F.when(other, times * (F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil))).otherwise(F.col("own.score"))).alias("score"),
             F.count("own").alias("rows"),
         )
 

@@ -1,10 +1,13 @@
 """Learned operators: exact parts against brute force, the rest on held-out rows."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from messy import docs
 from pyspark.sql import functions as F
 
@@ -54,15 +57,15 @@ class Backoff:
         return self.p2(b, w)
 
     def score(self, text):
-        s, out = tokens(text), 0.0
+        s, out = tokens(text), []
         for i, w in enumerate(s):
             if i >= 2 and (s[i - 2], s[i - 1]) in self.two:
                 seen = (s[i - 2], s[i - 1], w) in self.three
                 p = self.p3(*s[i - 2 : i + 1]) if seen else (1 - self.left3[s[i - 2], s[i - 1]]) * self._arc(s[i - 1], w)
             else:
                 p = self._arc(s[i - 1], w) if i else self.p1(w)
-            out += np.log10(p)
-        return out
+            out.append(np.log10(p))
+        return math.fsum(out)
 
     def _arc(self, a, w):
         if (a, w) in self.two:
@@ -91,13 +94,28 @@ def test_lm_keeps_rare_ngrams(spark, monkeypatch):
     """n-grams that occur twice among millions of tokens are arcs, in tasks or in the join."""
     rows = [(1, "x " * 3_300_000), (2, "rare one two three x"), (3, "rare one two three y"), (4, "z rare one two"), (5, None), (None, "two three y new")]
     model = Backoff([t for i, t in rows if i])
-    want = {i: model.score(t) for i, t in rows}  # sums of millions of terms, in another order
+    want = {i: model.score(t) for i, t in rows}
     assert ("rare", "one", "two") in model.three
     for hot in (1 << 20, 2, 0):
         monkeypatch.setattr(lmscore, "HOT", hot)
         monkeypatch.setattr(lmscore, "HOT_GRAMS", hot)
         got = lmscore.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id").isNotNull()).collect()
-        assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) <= 1e-8 * abs(want[r.doc_id]) for r in got), hot
+        assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) <= 1e-9 * abs(want[r.doc_id]) for r in got), hot
+
+
+@pytest.mark.parametrize("bits, parts, ranges", [(26, 2, 1_000_000), (5, 16, 1_000_000), (26, 4, 20), (12, 16, 5)])
+def test_lm_with_full_filters(spark, monkeypatch, bits, parts, ranges):
+    """Without room for a filter, and with more ranges than parts, all n-grams are looked for: the same scores."""
+    for name, value in (("BITS", bits), ("PARTS", parts), ("RANGE", ranges), ("HOT", 4), ("HOT_GRAMS", 4)):
+        monkeypatch.setattr(lmscore, name, value)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("a", "b", "c", "d", f"w{rng.randrange(30)}", f"one{i}-{rng.random()}")) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    model = Backoff([t for i, t in rows if i % 3])
+    got = lmscore.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") % 3 != 0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = model.score(rows[r.doc_id][1])
+        assert abs(r.score - want) <= 1e-9 * abs(want)
 
 
 def test_lm_mass():
@@ -247,7 +265,6 @@ def test_pii(spark):
 
 def test_base_patterns_against_plain_ones():
     """The same matches as the patterns on random strings, and long dense texts in seconds."""
-    import random
     import time
 
     rng = random.Random(9)
