@@ -47,6 +47,10 @@ FURNITURE = frozenset(
 #: Words that say nothing of what a part is for.
 NEUTRAL = frozenset("area block bottom box container content fixed global group inner item left list main outer page panel right section site top wrap wrapper zone".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+#: A name with one of these is that of readers' comments, whatever else it says, unless it tells
+#: whether there are any.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+TELLING = frozenset("has no with without open closed allow allowed enabled disabled count".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -59,13 +63,33 @@ class Block:
 
 
 class _Blocks(HTMLParser):
+    """Blocks of a page.  The places of each open tag in the stack are kept, so that a tag costs
+    what it ends, however many others are open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, in an article, in a link
+        self.open: dict[str, list[int]] = {}
+        self.containers: list[int] = []  # places of open blocks other than paragraphs
         self.parts: list[tuple[str, bool]] = []
         self.blocks: list[Block] = []
         self.heading = False
 
+    def _push(self, tag: str, dropped: bool, inside: bool, linked: bool) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS and tag != "p":
+            self.containers.append(len(self.stack))
+        self.stack.append((tag, dropped, inside, linked))
+
+    def _pop_to(self, at: int) -> None:
+        """End all elements from a place on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            if tag:
+                self.open[tag].pop()
+            if self.containers and self.containers[-1] == len(self.stack):
+                self.containers.pop()
+
     def _state(self) -> tuple[bool, bool]:
         return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
 
@@ -84,6 +108,8 @@ class _Blocks(HTMLParser):
             return not inside
         if tag == "article":
             return any(n & {"comment", "reply", "ad", "related", "promo"} for n in names)
+        if tag in HINTED and any(n & COMMENTS and not n & TELLING for n in names):
+            return True
         # A name says furniture if all of its words do, or say nothing: not share-price or has-sidebar.
         return tag in HINTED and any(n & FURNITURE and n <= FURNITURE | NEUTRAL for n in names) and not any(n <= CONTENT for n in names)
 
@@ -93,24 +119,21 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             self.parts.append((" ", False))
             return
-        if tag in ("p", "li"):  # a new one ends one that is open in the same container
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    del self.stack[i:]
-                    break
-                if self.stack[i][0] in BLOCKS and self.stack[i][0] != "p":
-                    break
+        own = self.open.get(tag)
+        if tag in ("p", "li") and own and own[-1] >= (self.containers or [-1])[-1]:
+            self._pop_to(own[-1])  # a new one ends one that is open in the same container
         if tag in ("article", "main") or tag == "body":
             # what an unclosed menu or header swallowed ends here
-            while self.stack and self.stack[-1][1] and not any(x[0] == "article" for x in self.stack):
-                self.stack.pop()
-        if tag == "a":  # a new one ends one that is open
-            self.stack = [x if x[0] != "a" else ("", *x[1:]) for x in self.stack]
+            while self.stack and self.stack[-1][1] and not self.open.get("article"):
+                self._pop_to(len(self.stack) - 1)
+        if tag == "a" and self.open.get("a"):  # a new one ends one that is open
+            at = self.open["a"].pop()
+            self.stack[at] = ("", *self.stack[at][1:])
         dropped, inside = self._state()
         linked = bool(self.stack) and self.stack[-1][3] and tag != "a"
         named = dict(attrs)
         dropped = dropped or self._furniture(tag, named, inside)
-        self.stack.append((tag, dropped, inside or tag in ("article", "main") and not dropped, linked or tag == "a" and "href" in named))
+        self._push(tag, dropped, inside or tag in ("article", "main") and not dropped, linked or tag == "a" and "href" in named)
         self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -122,10 +145,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.open.get(tag):
+            self._pop_to(self.open[tag][-1])
         if tag in BLOCKS:
             self.heading = False
 
@@ -150,6 +171,11 @@ def stop_density(text: str) -> float:
     return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
 
 
+def _linked(block: Block) -> bool:
+    """Whether a block is a list of links."""
+    return block.linked > LINKED * len(block.text)
+
+
 def label(block: Block, has_article: bool, known: bool) -> bool | None:
     """First pass: True for main text, False for furniture, None for undecided.
 
@@ -160,7 +186,7 @@ def label(block: Block, has_article: bool, known: bool) -> bool | None:
     if has_article and not block.inside:
         return False
     n = len(block.text)
-    if block.linked > LINKED * n:
+    if _linked(block):
         return False
     if n < SHORT or block.heading:
         return None
@@ -176,13 +202,14 @@ def main_text(html: str) -> str:
     has_article = any(b.inside for b in blocks)
     known = stop_density(" ".join(b.text for b in blocks if len(b.text) >= SHORT)) >= SPARSE / 2
     first = [label(b, has_article, known) for b in blocks]
-    # Blocks of an article have neighbours there; elsewhere all blocks are neighbours.
-    decided = [i for i, x in enumerate(first) if x is not None and (blocks[i].inside or not has_article)]
+    # Blocks of an article have neighbours there, but for its lists of links; elsewhere all blocks
+    # are neighbours.  Where no block is main text for sure, what is undecided stays.
+    decided = [i for i, x in enumerate(first) if x is not None and (not has_article or blocks[i].inside and not _linked(blocks[i]))]
+    decided = decided if any(first[i] for i in decided) else []
     out = []
     for i, (b, x) in enumerate(zip(blocks, first, strict=True)):
         if x is None:
-            alone = b.inside or b.heading or len(b.text) >= SHORT
-            x = not min((abs(i - j), not first[j]) for j in _around(decided, i))[1] if decided else alone
+            x = not min((abs(i - j), not first[j]) for j in _around(decided, i))[1] if decided else True
         if x:
             out.append(b.text)
     return "\n\n".join(out)
@@ -201,8 +228,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page's main text.
 
     pages: page_id, url, html; other columns are ignored.  Null html is empty, which gives empty
-    text; whole pages are read; each row, repeated ones too, has its own result; no rows give none.  Markup that is not well-formed is read as far as it
-    makes sense: unclosed paragraphs end at the next, unclosed menus at the article.
+    text; whole pages are read; each row, repeated ones too, has its own result; no rows give none.
+    Markup that is not well-formed is read as far as it makes sense: unclosed paragraphs end at the
+    next, unclosed menus at the article.  The time is in proportion to the page, however many
+    elements stay open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,50 @@ def test_html_contracts():
     assert mainhtml.main_text(f"<main><p>{LONG} <math><mi>x</mi></math></p><fieldset><p>{LONG}</p></fieldset></main>") == f"{LONG} x\n\n{LONG}"
     # In an article a short block takes the label of its nearest decided neighbour.
     page = f"<article><p>{LONG}</p><p>short</p><p>{LONG}</p><h2>More</h2><ul><li><a href=a>{LONG}</a></li><li><a href=b>{LONG}</a></li></ul><p>tail</p></article>"
-    assert mainhtml.main_text(page) == f"{LONG}\n\nshort\n\n{LONG}\n\nMore"
+    # Its lists of links are left out, and are no neighbours.
+    assert mainhtml.main_text(page) == f"{LONG}\n\nshort\n\n{LONG}\n\nMore\n\ntail"
+    assert mainhtml.main_text(f"<article><p>{LONG}</p><ul><li><a href=x>Link</a></ul><p>Zahl 12345.</p></article>") == f"{LONG}\n\nZahl 12345."
+    # Comments by any name of theirs; short pages whole.
+    for name in ("user-comments-list", "comments", "post_comment", "fb-comments x"):
+        assert mainhtml.main_text(f"<div><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></div>") == LONG
+    assert mainhtml.main_text(f"<section class='has-comments'><p>{LONG}</p></section>") == LONG
+    assert mainhtml.main_text("<div><p>Hallo kurz.</p></div>") == "Hallo kurz."
+    assert mainhtml.main_text("<ul><li><a href=a>Menu of it</a></ul><div><p>Hallo kurz.<p>Und mehr.</div>") == "Hallo kurz.\n\nUnd mehr."
+
+
+def generated(rng):
+    """A page of parts that are known to be furniture or article, and its main text."""
+    common = "the of and to in a is it that for der die und le la de que el en un".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdeüéñ") for _ in range(rng.randrange(3, 9))) for _ in range(n)).capitalize() + "."
+    menu = lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{prose(2)}</a></li>' for i in range(rng.randrange(2, 9)))}</ul></nav>"
+    box = lambda: f"<{(tag := rng.choice(('div', 'section')))} class=\"{rng.choice(('ad', 'sidebar', 'cookie-notice', 'user-comments-list', 'related', 'social-share', 'newsletter signup'))}\"><p>{prose(rng.randrange(3, 60))}</p></{tag}>"
+    aside, foot, form = (lambda: f"<aside><p>{prose(30)}</p></aside>"), (lambda: f"<footer>{prose(20)}</footer>"), (lambda: f"<form><p>{prose(25)}</p><input></form>")
+    blocks = [rng.choice(("h2", "p", "p", "p")) for _ in range(rng.randrange(1, 9))]
+    texts = [prose(rng.randrange(2, 7)) if b == "h2" or rng.random() < 0.2 else prose(rng.randrange(25, 80)) for b in blocks]
+    inner = "".join(f"<{b}>{t}" + (f"</{b}>" if b != "p" or rng.random() < 0.6 else "") + (rng.choice((box, form))() if rng.random() < 0.15 else "") for b, t in zip(blocks, texts))
+    around = lambda: "".join(rng.choice((menu, box, aside, form, lambda: "<script>x<p>y</script><style>p{}</style><!-- c -->"))() for _ in range(rng.randrange(0, 4)))
+    wrap = rng.choice(("article", "main"))
+    return f"<html><head><title>T</title></head><body>{around()}<div class=wrapper><{wrap}>{inner}</{wrap}></div>{around()}{foot()}</body></html>", "\n\n".join(texts)
+
+
+def test_generated_pages():
+    """Pages made of known parts: exactly their articles."""
+    import random
+
+    rng = random.Random(12)
+    pages_of = [generated(rng) for _ in range(400)]
+    for html, want in pages_of:
+        assert mainhtml.main_text(html) == want
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    for piece in ("<a href=x>", "<b>", "<p><b>", "<li><a>", "<div>", "<span><p></p>", "<a><b>", "</b>", "<td>", "<nav><p>"):
+        start = time.perf_counter()
+        mainhtml.main_text(piece * 100_000 + LONG)
+        mainhtml.main_text("<span>" * 100_000 + piece * 50_000 + LONG)
+        assert time.perf_counter() - start < 20, piece
 
 
 def test_large_ids(spark, tmp_path):
