@@ -1,6 +1,6 @@
 """All queries over the standard tables, and the SQL that gives the same rows."""
 
-from ..operators import analytics, assessment, cleaning, events, grading, intake, layout, markup, payloads, projection, question_bank, ranking, relational, similarity  # noqa: F401  each registers its queries
+from ..operators import analytics, assessment, cleaning, events, evidence, grading, intake, layout, markup, payloads, projection, question_bank, ranking, reconstruction, relational, similarity  # noqa: F401  each registers its queries
 from ..operators.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

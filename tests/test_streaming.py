@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from gradus.streaming import autosave, jobs
+from gradus.streaming import answers, autosave, jobs
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
 START = datetime(2024, 1, 1)
@@ -64,3 +64,39 @@ def test_answers_merge_by_field(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         jobs.merge_answers(spark.readStream.schema(schema).parquet(at), into, str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(into).collect())) == [(1, 1, None, 7.0), (1, 2, "b", 2.0)]
+
+
+def _answer_events():
+    """Events with late, repeated and null answers, unknown fields and missing keys."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for seq in range(120):
+        given = rng.sample(["selected_option", "numerical_answer", "text_answer", "other"], rng.randrange(0, 4))
+        rows.append((rng.randrange(3), rng.randrange(4), seq, given, rng.choice((None, seq)), rng.choice((None, seq / 2)), rng.choice((None, f"t{seq}")), None))
+    rng.shuffle(rows)
+    return [*rows, *rows[:20], (None, 1, 5, ["text_answer"], None, None, "lost", None), (1, None, 5, ["text_answer"], None, None, "lost", None), (9, 9, 1, None, 1, 1.0, "x", 1)]
+
+
+def test_answers_as_state(spark, tmp_path):
+    """Batch after batch the state's answers are those of the fold over all events so far."""
+    at, events = str(tmp_path / "in"), _answer_events()
+    for k, v in answers.STORE.items():
+        spark.conf.set(k, v)
+    try:
+        now, changed_in = {}, []
+        for i in range(0, len(events), 50):
+            spark.createDataFrame(events[i : i + 50], answers.EVENT).coalesce(2).write.mode("append").parquet(at)
+            stream = answers.current_answers(spark.readStream.schema(answers.EVENT).parquet(at))
+            batch = []
+            q = stream.writeStream.foreachBatch(lambda b, _: batch.extend(map(tuple, b.collect()))).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            now.update({r[:2]: r for r in batch})
+            changed_in.append({r[:2] for r in batch})
+            want = {r[:2]: r for r in map(tuple, answers.folded_answers(spark.createDataFrame(events[: i + 50], answers.EVENT)).collect())}
+            assert now == want
+        assert changed_in[-1] == {(r[0], r[1]) for r in events[100:] if None not in r[:2]}
+    finally:
+        for k in answers.STORE:
+            spark.conf.unset(k)
