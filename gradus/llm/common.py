@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +115,13 @@ def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     if not held or not 0 < int(held[1]) <= size:
         conf.set(name, str(size))
     return df
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: a worker that waits for its next task,
+    or stands beside the one of the next stage, else keeps it.  Nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, small_batches, written
+from .common import dropped, give_back, shared_dir, small_batches, written
 from .words import Table, Words, add_up, chunks, dealt, in_ranges, mix, unmix, words
 
 #: Words whose values every task holds, at most 2 ** _ID; and pairs, and triples.
@@ -189,6 +189,8 @@ def _deal(grams_of: Callable[[pa.Array], Grams], bits: int):
                     held, size = [], 0
         if size:
             yield from flush(held)
+        del held
+        give_back()
 
     return run
 
@@ -214,6 +216,8 @@ def _counted(least: int, size: int, parts: int):
         columns = [pa.array(np.concatenate([k, rk[keep]]).view(np.int64)), *ends, pa.array(n)]
         out = pa.table([*columns, pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], [x.split()[0] for x in _COUNTED.split(", ")])
         one = pa.table([pa.nulls(1, pa.int64())] * 4 + [pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], out.column_names)
+        del k, n, rare, rk, first, which, rn, columns, ends
+        give_back()
         return pa.concat_tables([out, one])
 
     return run
@@ -409,6 +413,7 @@ def _traverse(model, step: int):
                 if len(k):
                     word = np.arange(len(k)) < len(rest[0][0])
                     yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(k.view(np.int64)), pa.array(times), pa.array(word), pa.nulls(len(k), _OWN)], names)
+        give_back()
 
     return run
 
