@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.markup import BLOCKS, has_end, html_nodes, with_nodes, within
-from .intake import html_unescaped
+from .intake import html_unescaped, once
 from .mathml import page_with_latex
 
 # What begins an option or a question, elements that are no content, and the
@@ -23,10 +23,6 @@ _JUNK_END = rf"(?i)</(?:[owvxm]:[^>]*|(?:{'|'.join(JUNK)})\s*)>"
 CONTAINERS = ("div", "article", "section", "main", "center", "form", "header", "footer", "aside", "nav")
 
 
-def _once(value: Column, use) -> Column:
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _start(n: Column) -> Column:
     """A start tag with the attributes that stay."""
     out = F.concat(F.lit("<"), n["name"])
@@ -47,7 +43,7 @@ def _content(inside: Column) -> Column:
         ends = F.transform(F.filter(nodes, lambda n: (n["last"] == last) & has_end(n)), lambda n: F.concat(F.lit("</"), n["name"], F.lit(">")))
         return F.trim(F.regexp_replace(F.concat(F.array_join(starts, ""), F.array_join(F.reverse(ends), "")), _JUNK_END, ""))
 
-    return _once(good, put)
+    return once(good, put)
 
 
 def text_of(content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intake import OPTION_LINE, html_unescaped
+from .intake import OPTION_LINE, html_unescaped, once
 
 # Characters without width, and marks of word processors.
 NO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff\u00ad]"
@@ -55,9 +55,10 @@ def segments(c: Column, least: int = 20) -> Column:
 def parts(c: Column) -> Column:
     """Text and formulas in turn: (kind, said)."""
     formula = r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$"
-    plain, maths = F.split(c, formula, -1), F.regexp_extract_all(c, F.lit(f"({formula})"), F.lit(1))
+    found = F.struct(F.split(c, formula, -1).alias("plain"), F.regexp_extract_all(c, F.lit(f"({formula})"), F.lit(1)).alias("maths"))
     pair = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("said"))
-    both = F.transform(F.sequence(F.lit(0), F.size(plain) - 1), lambda i: F.array(pair("text", F.get(plain, i)), pair("math", F.regexp_replace(F.coalesce(F.get(maths, i), F.lit("")), r"^\$+|\$+$", ""))))
+    math = lambda x, i: F.regexp_replace(F.coalesce(F.get(x["maths"], i), F.lit("")), r"^\$+|\$+$", "")
+    both = once(found, lambda x: F.transform(x["plain"], lambda p, i: F.array(pair("text", p), pair("math", math(x, i)))))
     return F.filter(F.flatten(both), lambda x: x["said"] != "")
 
 
@@ -132,9 +133,9 @@ def malformed(c: Column) -> Column:
 def isolated_figures(c: Column) -> tuple[Column, Column]:
     """Text with [FIGURE_0], [FIGURE_1] for its embedded images; and their data, in order."""
     image = r"""<img\b[^>]*\bsrc\s*=\s*["']data:image/[^"']+["'][^>]*>|data:image/[a-z+.-]+;base64,[A-Za-z0-9+/=]+"""
-    parts, found = F.split(c, image, -1), F.regexp_extract_all(c, F.lit(f"({image})"), F.lit(1))
-    mark = lambda i: F.when(i < F.size(found), F.concat(F.lit("[FIGURE_"), i.cast("string"), F.lit("]"))).otherwise("")
-    text = F.array_join(F.transform(parts, lambda x, i: F.concat(x, mark(i))), "")
+    found = F.regexp_extract_all(c, F.lit(f"({image})"), F.lit(1))
+    mark = lambda i, n: F.when(i < n - 1, F.concat(F.lit("[FIGURE_"), i.cast("string"), F.lit("]"))).otherwise("")
+    text = once(F.split(c, image, -1), lambda parts: F.array_join(F.transform(parts, lambda x, i: F.concat(x, mark(i, F.size(parts)))), ""))
     return text, F.transform(found, lambda x: F.regexp_extract(x, r"(data:image/[a-z+.-]+;base64,[A-Za-z0-9+/=]+)", 1))
 
 

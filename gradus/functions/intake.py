@@ -50,10 +50,16 @@ def _places(c: Column) -> Column:
     return F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed once: inside a lambda, an expression is made anew for
+    each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shielded(c: Column) -> Column:
     """Text whose formulas in dollars hold no brackets or stops, so that no marker is seen there."""
-    parts, formulas = F.split(c, _FORMULA, -1), F.regexp_extract_all(c, F.lit(f"({_FORMULA})"), F.lit(1))
-    return F.array_join(F.transform(_places(parts), lambda i: F.concat(F.get(parts, i), F.coalesce(F.translate(F.get(formulas, i), _PLAIN, _SHIELDED), F.lit("")))), "")
+    found = F.struct(F.split(c, _FORMULA, -1).alias("parts"), F.regexp_extract_all(c, F.lit(f"({_FORMULA})"), F.lit(1)).alias("formulas"))
+    return once(found, lambda x: F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.coalesce(F.translate(F.get(x["formulas"], i), _PLAIN, _SHIELDED), F.lit("")))), ""))
 
 
 def is_option(line: Column) -> Column:
@@ -210,8 +216,8 @@ def html_unescaped(c: Column) -> Column:
         good = F.conv(code, 16, 10).cast("int").between(1, 0x10FFFF) & ~F.conv(code, 16, 10).cast("int").between(0xD800, 0xDFFF)
         return F.coalesce(F.when(good, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")), F.try_element_at(names, F.regexp_extract(ref, "^&([A-Za-z]+);", 1)), ref)
 
-    parts, refs = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.array_join(F.transform(_places(parts), lambda i: F.concat(F.get(parts, i), F.coalesce(char(F.get(refs, i)), F.lit("")))), "")
+    found = F.struct(F.split(c, pattern, -1).alias("parts"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("refs"))
+    return once(found, lambda x: F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.coalesce(char(F.get(x["refs"], i)), F.lit("")))), ""))
 
 
 def listed(c: Column) -> Column:

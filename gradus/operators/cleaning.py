@@ -161,34 +161,53 @@ def plain_paper(t) -> DataFrame:
     return plain_blocks(t("part").select(F.col("p_partkey").alias("id"), body.alias("body")))
 
 
+def candidates(pool: DataFrame, specs: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """All questions that a paper can take: section, list, place, id, key.
+
+    Two lists a section: by difficulty, and by chapter, each without repeated keys and in order of
+    (h, id).  A paper of n questions has n keys at most, so the first 2 n places of a list hold all
+    that can be taken from it, whatever other sections took before.
+    """
+    n = sum(count for _, count, _ in specs)
+    of = pool.sparkSession.createDataFrame([(name, c) for name, _, chapters in specs for c in chapters], "section string, of_chapter string")
+    mine = pool.join(F.broadcast(of), F.col("chapter") == F.col("of_chapter")).drop("of_chapter")
+    every = []
+    for kind, scope in (("difficulty", ["section", "difficulty", "key"]), ("chapter", ["section", "key"])):
+        once = mine.withColumn("copy", F.row_number().over(Window.partitionBy(*scope).orderBy("h", "id"))).where("copy = 1")
+        place = F.row_number().over(Window.partitionBy("section", kind).orderBy("h", "id"))
+        every.append(once.withColumn("place", place).where(F.col("place") <= 2 * n).select("section", F.lit(kind).alias("kind"), F.col(kind).alias("list"), "place", "id", "key", "h"))
+    return every[0].union(every[1])
+
+
 def chosen(pool: DataFrame, specs: list[tuple[str, int, list[str]]]) -> DataFrame:
     """Questions for the sections of a paper: section, id, place.
 
     pool: id, chapter, difficulty, key (of duplicates), h (a seeded order).  specs: name, count
     and chapters of each section.  A section takes its quotas of easy, medium and hard questions,
-    then fills up from its chapters in turn; no id or key is used twice in the paper.  Each step
-    is a top-k of the pool; what the driver holds is the paper, as large as its specs say.
+    then fills up from its chapters in turn; no id or key is used twice in the paper.  One job
+    finds the candidates, as few as the specs say; the driver deals them out.
     """
+    lists: dict[tuple, list] = {}
+    for r in sorted(candidates(pool, specs).collect(), key=lambda r: r["place"]):
+        lists.setdefault((r["section"], r["kind"], r["list"]), []).append(r)
+    used: set = set()
     paper: list[tuple] = []
-    first = Window.partitionBy("key").orderBy("h", "id")
 
-    def free(rows: DataFrame) -> DataFrame:
-        rows = rows.where(~F.col("key").isin([r[-1] for r in paper])) if paper else rows
-        return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    def take(rows: list, n: int) -> list:
+        out = [r for r in rows if r["key"] not in used][:n]
+        used.update(r["key"] for r in out)
+        return out
 
-    for name, count, chapters in specs:
-        mine = pool.where(F.col("chapter").isin(chapters))
+    for name, count, _ in specs:
         easy, medium = int(count * 0.3 + 0.5), int(count * 0.5 + 0.5)
-        before = len(paper)
+        got = []
         for level, n in (("easy", easy), ("medium", medium), ("hard", max(0, count - easy - medium))):
-            some = free(mine.where(F.col("difficulty") == level)).orderBy("h", "id").limit(n).select("id", "key").collect()
-            paper += [(name, r["id"], len(paper) - before + i + 1, r["key"]) for i, r in enumerate(some)]
-        missing = count - (len(paper) - before)
-        if missing > 0:
-            rounds = free(mine).withColumn("round", F.row_number().over(Window.partitionBy("chapter").orderBy("h", "id")))
-            some = rounds.orderBy("round", "chapter").limit(missing).select("id", "key").collect()
-            paper += [(name, r["id"], len(paper) - before + i + 1, r["key"]) for i, r in enumerate(some)]
-    return pool.sparkSession.createDataFrame([r[:3] for r in paper], "section string, id bigint, place bigint")
+            got += take(lists.get((name, "difficulty", level), []), n)
+        chapters = [[(i, c, r) for i, r in enumerate(r for r in rows if r["key"] not in used)] for (s, kind, c), rows in lists.items() if s == name and kind == "chapter"]
+        in_turn = sorted((x for rows in chapters for x in rows), key=lambda x: x[:2])
+        got += take([r for *_, r in in_turn], count - len(got))
+        paper += [(name, r["id"], i + 1) for i, r in enumerate(got)]
+    return pool.sparkSession.createDataFrame(paper, "section string, id bigint, place bigint")
 
 
 _POOL = "SELECT p_partkey AS id, p_type AS chapter, CASE WHEN p_size <= 15 THEN 'easy' WHEN p_size <= 48 THEN 'medium' ELSE 'hard' END AS difficulty, p_name || p_type AS key, md5(CAST(p_partkey AS VARCHAR) || '-sel') AS h FROM part WHERE p_size < 49 OR p_type = 'PROMO'"
@@ -264,12 +283,17 @@ def paper_export(t) -> DataFrame:
     return p.select("paper", html.alias("html"), F.array_join(F.transform("q", lambda x: x["letter"]), " ").alias("key"), "marks")
 
 
-@query("SELECT a.p_partkey AS replaced, (SELECT arg_min(b.p_partkey, (md5(CAST(b.p_partkey AS VARCHAR)), b.p_partkey)) FROM part b WHERE b.p_type = a.p_type AND b.p_partkey % 10 <> 0) AS by_question FROM part a WHERE a.p_partkey % 100 = 0")
+@query("""WITH gone AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 100 = 0),
+free AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS n FROM part WHERE p_partkey % 10 <> 0)
+SELECT gone.p_partkey AS replaced, free.p_partkey AS by_question FROM gone LEFT JOIN free USING (p_type, n)""")
 def replaced_questions(t) -> DataFrame:
-    """Another question of the chapter for each that goes; those in use are left out."""
+    """Other questions of the chapter for those that go, each its own; those in use are left out.
+    Where a chapter has too few, the last get none."""
+    nth = lambda *order: F.row_number().over(Window.partitionBy("p_type").orderBy(*order))
     p = t("part").select("p_partkey", "p_type", F.md5(F.col("p_partkey").cast("string")).alias("h"))
-    free = p.where("p_partkey % 10 <> 0").groupBy("p_type").agg(F.min_by("p_partkey", F.struct("h", "p_partkey")).alias("by_question"))
-    return p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("replaced"), "p_type").join(free, "p_type", "left").drop("p_type")
+    gone = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("replaced"), "p_type", nth("p_partkey").alias("n"))
+    free = p.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("by_question"), "p_type", nth("h", "p_partkey").alias("n"))
+    return gone.join(free, ["p_type", "n"], "left").select("replaced", "by_question")
 
 
 @query("SELECT s_suppkey AS slot, coalesce(n_nationkey, -1) AS question, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 9 END, n_regionkey, 4) AS marks FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey * 2")

@@ -99,3 +99,12 @@ def patched_rows(t) -> DataFrame:
     changes = t("supplier").select("s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(-1.0).alias("s_acctbal"), given.alias("given"))
     changes = changes.union(changes.limit(1).select((k + 1_000_000).alias("s_suppkey"), "s_name", "s_acctbal", "given"))
     return tables.patched(t("supplier").select("s_suppkey", "s_name", "s_acctbal"), changes, "s_suppkey")
+
+
+@query("WITH c AS (SELECT *, max(turn // 3) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS c FROM conversations) SELECT conv_id, turn, role FROM c WHERE turn // 3 <= c")
+def pruned_uploads(t) -> DataFrame:
+    """What is left of uploads that go on: rows after the last finished batch are deleted, and all
+    rows of those without one."""
+    c = t("conversations").select("conv_id", "turn", "role", F.floor(F.col("turn") / 3).alias("batch"))
+    done = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max("batch").alias("checkpoint"))
+    return c.join(done, "conv_id").where("batch <= checkpoint").select("conv_id", "turn", "role")
