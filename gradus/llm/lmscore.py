@@ -372,13 +372,20 @@ def _traverse(model, step: int):
     `word` tells words; in the second step such a row for each of its other triples."""
 
     def once(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of each document, and their numbers."""
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        """Distinct keys of each document, and their numbers.  Most keys are there once: only the
+        others are sorted by document as well."""
+        order = np.argsort(key)
+        k = key[order]
+        same = np.zeros(len(k) + 1, bool)
+        same[1:-1] = k[1:] == k[:-1]
+        often = same[1:] | same[:-1]
+        lone, rest = order[~often], order[often]
+        rest = rest[np.lexsort((key[rest], doc[rest]))]
+        new = np.ones(len(rest), bool)
+        new[1:] = (doc[rest][1:] != doc[rest][:-1]) | (key[rest][1:] != key[rest][:-1])
         at = np.flatnonzero(new)
-        return doc[at], key[at], np.diff(np.append(at, len(key)))
+        every = np.concatenate([lone, rest[at]])
+        return doc[every], key[every], np.concatenate([np.ones(len(lone), np.int64), np.diff(np.append(at, len(rest)))])
 
     names = ["row", "k", "times", "word", "own"]
 
