@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from html import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.intake import section_name
 
@@ -55,8 +58,129 @@ def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
     Empty paragraphs are left out; a file that cannot be read is one row with `error`.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder).select("path", "content")
-    return files.mapInArrow(_read, PARAGRAPH)
+    return paragraphs_of(files(spark, folder))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and content of a folder's Word files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder).select("path", "content")
+
+
+def paragraphs_of(read: DataFrame) -> DataFrame:
+    """As `paragraphs`, of files (path, content) from anywhere."""
+    return read.select("path", "content").mapInArrow(_read, PARAGRAPH)
+
+
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+#: What a run's properties are in HTML, outermost first.
+MARKS = (("b", "strong"), ("i", "em"))
+RAISED = {"superscript": "sup", "subscript": "sub"}
+PAGE = "path string, html string, images array<struct<name:string,content:binary>>, error string"
+_PAGE = pa.schema([("path", pa.string()), ("html", pa.string()), ("images", pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())]))), ("error", pa.string())])
+
+
+def _on(node: ET.Element | None) -> bool:
+    return node is not None and node.get(f"{_W}val") not in ("0", "false", "none")
+
+
+class _Page:
+    """A Word file as HTML; the images it shows, in order."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        body = ET.fromstring(self.zip.read("word/document.xml")).find(f"{_W}body")
+        name = "word/_rels/document.xml.rels"
+        rels = ET.fromstring(self.zip.read(name)).iter(_REL) if name in self.zip.namelist() else ()
+        self.targets = {r.get("Id"): r.get("Target") for r in rels}
+        self.images: list[dict] = []
+        self.html = self._blocks(body if body is not None else [])
+
+    def _blocks(self, nodes) -> str:
+        out, listed = [], False
+        for n in nodes:
+            item = n.tag == f"{_W}p" and n.find(f"{_W}pPr/{_W}numPr") is not None
+            if item != listed:
+                out.append("<ol>" if item else "</ol>")
+                listed = item
+            if n.tag == f"{_W}tbl":
+                rows = ("".join(f"<td>{self._blocks(c)}</td>" for c in r.iter(f"{_W}tc")) for r in n.iter(f"{_W}tr"))
+                out.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+            elif n.tag == f"{_W}p" and (said := "".join(map(self._run, n.iter(f"{_W}r")))):
+                style = n.find(f"{_W}pPr/{_W}pStyle")
+                head = re.fullmatch(r"Heading([1-6])", style.get(f"{_W}val", "") if style is not None else "")
+                tag = "li" if item else f"h{head[1]}" if head else "p"
+                out.append(f"<{tag}>{said}</{tag}>")
+        return "".join(out) + ("</ol>" if listed else "")
+
+    def _run(self, r: ET.Element) -> str:
+        parts = []
+        for n in r.iter():
+            if n.tag == f"{_W}t":
+                parts.append(escape(n.text or "", quote=False))
+            elif n.tag == f"{_W}tab":
+                parts.append("\t")
+            elif n.tag == f"{_W}br":
+                parts.append("<br/>")
+            elif n.tag == f"{_A}blip":
+                parts.append(self._image(n.get(f"{_R}embed")))
+        said = "".join(parts)
+        raised = r.find(f"{_W}rPr/{_W}vertAlign")
+        tags = [html for name, html in MARKS if _on(r.find(f"{_W}rPr/{_W}{name}"))]
+        tags += [RAISED[v] for v in [raised.get(f"{_W}val") if raised is not None else None] if v in RAISED]
+        return said and "".join(f"<{t}>" for t in tags) + said + "".join(f"</{t}>" for t in reversed(tags))
+
+    def _image(self, ref: str | None) -> str:
+        target = self.targets.get(ref)
+        if not target or f"word/{target}" not in self.zip.namelist():
+            return ""
+        name = f"image-{len(self.images) + 1}.{target.rpartition('.')[2].lower()}"
+        self.images.append({"name": name, "content": self.zip.read(f"word/{target}")})
+        return f'<img src="{name}">'
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            row = {"path": path.as_py()}
+            try:
+                page = _Page(content.as_py() or b"")
+                row |= {"html": page.html, "images": page.images}
+            except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                row["error"] = f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_pylist([row], _PAGE)
+
+
+def pages(read: DataFrame) -> DataFrame:
+    """Word files (path, content) as HTML (`PAGE`): paragraphs, headings, numbered items, tables,
+    raised, lowered, bold and slanted text, and their images, numbered as they are shown.  A file
+    that cannot be read is a row with `error`; an image whose file is missing is left out."""
+    return read.select("path", "content").mapInArrow(_pages, PAGE)
+
+
+def images(read: DataFrame) -> DataFrame:
+    """path, place, name and content of the images that files show, a row each, to be written."""
+    return read.select("path", F.posexplode("images").alias("at", "i")).select("path", (F.col("at") + 1).alias("place"), "i.name", "i.content")
+
+
+_XMLNS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def _packed(body: str | None, image: bytes | None) -> bytes | None:
+    if body is None:
+        return None
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {_XMLNS}><w:body>{body}</w:body></w:document>")
+        if image is not None:
+            z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{_REL[1:].partition("}")[0]}"><Relationship Id="r1" Target="media/a.PNG"/></Relationships>')
+            z.writestr("word/media/a.PNG", bytes(image))
+    return out.getvalue()
+
+
+#: A Word file of a body's markup, and an image that it may show by the reference r1.
+packed = F.udf(_packed, returnType=BinaryType(), useArrow=True)
 
 
 def lines(read: DataFrame) -> DataFrame:

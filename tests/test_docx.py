@@ -33,3 +33,21 @@ def test_blocks_of_a_file(spark, tmp_path):
     text = docx.texts(docx.paragraphs(spark, f"file://{tmp_path}")).withColumnRenamed("path", "id")
     got = [(r.number, r.stem, r.options) for r in plain_blocks(text).orderBy("block").collect()]
     assert got == [(1, "What is heat?", "a:energy|b:a fluid"), (2, "Why?", "")]
+
+
+def test_pages_and_images(spark):
+    """HTML of a file: headings, lists, nested tables, marks, images by reference; broken files."""
+    pic = '<w:r><w:drawing><a:blip r:embed="r1"/></w:drawing></w:r>'
+    run = lambda t, p="": f"<w:r><w:rPr>{p}</w:rPr><w:t>{t}</w:t></w:r>"
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' + run("A &lt; B") + "</w:p>" + f"<w:p>{run('x', '<w:b/><w:i/>')}{run('2', '<w:vertAlign w:val=\"subscript\"/>')}<w:r><w:tab/><w:br/></w:r>{pic}</w:p><w:p></w:p>"
+    body += "".join(f"<w:p>{NUM.format(0, 1)}{run(x)}</w:p>" for x in ("one", "two")) + f"<w:tbl><w:tr><w:tc><w:p>{run('c')}</w:p>{pic and '<w:p>' + pic + '</w:p>'}</w:tc></w:tr></w:tbl>" + "<w:p>" + pic.replace("r1", "r7") + "</w:p>"
+    rows = [("a", body, b"\x89PNG"), ("none", body, None), ("empty", "", None), ("null", None, None)]
+    d = spark.createDataFrame(rows, "path string, body string, image binary").select("path", docx.packed("body", "image").alias("content"))
+    read = docx.pages(d)
+    got = {r.path: r for r in read.collect()}
+    html = "<h1>A &lt; B</h1><p><strong><em>x</em></strong><sub>2</sub>\t<br/>{0}</p><ol><li>one</li><li>two</li></ol><table><tr><td><p>c</p>{1}</td></tr></table>"
+    assert got["a"].html == html.format('<img src="image-1.png">', '<p><img src="image-2.png"></p>')
+    assert got["none"].html == html.format("", "") and got["none"].images == [] and got["empty"].html == ""
+    assert got["null"].error.startswith("BadZipFile")
+    shown = [(r.path, r.place, r.name, bytes(r.content)) for r in docx.images(read).orderBy("place").collect()]
+    assert shown == [("a", 1, "image-1.png", b"\x89PNG"), ("a", 2, "image-2.png", b"\x89PNG")]

@@ -1,6 +1,7 @@
 """Streams against the same query over a batch, and late events."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from gradus.streaming import answers, autosave, jobs
 
@@ -57,13 +58,20 @@ def test_stalled_jobs_are_resumed_and_given_up(spark, tmp_path):
 
 def test_answers_merge_by_field(spark, tmp_path):
     at, into = str(tmp_path / "in"), str(tmp_path / "table")
-    spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", None)], "attempt int, question int, choice string, number double").write.parquet(into)
+    held = [(1, 1, "a", 1.0), (1, 2, "b", None), *((i, 1, "z", None) for i in range(2, 40))]
+    jobs.answers_table(spark.createDataFrame(held, "attempt int, question int, choice string, number double"), into)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in Path(into).rglob("*.parquet")}
+    before = files()
     schema = "attempt int, question int, seq int, given array<string>, choice string, number double"
     rows = [(1, 1, 1, ["choice"], "c", None), (1, 1, 3, ["number"], None, 7.0), (1, 1, 2, ["choice"], None, None), (1, 2, 1, ["number"], "x", 2.0), (1, 9, 1, ["choice"], "x", None)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(at)
     for _ in range(2):  # a second run finds nothing new
         jobs.merge_answers(spark.readStream.schema(schema).parquet(at), into, str(tmp_path / "state")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(into).collect())) == [(1, 1, None, 7.0), (1, 2, "b", 2.0)]
+    got = spark.read.parquet(into).drop("bucket")
+    assert sorted(map(tuple, got.where("attempt = 1").collect())) == [(1, 1, None, 7.0), (1, 2, "b", 2.0)] and got.count() == len(held)
+    own = spark.read.parquet(into).where("attempt = 1").first()["bucket"]
+    changed = {f for f in before.keys() | files().keys() if before.get(f) != files().get(f)}
+    assert changed and all(f"bucket={own}/" in f for f in changed)  # no other partition was written
 
 
 def _answer_events():
