@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.markup import BLOCKS, has_end, html_nodes, with_nodes, within
-from .intake import html_unescaped, once
+from .intake import NUMBER, html_unescaped, once
 from .mathml import page_with_latex
 
-# What begins an option or a question, elements that are no content, and the
+# What begins an option, elements that are no content, and the
 # attributes that stay.
 OPTION_START = r"(?i)^\s*(?:\(?\s*([a-fA-F])\s*\)?\s*[).:\-–—]\s*|([a-fA-F])\s*[).:\-–—]\s+)"
-QUESTION_START = r"(?i)^(?:Q(?:uestion)?\s*)?(\d{1,3})[).:\-\s]+|^\((\d{1,3})\)\s+|^(\d{1,3})\.\s+(?=[A-Za-z(\\$])"
 JUNK = "style xml script meta link title head officedocumentsettings worddocument latentstyles themedata colorschememapping background formulas path stroke shadow fill textbox rect line oval arc curve polyline group image shapetype".split()
 KEPT = {"img": ("src",), "a": ("href",), "td": ("colspan", "rowspan", "align", "valign"), "th": ("colspan", "rowspan", "align", "valign")}
 
@@ -111,7 +110,7 @@ def joined_blocks(b: DataFrame, *keys: str) -> DataFrame:
     from the last one that opens for sure: any but such paragraphs and repeated labels.
     """
     alike = Window.partitionBy(*keys, "kind", "label")
-    b = b.withColumns({"first": F.min("pos").over(alike), "goes_on": (F.col("kind") == "paragraph") & ~F.col("content").rlike(QUESTION_START)})
+    b = b.withColumns({"first": F.min("pos").over(alike), "goes_on": (F.col("kind") == "paragraph") & ~F.col("content").rlike(NUMBER)})
     b = b.withColumn("repeats", (F.col("kind") == "option") & (F.col("pos") > F.col("first")))
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     opener = F.last(F.when(~F.col("repeats") & ~F.col("goes_on"), F.struct("pos", "kind")), ignorenulls=True).over(before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intake import OPTION_LINE, html_unescaped, once
+from .intake import NUMBER, OPTION_LINE, html_unescaped, once
 
 # Characters without width, and marks of word processors.
 NO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff\u00ad]"
@@ -99,12 +99,16 @@ def file_kind(name: Column, head: Column) -> Column:
     return F.when(head.startswith("%PDF"), "pdf").when(head.startswith("PK") & (by_name == "docx"), "docx").when(head.startswith("\u0089PNG") | by_name.isin("png", "jpg", "jpeg", "webp"), "image").when(by_name.isin("txt", "md"), "text").when(by_name.isin("html", "htm") | head.startswith("<"), "html").otherwise("unknown")
 
 
-# Fractions that are one character.
+# Fractions that are one character; ends of lines that ask for more, and the length
+# under which a line without an end goes on; marks of formulas and of probabilities left open.
 FRACTIONS = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
-_NUMBER = r"(?i)^(?:Q(?:uestion)?\s*)?\d{1,3}[).:\-\s]+|^\(\d{1,3}\)\s+"
+GOING_ON = r"(?i)(?:\b(?:and|or|the|of|to|is|if|a|an|in|with|for)|[,=+\-])$"
+SHORT_LINE, LINE_END = 55, "[.?!:;]$"
+FRACTION_MARK, WHOLE_FRACTION = r"\\frac", r"\\frac\s*\{[^{}]*\}\s*\{[^{}]*\}"
+OPEN_PROBABILITY = r"\b[PQR]\s*\([^)]*$"
 
 
-def merged_lines(c: Column, going_on: str = r"(?i)(?:\b(?:and|or|the|of|to|is|if|a|an|in|with|for)|[,=+\-])$") -> Column:
+def merged_lines(c: Column, going_on: str = GOING_ON) -> Column:
     """Lines that go on with the one before are put behind it.
 
     A line goes on if it is no option or question and begins in lower case or with a stop, or if
@@ -114,8 +118,8 @@ def merged_lines(c: Column, going_on: str = r"(?i)(?:\b(?:and|or|the|of|to|is|if
 
     def step(acc: Column, x: Column) -> Column:
         before = F.element_at(acc, -1)
-        own = x.rlike(_NUMBER) | x.rlike(OPTION_LINE)
-        short = (F.length(before) < 55) & ~before.rlike("[.?!:;]$") & ~before.rlike(OPTION_LINE)
+        own = x.rlike(NUMBER) | x.rlike(OPTION_LINE)
+        short = (F.length(before) < SHORT_LINE) & ~before.rlike(LINE_END) & ~before.rlike(OPTION_LINE)
         more = x.rlike("^[a-z]") | x.rlike(r"^[,.;?]") | before.rlike(going_on) | short
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", before, x)))
         return F.when(F.size(acc) == 0, F.array(x)).when(~own & more, joined).otherwise(F.concat(acc, F.array(x)))
@@ -126,7 +130,7 @@ def merged_lines(c: Column, going_on: str = r"(?i)(?:\b(?:and|or|the|of|to|is|if
 def malformed(c: Column) -> Column:
     """Names of what is wrong with the formulas of a text."""
     n = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
-    tests = (("fraction", n(r"\\frac\s*\{[^{}]*\}\s*\{[^{}]*\}") < n(r"\\frac")), ("probability", c.rlike(r"\b[PQR]\s*\([^)]*$")), ("dollars", n(r"\$") % 2 != 0))
+    tests = (("fraction", n(WHOLE_FRACTION) < n(FRACTION_MARK)), ("probability", c.rlike(OPEN_PROBABILITY)), ("dollars", n(r"\$") % 2 != 0))
     return F.array_compact(F.array(*(F.when(wrong, name) for name, wrong in tests)))
 
 

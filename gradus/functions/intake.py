@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Patterns and names that decide what a line or question is.
 OPTION_LINE = r"^\s*(?:\(?\s*([a-fA-F])\s*\)?\s*[).:\-–—]\s*|([a-fA-F])\s*[).:\-–—]\s+)(.+)$"
 OPTION_MARK = r"(?<![A-Za-z0-9])(?:\(\s*[a-fA-F]\s*\)|\b[a-fA-F]\s*[).])"
+NUMBER = r"(?i)^(?:(?:Q(?:uestion)?\s*)?(\d{1,3})[).:\-\s]+|\((\d{1,3})\)\s+)"
+TAGGED_NUMBER = r"(?i)^(?:Q(?:uestion)?\.?\s*)?(\d{1,3})\s*[.):]\s*"
+LISTED_NUMBER = r"(?i)^(?:Q(?:uestion)?\s*)?\d{1,3}[).:\-\s]"
 SECTION = r"(?i)^(?:SECTION|PART)\s*[-:]?\s*([A-Z0-9]+)(?:\s*[-:]\s*(.+))?$"
 SECTIONS = (
     (r"section\s*a", "Section A", "mcq"),

@@ -19,7 +19,7 @@ SIGNS = {
 }
 OPERATORS = {"<=": r" \le ", ">=": r" \ge ", "!=": r" \neq ", "<>": r" \neq ", "*": r" \times ", "∈": r" \in ", "∉": r" \notin "}
 SAFE = "a-zA-Z0-9\\s.,;:!?@#&%\"'~$()\\[\\]{}=+\\-*/^_∩∪⊂⊆√π∑∫≤≥≠−×÷|\\\\"
-NOISE = (r"(?i)Normal\s+0\s+false\s+false\s+false\s+[A-Z\-]+", r"(?i)false\s+false\s+false\s+EN-US\s+JH\s+K[0-9]+", r"(?i)false\s+false\s+false\s+EN-US", r"(?i)\bNormal\s+0\b", "(?m)^\\s*[ \\f\\x0B]+\\s*$", r"(?i)\bMsoNormal\b")
+NOISE = (r"(?i)Normal\s+0\s+false\s+false\s+false\s+[A-Z\-]+", r"(?i)false\s+false\s+false\s+EN-US\s+JH\s+K[0-9]+", r"(?i)false\s+false\s+false\s+EN-US", r"(?i)\bNormal\s+0\b", "(?m)^\\s*[\u00a0\\f\\x0B]+\\s*$", r"(?i)\bMsoNormal\b")
 MATHS = r"[=<>+*\\^_∩∪√≤≥≠−±×÷]|\b[PQR]\s*\(|\d"
 ANSWER = r"(?i)(?:answer|ans|correct)\s*[:\-]?\s*\(?([a-fA-F])\)?"
 #: Commands that stay commands.
@@ -77,7 +77,7 @@ def safe_text(c: Column) -> Column:
     """Text without what word processors leave, characters of no width, and any that a question
     does not need; blank runs are short."""
     c = reduce(lambda x, p: F.regexp_replace(x, p, " "), NOISE, c)
-    c = F.regexp_replace(F.translate(c, " ", " "), "[​-‍﻿]", "")
+    c = F.regexp_replace(F.translate(c, "\u00a0", " "), "[\u200b-\u200d\ufeff]", "")
     c = F.regexp_replace(c, f"[^{SAFE}]", "")
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 # White space, ends of pages, gaps between columns, shares of lines with so many
 # parts that make columns, the length from which a line counts, and numbers that begin a line.
-SPACE = "\t\n\v\f\r                  　﻿"
+SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 PAGE_END = r"(?i)\f|\n---\s*Page\s+\d+\s*---\n?"
 PAGE_MARK = "\n\n--- Page break ---\n\n"
 GAP = re.compile(rf"\t+|[{SPACE}]{{3,}}")

@@ -76,7 +76,6 @@ def clipboard_source(t) -> DataFrame:
 
 
 TAG = r"^\[([a-zA-Z0-9_-]+)(?::\s*([^\]]*))?\]$"
-START = r"(?i)^(?:Q(?:uestion)?\.?\s*)?(\d{1,3})\s*[.):]\s*"
 
 
 def tagged_blocks(papers: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def tagged_blocks(papers: DataFrame) -> DataFrame:
     of = lambda kind: F.transform(F.filter("lines", lambda x: x["kind"] == kind), lambda x: x["said"])
     options = F.aggregate(F.filter("lines", lambda x: x["kind"] == "option"), F.struct(F.lit("").alias("said"), F.lit(0).cast("bigint").alias("option")), lambda a, x: F.struct(F.concat(a["said"], F.when(a["said"] == "", "").when(a["option"] == x["option"], " ").otherwise("|"), x["said"]).alias("said"), x["option"].alias("option")), lambda a: a["said"])
     stem = F.array_join(of("stem"), "\n")
-    return g.select("id", "block", F.regexp_extract(stem, START, 1).try_cast("int").alias("number"), F.regexp_replace(stem, START, "").alias("stem"), options.alias("options"), F.array_join(of("explanation"), "\n").alias("explanation"), F.array_join(of("tag"), ",").alias("tags"))
+    return g.select("id", "block", F.regexp_extract(stem, read.TAGGED_NUMBER, 1).try_cast("int").alias("number"), F.regexp_replace(stem, read.TAGGED_NUMBER, "").alias("stem"), options.alias("options"), F.array_join(of("explanation"), "\n").alias("explanation"), F.array_join(of("tag"), ",").alias("tags"))
 
 
 @query("""SELECT p_partkey AS id, CAST(n AS BIGINT) AS block, CASE n WHEN 1 THEN CAST(p_partkey % 90 + 1 AS INT) END AS number, CASE n WHEN 1 THEN 'What is ' || p_name || '?' || chr(10) || 'Say why.' ELSE 'Explain ' || p_type END AS stem,
@@ -118,10 +117,6 @@ def tagged_paper(t) -> DataFrame:
     return tagged_blocks(t("part").select(k.alias("id"), body.alias("body")))
 
 
-#: A question's number at the begin of a line, in the forms that papers without tags have.
-NUMBER = r"(?i)^(?:(?:Q(?:uestion)?\s*)?(\d{1,3})[).:\-\s]+|\((\d{1,3})\)\s+)"
-
-
 def plain_blocks(papers: DataFrame) -> DataFrame:
     """Blocks of papers without tags (id, body): id, block, section, number, stem, options, passage.
 
@@ -132,15 +127,15 @@ def plain_blocks(papers: DataFrame) -> DataFrame:
     l = papers.select("id", F.posexplode(F.split(F.regexp_replace("body", r"\r\n", "\n"), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     line = F.col("line")
     header = read.section_name(line)
-    start = header.isNull() & line.rlike(NUMBER)
+    start = header.isNull() & line.rlike(read.NUMBER)
     option = header.isNull() & ~start & read.is_option(line) & (F.size(F.array_distinct(read.marker_labels(line))) < 2)
     w = Window.partitionBy("id").orderBy("pos")
     l = l.withColumns({"header": header, "start": start, "is_option": option})
     l = l.withColumns({"block": F.count_if(F.col("header").isNotNull() | F.col("start")).over(w), "section": F.coalesce(F.last("header", ignorenulls=True).over(w), F.lit("General"))})
     inside = Window.partitionBy("id", "block").orderBy("pos")
     l = l.withColumns({"option": F.count_if("is_option").over(inside), "opened": F.max("start").over(inside)}).where("header is null")
-    said = F.when(F.col("start"), F.regexp_replace("line", NUMBER, "")).when(F.col("is_option"), F.concat_ws(":", read.option_label(line), read.option_text(line))).otherwise(line)
-    number = F.when(F.col("start"), F.concat(F.regexp_extract("line", NUMBER, 1), F.regexp_extract("line", NUMBER, 2)).try_cast("int"))
+    said = F.when(F.col("start"), F.regexp_replace("line", read.NUMBER, "")).when(F.col("is_option"), F.concat_ws(":", read.option_label(line), read.option_text(line))).otherwise(line)
+    number = F.when(F.col("start"), F.concat(F.regexp_extract("line", read.NUMBER, 1), F.regexp_extract("line", read.NUMBER, 2)).try_cast("int"))
     passage = ~F.col("opened") & F.lower("section").rlike("comprehension|passage") & (F.col("option") == 0)
     l = l.select("id", "block", "section", "pos", "option", number.alias("number"), passage.alias("passage"), said.alias("said"))
     g = l.groupBy("id", "block", "section").agg(F.max("number").alias("number"), F.array_sort(F.collect_list(F.struct("pos", "option", "passage", "said"))).alias("lines"))

@@ -10,7 +10,7 @@ from .registry import query
 
 
 @query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(t, '(?i)\bNormal\s+0\b', ' ', 'g'), '(?i)\bMsoNormal\b', ' ', 'g'), chr(160), ' '), '[""" + "​-‍﻿" + r"""]', '', 'g'), '[^""" + latex.SAFE.replace("'", "''") + r"""]', '', 'g') AS t FROM d)
+c AS (SELECT doc_id, regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(t, '(?i)\bNormal\s+0\b', ' ', 'g'), '(?i)\bMsoNormal\b', ' ', 'g'), chr(160), ' '), '[""" + "\u200b-\u200d\ufeff" + r"""]', '', 'g'), '[^""" + latex.SAFE.replace("'", "''") + r"""]', '', 'g') AS t FROM d)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS said FROM c""")
 def safe_documents(t) -> DataFrame:
     """Texts of documents with the characters that a question needs."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks, mathml, office
+from ..functions.intake import NUMBER
 from ..sources import markup
 from .registry import query
 
@@ -139,14 +140,13 @@ def _sql_trimmed(c: str) -> str:
 
 _BREAKS = "|".join(sorted(markup.BLOCKS | {"li", "td", "th", "tr", "body", "html", "center"}, key=len, reverse=True))
 _PREFIX = r"(?i)^\s*(?:<[^>]+>)*" + blocks.OPTION_START.removeprefix("(?i)^") + r"\s*(?:<[^>]+>)*"
-_ASKS = blocks.QUESTION_START.split("|^(\\d{1,3})\\.")[0]  # the last alternative is part of the first
 
 
 @query(rf"""WITH p AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|head)\b.*?</(script|style|head)\s*>', '', 'g') AS h FROM pages),
 s AS (SELECT page_id, unnest(range(1, len(ps) + 1)) AS i, ps FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?i)<li\b[^>]*>', chr(1) || chr(2), 'g'), '(?i)</?(?:{_BREAKS})\b[^>]*>', chr(1), 'g'), chr(1)) AS ps FROM p)),
 b AS (SELECT page_id, i, starts_with(ps[i], chr(2)) AS li, trim(replace(ps[i], chr(2), ''), ' ') AS m, {_sql_trimmed(_sql_said("replace(ps[i], chr(2), '')"))} AS t FROM s),
 k AS (SELECT page_id, i, li, m, CASE WHEN regexp_matches(t, '{blocks.OPTION_START}') THEN upper(regexp_extract(t, '{blocks.OPTION_START}', 1) || regexp_extract(t, '{blocks.OPTION_START}', 2)) END AS label FROM b WHERE li OR t <> ''),
-f AS (SELECT *, CASE WHEN label IS NOT NULL THEN min(i) OVER (PARTITION BY page_id, label) END AS first, label IS NULL AND NOT li AND NOT regexp_matches(m, '{_ASKS}') AS goes_on FROM k),
+f AS (SELECT *, CASE WHEN label IS NOT NULL THEN min(i) OVER (PARTITION BY page_id, label) END AS first, label IS NULL AND NOT li AND NOT regexp_matches(m, '{NUMBER}') AS goes_on FROM k),
 o AS (SELECT *, last_value(CASE WHEN coalesce(first = i, true) AND NOT goes_on THEN {{'i': i, 'opt': label IS NOT NULL}} END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opener FROM f),
 g AS (SELECT page_id, CASE WHEN label IS NOT NULL THEN first WHEN goes_on AND opener.opt THEN opener.i ELSE i END AS at_i, i, li, label, {_sql_said(f"CASE WHEN label IS NOT NULL THEN trim(regexp_replace(m, '{_PREFIX}', ''), ' ') ELSE m END")} AS piece FROM o),
 j AS (SELECT page_id, at_i, arg_min(li, i) AS li, min(label) AS label, {_sql_trimmed("string_agg(CASE WHEN i = at_i THEN '' WHEN label IS NOT NULL THEN ' ' ELSE chr(10) END || piece, '' ORDER BY i)")} AS t FROM g GROUP BY ALL)

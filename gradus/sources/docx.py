@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions.intake import section_name
+from ..functions.intake import LISTED_NUMBER, section_name
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ROW = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("text", pa.string()), ("is_table", pa.bool_()), ("num_id", pa.string()), ("level", pa.string()), ("error", pa.string())])
 PARAGRAPH = "path string, pos bigint, text string, is_table boolean, num_id string, level string, error string"
-#: A question's number at the begin of a line.
-NUMBERED = r"(?i)^(?:Q(?:uestion)?\s*)?\d{1,3}[).:\-\s]"
 
 
 def _text(node: ET.Element) -> str:
@@ -193,7 +191,7 @@ def lines(read: DataFrame) -> DataFrame:
     own = Window.partitionBy("path", "num_id", "level").orderBy("pos")
     listed = F.col("num_id").isNotNull() & F.col("header").isNull()
     n = F.count_if(listed).over(own)
-    number = F.when(listed & ~F.col("text").rlike(NUMBERED) & (F.regexp_extract("text", r"(?i)^(?:Q(?:uestion)?\s*)?(\d{1,3})\b", 1) != n.cast("string")), F.concat(n.cast("string"), F.lit(". "))).otherwise("")
+    number = F.when(listed & ~F.col("text").rlike(LISTED_NUMBER) & (F.regexp_extract("text", r"(?i)^(?:Q(?:uestion)?\s*)?(\d{1,3})\b", 1) != n.cast("string")), F.concat(n.cast("string"), F.lit(". "))).otherwise("")
     above = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     section = F.coalesce(F.last("header", ignorenulls=True).over(above), F.lit("General"))
     return p.select("path", "pos", section.alias("section"), F.concat(number, "text").alias("line"))
