@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intake as read
-from ..sources.dumps import report
+from ..sources.dumps import numbered, report
 from ..sources.markup import html_nodes, with_nodes
 from .registry import query
 
@@ -131,7 +131,7 @@ def classified_questions(t) -> DataFrame:
     return merged_evidence(q.join(docs, "p_partkey"))
 
 
-@query(r"""WITH e AS (SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS i, c_nationkey AS q, (c_custkey % 101) / 100e0 AS s, c_custkey % 3 <> 0 AS o, c_nationkey % 4 <> 0 AS c, c_custkey % 5 // 4 AS w FROM customer),
+@query(r"""WITH e AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_nationkey AS q, (c_custkey % 101) / 100e0 AS s, c_custkey % 3 <> 0 AS o, c_nationkey % 4 <> 0 AS c, c_custkey % 5 // 4 AS w FROM customer),
 a AS (SELECT count(*) AS n, sum(s) AS s, count(*) FILTER (o) AS o, count(*) FILTER (c) AS c, CAST(sum(w) AS BIGINT) AS w FROM e),
 h AS (SELECT unnest(['# Validation report', '', '## Executive Summary', '', '| Metric | Score |', '| --- | --- |', '| **Total Detected Questions** | **' || n || '** |', '| **Average Stem Match Similarity** | **' || printf('%.2f', s * 100 / n) || '%** |', '| **Option Count Alignment Rate** | **' || printf('%.2f', o * 100e0 / n) || '%** |',
  '| **Classification Match** | **' || printf('%.2f', c * 100e0 / n) || '%** |', '| **Total Warnings** | **' || w || '** |', '', '## Comparison', '', '| Q# | Number | Stem Match % | Option Match | Class Match | Status |', '| --- | --- | --- | --- | --- | --- |']) AS line, unnest(range(16)) AS place FROM a)
@@ -139,6 +139,5 @@ SELECT place, line FROM h UNION ALL SELECT i + 16, '| ' || i || ' | ' || coalesc
 def validation_report(t) -> DataFrame:
     """A report as lines, one evaluation a customer."""
     k = F.col("c_custkey")
-    low = t("customer").agg(F.min("c_custkey").alias("low"))
-    e = t("customer").crossJoin(F.broadcast(low)).select((k - F.col("low")).alias("index"), F.nullif("c_nationkey", F.lit(7)).alias("qnum"), ((k % 101) / 100.0).alias("similarity"), (k % 3 != 0).alias("options_match"), (F.col("c_nationkey") % 4 != 0).alias("class_match"), F.floor((k % 5) / 4).alias("warnings"))
+    e = numbered(t("customer").select("c_custkey", "c_nationkey"), "c_custkey").select("index", F.nullif("c_nationkey", F.lit(7)).alias("qnum"), ((k % 101) / 100.0).alias("similarity"), (k % 3 != 0).alias("options_match"), (F.col("c_nationkey") % 4 != 0).alias("class_match"), F.floor((k % 5) / 4).alias("warnings"))
     return report(e)

@@ -32,13 +32,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one that spark.checkpoint.dir names; in local
+    mode without one, a temporary folder.  A cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="shared-")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once, by a checkpoint in the folder that spark.checkpoint.dir names; in local
-    mode without one, in a temporary folder.  For what a plan reads several times."""
+    """`df` computed once, by a checkpoint in the shared folder.  For what a plan reads several times."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
