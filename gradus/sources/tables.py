@@ -23,7 +23,8 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write `df` in place of the table at `path`, which it may be made from, and read it again.
 
-    The new table is whole before the old one goes; a failure between leaves it under its own name.
+    The new table is whole before the old one goes; a failure between leaves it under its own name,
+    and a reader in between finds none: tables that are read meanwhile are for `replace_partitions`.
     """
     spark = df.sparkSession
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)

@@ -19,6 +19,7 @@ def rate_windows(events: DataFrame, length: str = "15 minutes", late: str = "1 h
 
 def latest_answers(events: DataFrame) -> DataFrame:
     """Last write wins per attempt and field, by event time and then id: for `update` or
-    `complete` output.  max_by keeps one row of state a key."""
+    `complete` output.  max_by keeps one row of state a key, for ever: for attempts that end, use
+    `answers.current_answers` with a limit."""
     last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
     return events.groupBy("user_id", "event_type").agg(last.alias("last")).select("user_id", "event_type", "last.event_id", "last.value")
