@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches
+from .common import cut, frugal, small, small_batches
 from .components import connected
 from .words import add_up, chunks, dealt, mix, shingle_sets
 
@@ -92,7 +92,7 @@ def _hot_shingles(docs: DataFrame, k: int, bits: int) -> tuple[np.ndarray, np.nd
     All are counted; of those above HOT the HOT_KEPT most frequent, by powers of two,
     are returned.  They only order shingles, so that the bound costs time, not links.
     """
-    counts = cut(docs.select("text").mapInArrow(_sorted_parts(k, bits), "range int, once binary, more binary, times binary").groupBy("range").applyInPandas(_counted(HOT), "key bigint, df bigint"))
+    counts = cut(docs.select("text").mapInArrow(frugal(_sorted_parts(k, bits)), "range int, once binary, more binary, times binary").groupBy("range").applyInPandas(_counted(HOT), "key bigint, df bigint"))
     least, held = 0, 0
     for power, n in counts.groupBy(F.floor(F.log2("df")).cast("int").alias("p")).count().orderBy(F.desc("p")).collect():
         held += n
@@ -383,7 +383,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     null.  No rows give no rows.  Shingles are 64-bit hashes.
     """
     docs = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    facts = cut(docs.mapInArrow(_facts(k), "doc_id bigint, n bigint, digest string"))
+    facts = cut(docs.mapInArrow(frugal(_facts(k)), "doc_id bigint, n bigint, digest string"))
     classes = facts.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     total = facts.agg(F.sum("n")).first()[0] or 0
     bits = max(5, min(24, int(total // 1_000_000).bit_length()))
@@ -399,7 +399,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     roles = roles.where("copy").select("doc_id", F.lit(0).cast("bigint").alias("copies")).union(firsts.select(F.col("node").alias("doc_id"), "copies"))
     roles = small(cut(roles.groupBy("doc_id").agg(F.max("copies").alias("copies"))))
     readers = docs.where("doc_id is not null").join(roles, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
-    postings = readers.select("doc_id", "text", "copies").mapInArrow(_prefixes(k, bits, percent, hot), "token bigint, node bigint, n bigint, pos bigint, copies bigint, hot boolean")
+    postings = readers.select("doc_id", "text", "copies").mapInArrow(frugal(_prefixes(k, bits, percent, hot)), "token bigint, node bigint, n bigint, pos bigint, copies bigint, hot boolean")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8_000_000))
     # Rows of frequent shingles are dealt apart: they need not meet, as others have them for sure.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1009))).otherwise(0)
@@ -418,7 +418,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = small(cut(wanted.toDF("doc_id").distinct()))
-        return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "node bigint, items binary")
+        return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(frugal(_sets(k)), "node bigint, items binary")
 
     # First each node and the centre with which it shares most tokens, if sizes admit it:
     # groups of near copies join here, and what does not is left to the search below.
@@ -430,7 +430,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         pairs = cut(pairs)
         with_x = pairs.join(sets_of(pairs.select("a")).select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         with_y = with_x.join(sets_of(pairs.select("b")).select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
+        return with_y.select("a", "b", "x", "y").mapInArrow(frugal(_verify(percent)), "a bigint, b bigint")
 
     first = cut(connected(linked(stars)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import frugal, small_batches
 from .words import mix
 
 ORDER = 5
@@ -244,7 +244,7 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
     apart = per_lang / (per_lang + CALIBRATION_DOCS)
     fit = rows.where(u < rate * apart)
     calibrate = rows.where((u >= rate * apart) & (u < rate))
-    counts = fit.select("lang", "text").mapInArrow(_counted, "lang string, w string, n bigint").groupBy("lang", "w").agg(F.sum("n").alias("count"))
+    counts = fit.select("lang", "text").mapInArrow(frugal(_counted), "lang string, w string, n bigint").groupBy("lang", "w").agg(F.sum("n").alias("count"))
     letters = counts.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).first()[0]
     alphabet = letters + 2
     # One task a language, with the distinct words of its sample; only the finished arrays reach the driver.
@@ -284,7 +284,7 @@ def judged(docs: DataFrame, model) -> DataFrame:
     docs = docs.drop(*(x.split()[0] for x in JUDGED.split(", ")))
     sent = docs.sparkSession.sparkContext.broadcast(model) if isinstance(model, Model) else model
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(JUDGED).fields])
-    return small_batches(docs).mapInArrow(_judge(sent, docs.columns.index("text")), schema)
+    return small_batches(docs).mapInArrow(frugal(_judge(sent, docs.columns.index("text"))), schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
