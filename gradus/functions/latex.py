@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .intake import html_unescaped, once
 
@@ -22,6 +24,13 @@ SAFE = "a-zA-Z0-9\\s.,;:!?@#&%\"'~$()\\[\\]{}=+\\-*/^_∩∪⊂⊆√π∑∫≤
 NOISE = (r"(?i)Normal\s+0\s+false\s+false\s+false\s+[A-Z\-]+", r"(?i)false\s+false\s+false\s+EN-US\s+JH\s+K[0-9]+", r"(?i)false\s+false\s+false\s+EN-US", r"(?i)\bNormal\s+0\b", "(?m)^\\s*[\u00a0\\f\\x0B]+\\s*$", r"(?i)\bMsoNormal\b")
 MATHS = r"[=<>+*\\^_∩∪√≤≥≠−±×÷]|\b[PQR]\s*\(|\d"
 ANSWER = r"(?i)(?:answer|ans|correct)\s*[:\-]?\s*\(?([a-fA-F])\)?"
+# A letter with a number that may be a power, how far around it signs of mathematics
+# are looked for, such signs, and what hides them.
+POWER = re.compile(r"\b([x-za-dn-p])([2-9])\b", re.A)
+AROUND = 50
+LATEX_SIGN = re.compile(r"\$|\\\(|\\\[|\\frac|\\sqrt|\\cap|\\cup|\\pi|\\le|\\ge|\\ne|\\neq|\\pm|\\times|\\div")
+HIDING = re.compile(r"https?://\S+|[a-zA-Z]:\\[a-zA-Z0-9\\._-]+|<[^>]+>")
+OPERATOR = re.compile(r"[-+=*<>]")
 #: Commands that stay commands.
 COMMANDS = tuple("frac sqrt sum int prod lim sin cos tan log ln alpha beta gamma delta theta lambda mu sigma phi psi omega pi cap cup subset subseteq le ge ne neq in notin pm times div cdot infty left right begin end text vec hat bar overset underset mathbf rightarrow Rightarrow".split())
 
@@ -98,3 +107,19 @@ def answer_in(c: Column) -> tuple[Column, Column]:
     letter = F.upper(F.nullif(F.regexp_extract(c, ANSWER, 1), F.lit("")))
     return letter, F.ascii(letter) - 65
 
+
+
+def _with_powers(text: str | None) -> str | None:
+    if text is None:
+        return None
+
+    def power(m: re.Match) -> str:
+        near = text[max(0, m.start() - AROUND) : m.end() + AROUND]
+        return f"{m[1]}^{m[2]}" if LATEX_SIGN.search(near) or OPERATOR.search(HIDING.sub("", near)) else m[0]
+
+    return POWER.sub(power, text)
+
+
+#: Text whose shorthand powers (x2) are written out (x^2) where signs of mathematics stand near;
+#: those in addresses, paths and tags do not count.  Null stays null.
+with_powers = F.udf(_with_powers, returnType=StringType(), useArrow=True)

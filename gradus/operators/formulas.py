@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import latex
+from ..functions import cleaning, latex
 from .registry import query
 
 
@@ -152,3 +152,15 @@ def saved_edits(t) -> DataFrame:
     saved = F.col("next_ts").isNull() | (F.col("next_type") == "view") | late
     why = F.when(F.col("next_ts").isNull(), "unmount").when((F.col("next_type") == "view") & ~late, "navigation").otherwise("pause")
     return e.where((F.col("event_type") == "click") & saved).select("user_id", F.col("event_id").alias("edit"), why.alias("why"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_name, p_size % 10 AS d, chr(CAST(97 + p_size % 26 AS INT)) AS v, p_partkey % 5 AS k FROM part),
+q AS (SELECT *, contains('abcdnopxyz', v) AND d >= 2 AND (k IN (0, 1)) AS up FROM p)
+SELECT p_partkey, CASE k WHEN 0 THEN 'Let ' ELSE p_name || ' ' END || v || CASE WHEN up THEN '^' ELSE '' END || d || CASE k WHEN 0 THEN ' + 1 of \frac{1}{2}' WHEN 1 THEN ' in $k$' WHEN 2 THEN ' of version2, part 3' WHEN 3 THEN ' at https://a.b/?q=1' ELSE ' <b class="x">' END AS said FROM q""")
+def shorthand_powers(t) -> DataFrame:
+    """Shorthand formulas in full, and powers where mathematics stands near."""
+    k, d = F.col("p_partkey") % 5, (F.col("p_size") % 10).cast("string")
+    tails = (" + 1 of \u00bd", " in $k$", " of version2, part 3", " at https://a.b/?q=1", ' <b class="x">')
+    tail = F.coalesce(*(F.when(k == i, x) for i, x in enumerate(tails)))
+    raw = F.concat(F.when(k == 0, "Let ").otherwise(F.concat("p_name", F.lit(" "))), F.chr(97 + F.col("p_size") % 26), d, tail)
+    return t("part").select("p_partkey", latex.with_powers(cleaning.prepared_math(raw)).alias("said"))

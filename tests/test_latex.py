@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gradus.functions import latex
+from gradus.functions import cleaning, latex
 from gradus.operators import formulas
 
 
@@ -49,3 +49,16 @@ def test_phrases(spark):
     texts = spark.createDataFrame([(1, "organic chemistry of it"), (2, "biochemistry"), (3, ""), (4, None), (5, "pat"), (6, "xyzw")], "k int, t string")
     entries = spark.createDataFrame([(3, "chemistry"), (1, "organic chemistry"), (2, "of"), (9, "pat"), (8, ""), (7, "z")], "i int, name string")
     assert {r.k: r.entry for r in formulas.first_phrase(texts, entries, "k", "t").collect()} == {1: 1, 2: 3, 3: None, 4: None, 5: 9, 6: 7}
+
+
+def test_shorthand(spark):
+    cases = {
+        "If x2 + y2 = z2, find the value of ½ of sqrtx and ¾ of sqrt(y) when frac14 of z is given.": r"If x^2 + y^2 = z^2, find the value of \frac{1}{2} of \sqrt{x} and \frac{3}{4} of \sqrt{y} when \frac{1}{4} of z is given.",
+        "Review Question 2: In Chapter 3, page 4, version2 of option 3 did not match version4.": None,
+        "see x2 at https://a.b/c=d and <i>": None, r"x2 in C:\dir-a": None, "x2 " + "w" * 50 + " =": None, "x2 " + "w" * 40 + " =": "x^2 " + "w" * 40 + " =",
+        "e2 = x1 = m5": None, "": None,
+    }
+    d = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.s for r in d.select("t", latex.with_powers(cleaning.prepared_math(F.col("t"))).alias("s")).collect()}
+    assert got.pop(None) is None
+    assert got == {k: k if v is None else v for k, v in cases.items()}
