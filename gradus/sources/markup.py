@@ -285,18 +285,5 @@ def within(nodes: Column, of: Column) -> Column:
     return F.slice(nodes, of["id"] + 2, of["last"] - of["id"])
 
 
-def inner(nodes: Column, of: Column, tag=lambda n: n["raw"]) -> Column:
-    """The markup inside a node."""
-    inside = F.filter(within(nodes, of), lambda n: ~n["name"].isin("#stray", "#comment", "#end"))
-    first = F.transform(inside, lambda n, i: F.concat(F.when(i == 0, "").otherwise(n["lead"]), F.coalesce(n["text"], tag(n), F.lit(""))))
-    still_open = F.filter(inside, lambda n: (n["last"] == of["last"]) & has_end(n))
-    return F.concat(F.array_join(first, ""), F.array_join(F.reverse(F.transform(still_open, lambda n: F.concat(F.lit("</"), n["name"], F.lit(">")))), ""))
-
-
-def said(nodes: Column, of: Column) -> Column:
-    """The text inside a node, references as they are; that of scripts and styles is none."""
-    return F.array_join(F.transform(F.filter(within(nodes, of), lambda n: n["text"].isNotNull()), lambda n: n["text"]), "")
-
-
 def has_end(n: Column) -> Column:
     return ~n["name"].startswith("#") & ~n["raw"].endswith("/>") & ~F.lower(n["name"]).isin(*VOID)
