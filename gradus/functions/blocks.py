@@ -55,6 +55,10 @@ def _label(text: Column) -> Column:
     return F.upper(F.concat(F.regexp_extract(text, OPTION_START, 1), F.regexp_extract(text, OPTION_START, 2)))
 
 
+#: What `units` reads of nodes.
+FIELDS = ("id", "parent", "last", "depth", "name", "path", "attributes", "text", "raw", "lead")
+
+
 def units(pages: DataFrame, *keys: str, into: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of pages before they are joined: keys, pos, kind, label, content, text.
 
@@ -80,18 +84,22 @@ def units(pages: DataFrame, *keys: str, into: tuple[str, ...] = ()) -> DataFrame
     u = tops.select(*keys, "top", F.posexplode("parts").alias("at", "part")).select(*keys, "top", "at", "part.role", "part.row", _content(F.col("part.inside")).alias("content"))
     u = u.withColumn("text", text_of(F.col("content")))
     u = u.withColumn("option", F.col("text").rlike(OPTION_START) & (F.col("role") != "table"))
-    of_top = Window.partitionBy(*keys, "top")
-    # A table's text is its cells by rows; with two options it is only its cells' layout.
-    grid = F.collect_list(F.when(F.col("role") == "cell", F.struct("at", "row", "text"))).over(of_top)
-    options = F.sum(F.when(F.col("role") == "cell", F.col("option").cast("int")).otherwise(0)).over(of_top)
-    u = u.withColumns({"options": options, "grid": F.when(F.col("role") == "table", grid)})
+    # A table's text is its cells by rows, made once, for the table's own row; with two options it
+    # is only its cells' layout.
+    g = u.groupBy(*keys, "top").agg(F.array_sort(F.collect_list(F.struct("at", "role", "row", "content", "text", "option"))).alias("rows"))
+    is_cell = lambda r: r["role"] == "cell"
+    gap = lambda cells, c, i: F.when(i == 0, "").when(c["row"] == F.get(cells, i - 1)["row"], "\t").otherwise("\n")
+    grid = once(F.filter("rows", is_cell), lambda cells: F.array_join(F.transform(cells, lambda c, i: F.concat(gap(cells, c, i), c["text"])), ""))
+    fields = ("at", "role", "content", "text", "option")
+    row = lambda r: F.struct(*(r[f].alias(f) for f in fields), F.when(r["role"] == "table", grid).alias("grid"))
+    options = F.size(F.filter("rows", lambda r: is_cell(r) & r["option"])).alias("options")
+    u = g.select(*keys, "top", options, F.inline(F.transform("rows", row)))
     u = u.where(F.when(F.col("role") == "cell", (F.col("options") >= 2) & F.col("option")).when(F.col("role") == "table", F.col("options") < 2).otherwise((F.col("role") == "item") | (F.col("text") != "")))
     kind = F.when(F.col("role") == "table", "table").when(F.col("option"), "option").when(F.col("role") == "item", "list_item").otherwise("paragraph")
     prefix = r"(?i)^\s*(?:<[^>]+>)*" + OPTION_START.removeprefix("(?i)^") + r"\s*(?:<[^>]+>)*"
     content = F.when(kind == "option", F.trim(F.regexp_replace("content", prefix, ""))).when(kind == "table", F.concat(F.lit("<table>"), "content", F.lit("</table>"))).otherwise(F.col("content"))
-    first_of_row = F.transform(F.array_sort("grid"), lambda c, i: F.concat(F.when(i == 0, "").when(c["row"] == F.get(F.array_sort("grid"), i - 1)["row"], "\t").otherwise("\n"), c["text"]))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("top", "at"))
-    return u.select(*keys, pos.alias("pos"), kind.alias("kind"), F.when(kind == "option", _label(F.col("text"))).alias("label"), content.alias("content"), F.when(kind == "table", F.array_join(first_of_row, "")).alias("grid"))
+    return u.select(*keys, pos.alias("pos"), kind.alias("kind"), F.when(kind == "option", _label(F.col("text"))).alias("label"), content.alias("content"), "grid")
 
 
 def plain_units(docs: DataFrame, *keys: str) -> DataFrame:
@@ -135,4 +143,4 @@ def page_blocks(pages: DataFrame, html: str, *keys: str, into: tuple[str, ...] =
     """Typed blocks of pages, as `joined_blocks`, with formulas as LaTeX.  Rows with equal keys
     must not repeat: keys name a page."""
     latex = pages.select(*keys, page_with_latex(F.col(html)).alias("html"))
-    return joined_blocks(units(with_nodes(latex, html_nodes, "html", *keys), *keys, into=into), *keys)
+    return joined_blocks(units(with_nodes(latex, html_nodes, "html", *keys, fields=FIELDS), *keys, into=into), *keys)

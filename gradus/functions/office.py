@@ -34,7 +34,7 @@ def representations(pages: DataFrame, html: str, *keys: str) -> DataFrame:
     nodes = F.col("nodes")
     value = lambda n, *names: F.coalesce(*(F.nullif(F.trim(F.try_element_at(n["attributes"], F.lit(a))), F.lit("")) for a in names), F.lit(None).cast("string"))
     shapes = F.filter(nodes, lambda n: _local(n) == "shape")
-    p = with_nodes(shown, html_nodes, "html", *keys).select(*keys, "nodes", shapes.alias("shapes"))
+    p = with_nodes(shown, html_nodes, "html", *keys, fields=("id", "parent", "last", "root", "depth", "name", "attributes", "text")).select(*keys, "nodes", shapes.alias("shapes"))
 
     def own_shape(n: Column) -> Column:
         around = F.filter("shapes", lambda s: (s["id"] < n["id"]) & (s["last"] >= n["last"]))

@@ -42,12 +42,13 @@ def option_images(pages: DataFrame, html: str, *keys: str) -> DataFrame:
     An image belongs to the last option marker before it in the page; images before the first one
     belong to the stem and give no row.  Of a text with several markers the last counts.
     """
-    n = with_nodes(pages.select(*keys, html), html_nodes, html, *keys)
-    marker = lambda x: F.element_at(F.concat(F.array(F.lit("")), read.marker_labels(x["text"])), -1)
-    texts = F.filter("nodes", lambda x: x["text"].rlike(read.OPTION_MARK))
-    marks = n.select(*keys, F.inline(F.transform(texts, lambda x: F.struct(x["id"].alias("at"), marker(x).alias("label"))))).where("label <> ''")
-    images = n.select(*keys, F.inline(F.transform(F.filter("nodes", lambda x: x["name"] == "img"), lambda x: F.struct(x["id"].alias("at"), F.try_element_at(x["attributes"], F.lit("src")).alias("src")))))
-    held = as_of(images.where("src is not null"), marks, list(keys), ["at"], ["label"]).where("label is not null")
+    n = with_nodes(pages, html_nodes, html, *keys, fields=("id", "name", "attributes", "text"))
+    marker = lambda x: F.nullif(F.element_at(F.concat(F.array(F.lit("")), read.marker_labels(x["text"])), -1), F.lit(""))
+    found = F.filter("nodes", lambda x: (x["name"] == "img") | x["text"].rlike(read.OPTION_MARK))
+    row = lambda x: F.struct(x["id"].alias("at"), F.when(x["name"] != "img", marker(x)).alias("mark"), F.when(x["name"] == "img", F.try_element_at(x["attributes"], F.lit("src"))).alias("src"))
+    before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = n.select(*keys, F.inline(F.transform(found, row))).withColumn("label", F.last("mark", ignorenulls=True).over(before))
+    held = rows.where("src is not null and label is not null")
     place = F.row_number().over(Window.partitionBy(*keys, "label").orderBy("at"))
     return held.select(*keys, F.upper("label").alias("label"), place.alias("place"), "src")
 

@@ -34,18 +34,19 @@ SELECT path, count(*) AS n, count(*) FILTER (bad) AS n_errors, CAST(sum(a) AS BI
  UNION ALL SELECT '#stray', true, 0 FROM o WHERE k % 10 = 9) GROUP BY path""")
 def xml_paths(t) -> DataFrame:
     """Nodes of XML documents by path, how many have an error, and their attributes."""
-    n = markup.node_table(_order_xml(t), markup.xml_nodes, "xml", "k").where("name <> '#end'")
+    n = markup.node_table(_order_xml(t), markup.xml_nodes, "xml", "k", fields=("name", "path", "attributes", "error")).where("name <> '#end'")
     return n.groupBy("path").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum(F.coalesce(F.size("attributes"), F.lit(0))).cast("bigint").alias("n_attributes"))
 
 
 @query("SELECT l_orderkey AS k, count(*) AS n_lines, CAST(sum(CAST(floor(l_quantity) AS INT)) AS BIGINT) AS quantity, min(CAST(l_linenumber AS VARCHAR)) AS first_line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
 def xml_totals(t) -> DataFrame:
-    """Values read back from XML: each line's node joined with its quantity's text by parent."""
-    n = markup.node_table(_order_xml(t), markup.xml_nodes, "xml", "k")
-    line = n.where("name = 'line'").select("k", F.col("id").alias("line"), F.try_element_at("attributes", F.lit("n")).alias("number"))
-    qty = n.where("name = 'qty'").select("k", F.col("id").alias("qty"), F.col("parent").alias("line"))
-    text = n.where("name = '#text'").select("k", F.col("parent").alias("qty"), F.trim("text").try_cast("int").alias("said"))
-    rows = line.join(qty, ["k", "line"]).join(text, ["k", "qty"])
+    """Values read back from XML: each quantity's text with the line around it.  A parent is found
+    by its place in its own document's nodes, so that nothing but values leaves the document."""
+    d = markup.with_nodes(_order_xml(t), markup.xml_nodes, "xml", "k", fields=("parent", "name", "attributes", "text"))
+    above = lambda n: F.get("nodes", n["parent"])
+    said = F.filter("nodes", lambda n: (n["name"] == "#text") & (above(n)["name"] == "qty") & (above(above(n))["name"] == "line"))
+    row = lambda n: F.struct(F.try_element_at(above(above(n))["attributes"], F.lit("n")).alias("number"), F.trim(n["text"]).try_cast("int").alias("said"))
+    rows = d.select("k", F.inline(F.transform(said, row)))
     return rows.groupBy("k").agg(F.count("*").alias("n_lines"), F.sum("said").cast("bigint").alias("quantity"), F.min("number").alias("first_line"))
 
 
@@ -163,7 +164,7 @@ s AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][^\s/>]*)[^>
 SELECT page_id, name, count(*) AS n FROM s WHERE name NOT IN ('html', 'body') GROUP BY ALL""")
 def page_elements(t) -> DataFrame:
     """Elements of pages by name."""
-    n = markup.node_table(t("pages"), markup.html_nodes, "html", "page_id")
+    n = markup.node_table(t("pages"), markup.html_nodes, "html", "page_id", fields=("name",))
     return n.where("not startswith(name, '#')").groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
@@ -178,7 +179,7 @@ def repaired_pages(t) -> DataFrame:
     """Pages that were cut off somewhere, with every element ended: the ends that were added, less
     those that went, and the ends there are now."""
     cut = F.substring(F.col("html"), F.lit(1), F.expr("cast(length(html) * (1 + page_id % 4) div 4 as int)"))
-    r = t("pages").select("page_id", F.explode(F.array(markup.tag_nodes(cut))).alias("nodes"))
+    r = markup.with_nodes(t("pages").select("page_id", cut.alias("html")), markup.tag_nodes, "html", "page_id", fields=("name", "raw", "error"))
     elements = F.filter("nodes", lambda n: markup.has_end(n))
     of = lambda *e: F.size(F.filter("nodes", lambda n: n["error"].isin(*e))).cast("bigint")
     return r.select("page_id", (of("unclosed", "crossed") - of("end without start")).alias("added"), F.size(elements).cast("bigint").alias("n_ends"))
