@@ -24,12 +24,18 @@ def _files(t) -> DataFrame:
     listed = '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr>'
     item = _paragraph(_run(F.col("p_name"), "<w:b/>"), _run(F.lit(" & ")), _run(F.col("p_size"), '<w:vertAlign w:val="superscript"/>'), properties=listed)
     row = F.concat(F.lit("<w:tr><w:tc>"), _paragraph(_run(F.col("p_type"))), F.lit("</w:tc><w:tc>"), _paragraph(_run(F.col("p_partkey"), '<w:i/><w:b w:val="0"/>')), F.lit("</w:tc></w:tr>"))
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", c.alias("x")))), lambda x: x["x"]), "")
-    g = t("part").groupBy("p_brand").agg(in_order(item).alias("items"), in_order(row).alias("rows"))
-    body = F.concat(_paragraph(_run(F.col("p_brand")), properties='<w:pStyle w:val="Heading2"/>'), "items", F.lit("<w:tbl>"), "rows", F.lit("</w:tbl><w:p/>"), _paragraph(F.lit('<w:r><w:drawing><a:blip r:embed="r1"/><a:blip r:embed="r9"/></w:drawing></w:r>')))
-    broken = F.col("p_brand").endswith("5")
-    content = docx.packed(body, F.encode(F.concat(F.lit("image of "), "p_brand"), "utf-8"))
-    return g.select(F.col("p_brand").alias("path"), F.when(broken, F.encode(F.lit("no archive"), "utf-8")).otherwise(content).alias("content"))
+    p, key = t("part"), F.col("p_partkey")
+    brands = p.select("p_brand").distinct()
+    none = F.lit(None).cast("binary")
+    piece = lambda d, section, place, said, image=none: d.select(F.col("p_brand").alias("path"), F.lit(section).alias("section"), F.lit(place).cast("bigint").alias("place"), said.alias("piece"), image.alias("image"))
+    last = F.concat(F.lit("</w:tbl><w:p/>"), _paragraph(F.lit('<w:r><w:drawing><a:blip r:embed="r1"/><a:blip r:embed="r9"/></w:drawing></w:r>')))
+    pieces = piece(brands, 0, 0, _paragraph(_run(F.col("p_brand")), properties='<w:pStyle w:val="Heading2"/>'), F.encode(F.concat(F.lit("image of "), "p_brand"), "utf-8"))
+    for more in (piece(p, 1, key, item), piece(brands, 2, 0, F.lit("<w:tbl>")), piece(p, 3, key, row), piece(brands, 4, 0, last)):
+        pieces = pieces.union(more)
+    broken = F.col("path").endswith("5")
+    files = docx.packed_files(pieces, "section", "place").withColumn("content", F.when(broken, F.encode(F.lit("no archive"), "utf-8")).otherwise(F.col("content")))
+    # A brand that is null is a file that cannot be read.
+    return files.union(brands.where("p_brand is null").select(F.col("p_brand"), none))
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE NOT ends_with(p_brand, '5'))

@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from html import escape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,16 +27,74 @@ def _text(node: ET.Element) -> str:
     return "".join(said[x.tag](x) for x in node.iter() if x.tag in said).strip()
 
 
+DOCUMENT = "word/document.xml"
+#: Rows that are given at once.
+ROWS = 5000
+
+
+class _Nothing:
+    """What a parser builds that only looks for errors."""
+
+    def close(self) -> None:
+        pass
+
+
+def _sound(z: zipfile.ZipFile) -> None:
+    """Raise what is wrong with a file's document; it is read through and nothing of it is held."""
+    parser = ET.XMLParser(target=_Nothing())
+    with z.open(DOCUMENT) as f:
+        while some := f.read(1 << 20):
+            parser.feed(some)
+    parser.close()
+
+
+def _nodes(z: zipfile.ZipFile) -> Iterator[tuple[int, str, ET.Element | None]]:
+    """What stands in a file's body, in order: place, and `block` with its element, or `table`, each
+    `row` with its element, and `end`.  What was given is let go, so that a file is never held whole."""
+    depth, body, pos, top = 0, None, -1, None
+    with z.open(DOCUMENT) as f:
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                depth += 1
+                if depth == 2 and body is None and e.tag == f"{_W}body":
+                    body = top = e
+                elif depth == 3 and top is not None:
+                    pos, top = pos + 1, e
+                    if e.tag == f"{_W}tbl":
+                        yield pos, "table", None
+                continue
+            depth -= 1
+            if top is None:
+                continue
+            if depth == 3 and top.tag == f"{_W}tbl":
+                for r in e.iter(f"{_W}tr"):
+                    yield pos, "row", r
+                top.clear()
+            elif depth == 2:
+                yield (pos, "end", None) if e.tag == f"{_W}tbl" else (pos, "block", e)
+                body.clear()
+                top = body
+            elif depth == 1:
+                top = None
+
+
 def _rows(path: str, content: bytes) -> Iterator[dict]:
     try:
-        body = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
+        z = zipfile.ZipFile(io.BytesIO(content))
+        _sound(z)
     except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
         yield {"path": path, "pos": 0, "error": f"{type(e).__name__}: {e}"}
         return
-    for pos, node in enumerate(body if body is not None else []):
-        if node.tag == f"{_W}tbl":
-            rows = [" | ".join(_text(c) for c in r.iter(f"{_W}tc")) for r in node.iter(f"{_W}tr")]
-            yield {"path": path, "pos": pos, "text": "[TABLE]\n" + "\n".join(rows), "is_table": True}
+    table = io.StringIO()
+    for pos, what, node in _nodes(z):
+        if what == "table":
+            table = io.StringIO()
+            table.write("[TABLE]")
+        elif what == "row":
+            table.write("\n" + " | ".join(_text(c) for c in node.iter(f"{_W}tc")))
+        elif what == "end":
+            said = table.getvalue()
+            yield {"path": path, "pos": pos, "text": said if "\n" in said else said + "\n", "is_table": True}
         elif node.tag == f"{_W}p" and (text := _text(node)):
             of = lambda name: node.find(f"{_W}pPr/{_W}numPr/{_W}{name}")  # noqa: B023, E731
             num, level = of("numId"), of("ilvl")
@@ -46,9 +105,9 @@ def _rows(path: str, content: bytes) -> Iterator[dict]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = list(_rows(path.as_py(), content.as_py()))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ROW)
+            rows = _rows(path.as_py(), content.as_py())
+            while some := list(islice(rows, ROWS)):
+                yield pa.RecordBatch.from_pylist(some, _ROW)
 
 
 def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,34 +142,47 @@ def _on(node: ET.Element | None) -> bool:
     return node is not None and node.get(f"{_W}val") not in ("0", "false", "none")
 
 
+def _inner(cell: ET.Element) -> Iterator[tuple[int, str, ET.Element | None]]:
+    """What stands in a cell, as `_nodes`."""
+    for pos, n in enumerate(cell):
+        if n.tag != f"{_W}tbl":
+            yield pos, "block", n
+            continue
+        yield pos, "table", None
+        for r in n.iter(f"{_W}tr"):
+            yield pos, "row", r
+        yield pos, "end", None
+
+
 class _Page:
     """A Word file as HTML; the images it shows, in order."""
 
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
-        body = ET.fromstring(self.zip.read("word/document.xml")).find(f"{_W}body")
+        _sound(self.zip)
         name = "word/_rels/document.xml.rels"
         rels = ET.fromstring(self.zip.read(name)).iter(_REL) if name in self.zip.namelist() else ()
         self.targets = {r.get("Id"): r.get("Target") for r in rels}
         self.images: list[dict] = []
-        self.html = self._blocks(body if body is not None else [])
+        self.html = self._written(_nodes(self.zip))
 
-    def _blocks(self, nodes) -> str:
-        out, listed = [], False
-        for n in nodes:
-            item = n.tag == f"{_W}p" and n.find(f"{_W}pPr/{_W}numPr") is not None
+    def _written(self, nodes) -> str:
+        out, listed = io.StringIO(), False
+        for _, what, n in nodes:
+            item = what == "block" and n.tag == f"{_W}p" and n.find(f"{_W}pPr/{_W}numPr") is not None
             if item != listed:
-                out.append("<ol>" if item else "</ol>")
+                out.write("<ol>" if item else "</ol>")
                 listed = item
-            if n.tag == f"{_W}tbl":
-                rows = ("".join(f"<td>{self._blocks(c)}</td>" for c in r.iter(f"{_W}tc")) for r in n.iter(f"{_W}tr"))
-                out.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+            if what == "row":
+                out.write("<tr>" + "".join(f"<td>{self._written(_inner(c))}</td>" for c in n.iter(f"{_W}tc")) + "</tr>")
+            elif what != "block":
+                out.write("<table>" if what == "table" else "</table>")
             elif n.tag == f"{_W}p" and (said := "".join(map(self._run, n.iter(f"{_W}r")))):
                 style = n.find(f"{_W}pPr/{_W}pStyle")
                 head = re.fullmatch(r"Heading([1-6])", style.get(f"{_W}val", "") if style is not None else "")
                 tag = "li" if item else f"h{head[1]}" if head else "p"
-                out.append(f"<{tag}>{said}</{tag}>")
-        return "".join(out) + ("</ol>" if listed else "")
+                out.write(f"<{tag}>{said}</{tag}>")
+        return out.getvalue() + ("</ol>" if listed else "")
 
     def _run(self, r: ET.Element) -> str:
         parts = []
@@ -165,16 +237,56 @@ def images(read: DataFrame) -> DataFrame:
 _XMLNS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
+_PIECE = pa.schema([("path", pa.string()), ("piece", pa.string()), ("image", pa.binary())])
+
+
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (path, content) of pieces in order (path, piece, image)."""
+    path, out = None, None
+
+    def begun():
+        z = zipfile.ZipFile(io.BytesIO(), "w", zipfile.ZIP_DEFLATED)
+        f = z.open(DOCUMENT, "w", force_zip64=True)
+        f.write(f"<w:document {_XMLNS}><w:body>".encode())
+        return z, f, z.fp
+
+    def ended(image):
+        z, f, held = out
+        f.write(b"</w:body></w:document>")
+        f.close()
+        if image is not None:
+            z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{_REL[1:].partition("}")[0]}"><Relationship Id="r1" Target="media/a.PNG"/></Relationships>')
+            z.writestr("word/media/a.PNG", image)
+        z.close()
+        return pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "content": pa.array([held.getvalue()], pa.binary())})
+
+    shown = None
+    for batch in batches:
+        for p, piece, image in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != path:
+                if out:
+                    yield ended(shown)
+                path, out, shown = p, begun(), None
+            if piece is not None:
+                out[1].write(piece.encode())
+            shown = image if shown is None else shown
+    if out:
+        yield ended(shown)
+
+
+def packed_files(pieces: DataFrame, *order: str) -> DataFrame:
+    """Word files (path, content) of pieces of their bodies' markup (path, piece, image) in an
+    order; an image is shown by the reference r1.  Pieces without a path are none.
+
+    A file is written piece by piece, so that a task holds no body, only what it packed of one."""
+    dealt = pieces.where("path is not null").repartition("path").sortWithinPartitions("path", *order, "piece")
+    return dealt.select("path", "piece", "image").mapInArrow(_packing, "path string, content binary")
+
+
 def _packed(body: str | None, image: bytes | None) -> bytes | None:
     if body is None:
         return None
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {_XMLNS}><w:body>{body}</w:body></w:document>")
-        if image is not None:
-            z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{_REL[1:].partition("}")[0]}"><Relationship Id="r1" Target="media/a.PNG"/></Relationships>')
-            z.writestr("word/media/a.PNG", bytes(image))
-    return out.getvalue()
+    return next(_packing([pa.RecordBatch.from_pylist([{"path": "", "piece": body, "image": None if image is None else bytes(image)}], _PIECE)])).column(1)[0].as_py()
 
 
 #: A Word file of a body's markup, and an image that it may show by the reference r1.

@@ -51,3 +51,22 @@ def test_pages_and_images(spark):
     assert got["null"].error.startswith("BadZipFile")
     shown = [(r.path, r.place, r.name, bytes(r.content)) for r in docx.images(read).orderBy("place").collect()]
     assert shown == [("a", 1, "image-1.png", b"\x89PNG"), ("a", 2, "image-2.png", b"\x89PNG")]
+
+
+def test_large_files_are_read_row_by_row():
+    """A file's nodes are given while it is read: few are held at a time."""
+    import tracemalloc
+
+    row = "<w:tr><w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc></w:tr>"
+    body = "".join(f"<w:p><w:r><w:t>{i}</w:t></w:r></w:p>" for i in range(20_000)) + "<w:tbl>" + "".join(map(row.format, range(20_000))) + "</w:tbl>"
+    content = docx._packed(body, None)
+    tracemalloc.start()
+    said = [len(r["text"]) for r in docx._rows("a", content)]
+    rows_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    html = docx._Page(content).html
+    peak = max(rows_peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert len(said) == 20_001 and said[-1] == len("[TABLE]") + sum(len(f"\n{i}") for i in range(20_000))
+    assert html.count("<tr>") == 20_000 and html.endswith("</table>")
+    assert peak < 12 << 20
