@@ -210,3 +210,13 @@ def test_formulas_are_folded_while_they_are_read():
         return time.perf_counter() - start
 
     assert min(seconds(mathml.formula) for _ in range(3)) * 2 < min(seconds(lambda x: mathml.latex_of(markup.parsed(x))) for _ in range(3))
+
+
+def test_tables_take_time_in_proportion_to_their_cells(spark):
+    """4,000 cells of one table: its text is made once, not for each cell."""
+    row = "<tr><td>a{0}</td><td>b{0}</td></tr>"
+    d = spark.createDataFrame([(1, "<table>" + "".join(row.format(i) for i in range(2000)) + "</table>")], "id int, html string")
+    start = time.perf_counter()
+    got = blocks.page_blocks(d, "html", "id").collect()
+    assert [r.text for r in got] == ["\n".join(f"a{i}\tb{i}" for i in range(2000))]
+    assert time.perf_counter() - start < 30
