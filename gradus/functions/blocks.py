@@ -86,14 +86,15 @@ def units(pages: DataFrame, *keys: str, into: tuple[str, ...] = ()) -> DataFrame
     u = u.withColumn("option", F.col("text").rlike(OPTION_START) & (F.col("role") != "table"))
     # A table's text is its cells by rows, made once, for the table's own row; with two options it
     # is only its cells' layout.
-    g = u.groupBy(*keys, "top").agg(F.array_sort(F.collect_list(F.struct("at", "role", "row", "content", "text", "option"))).alias("rows"))
+    # The number of options is an aggregate: as an expression over the rows it would be made anew for each.
+    rows = F.array_sort(F.collect_list(F.struct("at", "role", "row", "content", "text", "option"))).alias("rows")
+    g = u.groupBy(*keys, "top").agg(rows, F.count_if((F.col("role") == "cell") & F.col("option")).alias("options"))
     is_cell = lambda r: r["role"] == "cell"
     gap = lambda cells, c, i: F.when(i == 0, "").when(c["row"] == F.get(cells, i - 1)["row"], "\t").otherwise("\n")
     grid = once(F.filter("rows", is_cell), lambda cells: F.array_join(F.transform(cells, lambda c, i: F.concat(gap(cells, c, i), c["text"])), ""))
     fields = ("at", "role", "content", "text", "option")
     row = lambda r: F.struct(*(r[f].alias(f) for f in fields), F.when(r["role"] == "table", grid).alias("grid"))
-    options = F.size(F.filter("rows", lambda r: is_cell(r) & r["option"])).alias("options")
-    u = g.select(*keys, "top", options, F.inline(F.transform("rows", row)))
+    u = g.select(*keys, "top", "options", F.inline(F.transform("rows", row)))
     u = u.where(F.when(F.col("role") == "cell", (F.col("options") >= 2) & F.col("option")).when(F.col("role") == "table", F.col("options") < 2).otherwise((F.col("role") == "item") | (F.col("text") != "")))
     kind = F.when(F.col("role") == "table", "table").when(F.col("option"), "option").when(F.col("role") == "item", "list_item").otherwise("paragraph")
     prefix = r"(?i)^\s*(?:<[^>]+>)*" + OPTION_START.removeprefix("(?i)^") + r"\s*(?:<[^>]+>)*"

@@ -220,3 +220,13 @@ def test_tables_take_time_in_proportion_to_their_cells(spark):
     got = blocks.page_blocks(d, "html", "id").collect()
     assert [r.text for r in got] == ["\n".join(f"a{i}\tb{i}" for i in range(2000))]
     assert time.perf_counter() - start < 30
+
+
+def test_number_of_options_is_not_made_anew_for_each_cell(spark):
+    """It is an aggregate: no filter over a block's rows goes over them again for each row."""
+    d = spark.createDataFrame([(1, "<table><tr><td>(a) x<td>(b) y<td>z</table><p>(c) w</p>")], "id int, html string")
+    u = blocks.units(markup.with_nodes(d, markup.html_nodes, "html", "id", fields=blocks.FIELDS), "id")
+    assert [tuple(r) for r in u.orderBy("pos").select("kind", "label", "content").collect()] == [("option", "A", "x"), ("option", "B", "y"), ("option", "C", "w")]
+    plan = u._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if re.match(r"\W*Filter ", line)]
+    assert filters and not [line for line in filters if "filter(rows" in line]
