@@ -88,10 +88,14 @@ def marker_labels(c: Column) -> Column:
 
 def longest_run(labels: Column) -> Column:
     """Places of the longest run of labels in order that begins anywhere; the first of equal ones."""
-    after = lambda i: F.filter(_places(labels), lambda j: j > i)
-    follows = lambda acc, j: F.ascii(F.get(labels, j)) == F.ascii(F.get(labels, F.element_at(acc, -1))) + 1
-    run = lambda i: F.aggregate(after(i), F.array(i), lambda acc, j: F.when(follows(acc, j), F.concat(acc, F.array(j))).otherwise(acc))
-    return F.aggregate(F.transform(_places(labels), run), F.array().cast("array<int>"), lambda best, r: F.when(F.size(r) > F.size(best), r).otherwise(best))
+
+    def longest(codes: Column) -> Column:
+        after = lambda i: F.filter(_places(codes), lambda j: j > i)
+        follows = lambda acc, j: F.get(codes, j) == F.get(codes, F.element_at(acc, -1)) + 1
+        run = lambda i: F.aggregate(after(i), F.array(i), lambda acc, j: F.when(follows(acc, j), F.concat(acc, F.array(j))).otherwise(acc))
+        return F.aggregate(F.transform(_places(codes), run), F.array().cast("array<int>"), lambda best, r: F.when(F.size(r) > F.size(best), r).otherwise(best))
+
+    return once(F.transform(labels, lambda x: F.ascii(x)), longest)
 
 
 def fractions(c: Column) -> Column:
@@ -102,9 +106,6 @@ def fractions(c: Column) -> Column:
 def inline_options(c: Column) -> Column:
     """(label, text) of the options in a text: from each marker of the longest run to the next;
     empty without two."""
-    s = shielded(c)
-    marks, parts = F.regexp_extract_all(s, F.lit(f"({OPTION_MARK})"), F.lit(1)), F.split(s, OPTION_MARK, -1)
-
     def options(bound: Column) -> Column:
         marks, parts, run = bound["marks"], bound["parts"], bound["run"]
         upto = lambda k: F.coalesce(F.get(run, k + 1), F.size(marks))
@@ -115,7 +116,8 @@ def inline_options(c: Column) -> Column:
         return F.when(F.size(run) >= 2, F.filter(every, lambda o: o["text"] != "")).otherwise(F.array().cast("array<struct<label:string,text:string>>"))
 
     # Bound once in an array of one, else each use repeats the patterns.
-    bound = F.array(F.struct(marks.alias("marks"), parts.alias("parts")))
+    bound = F.transform(F.array(c), shielded)
+    bound = F.transform(bound, lambda s: F.struct(F.regexp_extract_all(s, F.lit(f"({OPTION_MARK})"), F.lit(1)).alias("marks"), F.split(s, OPTION_MARK, -1).alias("parts")))
     bound = F.transform(bound, lambda b: F.struct(b["marks"].alias("marks"), b["parts"].alias("parts"), longest_run(_labels(b["marks"])).alias("run")))
     return F.get(F.transform(bound, options), 0)
 

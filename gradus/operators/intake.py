@@ -94,7 +94,8 @@ def option_runs(t) -> DataFrame:
 
     The SQL states what each kind of question must give.
     """
-    q = bank(t).select("qid", read.inline_options(F.col("body")).alias("o")).where("size(o) >= 2")
+    # A row of a generator is made once, for the condition and for both texts.
+    q = bank(t).select("qid", F.explode(F.array(read.inline_options(F.col("body")))).alias("o")).where("size(o) >= 2")
     # An option longer than its label's first is kept, so that the run has each label once.
     return q.select("qid", F.array_join(F.transform("o", lambda x: x["label"]), "").alias("labels"), F.array_join(F.transform("o", lambda x: x["text"]), "/").alias("options"))
 

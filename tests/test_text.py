@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import intake as I
 from gradus.functions import text as T
+from gradus.operators.intake import option_runs
 
 
 def one(spark, column):
@@ -52,3 +53,12 @@ def test_option_index(spark):
 def test_similarity(spark):
     assert one(spark, T.similarity(F.lit(""), F.lit(""))) == 1.0
     assert one(spark, T.similarity(F.lit("Kitten"), F.lit("sitting"))) == (7 - 3) / 7
+
+
+def test_options_are_read_once(spark):
+    """Marks and texts between them are found once a question, for the condition and both results."""
+    part = spark.createDataFrame([(i, 1, "t") for i in range(20)], "p_partkey long, p_size int, p_type string")
+    plan = option_runs(lambda name: part)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(I.OPTION_MARK) == 2
+    many = F.concat(*(F.lit(f"({'abcdef'[i % 6]}) text {i} ") for i in range(60)))
+    assert one(spark, F.transform(I.inline_options(many), lambda o: o["label"])) == list("abcdef")
