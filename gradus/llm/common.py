@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches  # noqa: F401
+
 #: What may be broadcast: rows of up to two long columns, about 64 MB in the JVM; and data, whatever its rows.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -102,21 +104,6 @@ def space_words(c: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
-    """`df`, in a session whose Arrow batches have about `size` bytes at most: at the default of 64
-    MB the buffers on both sides of a Python worker hold a large part of an executor's memory.
-
-    Spark reads this setting when a query runs, which is after this returns; so it stays, and the
-    session's later queries have it too.  A smaller setting of the caller's is kept.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    held = re.fullmatch(r"(-?\d+)b?", conf.get(name))
-    if not held or not 0 < int(held[1]) <= size:
-        conf.set(name, str(size))
-    return df
-
-
 def give_back() -> None:
     """Return what a Python worker has freed to the system: a worker that waits for its next task,
     or stands beside the one of the next stage, else keeps it.  Nothing where the C library has no such call."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gradus.operators import registry
 from gradus.plans import stages as S
 
 CHAIN = [
@@ -31,3 +32,21 @@ def test_observations_are_the_counts(spark, tmp_path):
     assert {n: tuple(o.get.values()) for n, o in seen.items()} == {"trim": (7, 5, 2, 0), "half": (5, 5, 5, 1), "upper": (5, 4, 2, 0)}
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1
+
+
+def test_queries_give_python_small_batches(spark, tmp_path, monkeypatch):
+    """2,000 pages of 10 kB reach a worker in batches of about 4 MB, not all at once."""
+    monkeypatch.setattr(registry, "QUERIES", {})
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(2000).select(F.repeat(F.lit("x"), 10_000).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"size": [b.nbytes]})
+
+    @registry.query()
+    def batch_sizes(t):
+        return t("pages").mapInArrow(sizes, "size long")
+
+    got = [r["size"] for r in registry.QUERIES["batch_sizes"](spark, str(tmp_path)).collect()]
+    assert sum(got) > 2000 * 10_000 and max(got) < 6e6
