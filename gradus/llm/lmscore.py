@@ -10,9 +10,14 @@ the empty history and its own failure weight; a bigram that is an arc brings wha
 over backing off, and its failure weight as a history; a trigram what it gains.  So each
 n-gram has one value.  Counts and values are tables; tasks hold the values of the HOT and
 HOT_GRAMS most frequent n-grams of each order and Bloom filters of at most 2 ** BITS bits, which tell most
-n-grams that have no value; all others are resolved by a join, each once a document with its
-number there.  Both bound memory only, and change no result: where a filter would be full, there
-is none, and all n-grams may have a value.
+n-grams that have no value.  Both bound memory only, and change no result: where a filter would
+be full, there is none, and all n-grams may have a value.
+
+All other n-grams are resolved by a join on ranges of keys: a row of it holds the sorted keys of
+one range that a block of documents asks for, with the documents' places in the block, or those
+that have values.  What a range answers goes back to the block and is summed there.  Documents
+are joined in up to SLICES slices, one after the other, so that the shuffles of one are gone
+before the next.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ BITS, PARTS = 26, 16
 DISCOUNT = 0.75
 #: Keys that a counting task holds before it adds them up, and of a range that another adds up.
 FLUSH, RANGE = 500_000, 1_000_000
+#: Slices of the documents at most, and training tokens from which there is another one.
+SLICES, SLICE = 3, 1 << 23
 
 _END = np.uint64(0)  # hash of the token that ends a text
 _ID = 20  # bits of a hot word's number
@@ -97,6 +106,11 @@ class Automaton:
     def base_logp(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
+    @property
+    def ranges(self) -> int:
+        """Of the join, as a power of two."""
+        return max(3, min(30, int(self.n // RANGE).bit_length()))
+
 
 class Grams(NamedTuple):
     """n-grams: where they begin, their keys, and what begins and ends them."""
@@ -139,9 +153,10 @@ def _grams(a: Automaton, h: np.ndarray, doc: np.ndarray, order: int = 3) -> tupl
     x, y = code[at], code[at + 1]
     rare = (x | y) >= _TOP
     pairs = Grams(at, np.where(rare, mix(mix(x * _U(0x9E3779B97F4A7C15) + y) | _TOP), _pair_key(x, y)), x, y, rare)
+    if a.kept_pairs:
+        pairs = pairs.where(may(a.kept_pairs, pairs.key))
     if order == 2:
         return code, pairs, None
-    pairs = pairs.where(may(a.kept_pairs, pairs.key))
     at = np.flatnonzero(pairs.at[1:] == pairs.at[:-1] + 1)
     one, two = pairs.where(at), pairs.where(at + 1)
     rare = one.rare | two.rare
@@ -249,7 +264,7 @@ def _hot(rows: DataFrame, most: int, *columns: str) -> tuple[int, list[np.ndarra
 
 def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     """The automaton of a table of texts (text), and the tables of what it leaves to joins, one of
-    words and pairs, one of triples: k, n (of words, else null), v.
+    words and pairs, one of triples, as cells.
 
     Three passes count words, pairs and triples of the whole corpus; each count is added up
     in tasks before it is shuffled.  A triple can occur twice only if both its pairs do, and a
@@ -262,6 +277,10 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     def held(df: DataFrame, name: str) -> DataFrame:
         return written(df, f"{folder}/{name}")
 
+    def gone(*names: str) -> None:  # read for the last time
+        for name in names:
+            dropped(spark, f"{folder}/{name}")
+
     def counted(order: int, name: str, grams_of: Callable[[pa.Array], Grams], least: int, about: int) -> tuple[DataFrame, Filter | None]:
         parts = max(3, min(30, int(about // RANGE).bit_length()))
         size = min(BITS, max(parts + 3, int(8 * about).bit_length()))
@@ -309,8 +328,7 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     hot_taken = np.zeros(len(hot))
     hot_taken[of_hot["h"].to_numpy()] = of_hot["taken"].to_numpy().astype(np.float64)
     hot_left = np.maximum(1 - hot_taken / np.maximum(number, 1), 1e-12)
-    spare = discount * v / n / (v + 1) if n else 1.0
-    hot_p = np.maximum(number - discount, 0) / max(n, 1) + spare
+    hot_p = np.maximum(number - discount, 0) / max(n, 1) + _spare(a)
     a.values = np.log10(hot_p) + np.log10(hot_left)
 
     code = F.col("k").bitwiseOR(F.lit(-(1 << 63))).alias("k")
@@ -339,92 +357,246 @@ def train(texts: DataFrame) -> tuple[Automaton, list[DataFrame]]:
     arcs = arcs.join(taken(triples).withColumnRenamed("h", "k"), "k", "left").select("k", "n", "p", left.alias("left"), (F.log10(F.col("p") / F.col("lower")) + F.log10(left)).alias("v"))
     arcs = held(arcs, "arcs")
     facts.destroy()
-    by_h = arcs.select(F.col("k").alias("h"), F.col("n").alias("n_h"), F.col("left").alias("left_h"))
+    gone("order-2", "taken")
+    by_h = arcs.select(F.col("k").alias("h"), (F.col("n") * F.col("left")).alias("mass"))
     by_t = arcs.select(F.col("k").alias("t"), F.col("p").alias("p_t"))
-    gain = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("n_h") / (F.col("left_h") * F.col("p_t")))
-    last = held(triples.join(by_h, "h").join(by_t, "t").select("k", "n", gain.alias("v")), "last")
+    # One join after the other, so that the shuffles of one are gone before the next.
+    shares = held(triples.join(by_h, "h").select("k", "n", "t", ((F.col("n") - DISCOUNT) / F.col("mass")).alias("share")), "shares")
+    gone("order-3")
+    last = held(shares.join(by_t, "t").select("k", "n", F.log10(1 + F.col("share") / F.col("p_t")).alias("v")), "last")
+    gone("shares")
 
     pair_least, (keys, a.pair_values) = _hot(arcs, HOT_GRAMS, "v")
     a.pairs = Table(keys)
     triple_least, (keys, a.triple_values) = _hot(last, HOT_GRAMS, "v")
     a.triples = Table(keys)
-    for name in ("order-2", "order-3", "taken"):  # read for the last time
-        dropped(spark, f"{folder}/{name}")
-    nothing = F.lit(None).cast("bigint").alias("n")
-    told_by_join = lambda rows, least: rows.where(F.col("n") < least).select("k", nothing, "v")
     words = rare.select("k", "n", F.log10("left").alias("v")).union(counts.where("n = 1").select(code, "n", F.lit(0.0)))
-    return a, [words.union(told_by_join(arcs, pair_least)), told_by_join(last, triple_least)]
+    in_cells = lambda rows, kind: rows.select("k", "n", "v").mapInArrow(_packed(kind, a.ranges), _CELLS)
+    first = held(in_cells(words, _WORDS).union(in_cells(arcs.where(F.col("n") < pair_least), _GRAMS)), "cells-1")
+    gone("words", "states", "arcs")
+    second = held(in_cells(last.where(F.col("n") < triple_least), _GRAMS), "cells-2")
+    gone("last")
+    return a, [first, second]
 
 
 def empty_p(a: Automaton, c: Column) -> Column:
     """Probability after the empty history of tokens with this count."""
-    spare = a.discount * a.v / a.n / (a.v + 1) if a.n else 1.0
-    return F.greatest(c - a.discount, F.lit(0.0)) / F.lit(float(max(a.n, 1))) + F.lit(spare)
+    return F.greatest(c - a.discount, F.lit(0.0)) / F.lit(float(max(a.n, 1))) + F.lit(_spare(a))
+
+
+def _spare(a: Automaton) -> float:
+    """What each token has of the empty history's mass left over."""
+    return a.discount * a.v / a.n / (a.v + 1) if a.n else 1.0
+
+
+#: Rows of the join, and their kinds: the sorted keys (a) of a range that have values, with n of
+#: words (b) and v (c); the sorted keys that a block asks for, once a document, with the documents'
+#: places in it (b) and how often they are there (c); what documents have without the join (a).
+_CELLS = "range int, kind int, block bigint, a binary, b binary, c binary"
+_WORDS, _GRAMS, _ASKED_WORDS, _ASKED_GRAMS, _OWN = range(5)
+#: Documents of a block at most, as their places take two bytes.
+_DOCS = 1 << 16
 
 
-_OWN = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-_ROWS = "row bigint, k bigint, times bigint, word boolean, own struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
+def _cut(x: np.ndarray | None, at: np.ndarray) -> pa.Array:
+    """Parts of an array as binary values; without an array empty ones."""
+    size, data = (0, b"") if x is None else (x.itemsize, np.ascontiguousarray(x))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _traverse(model, step: int):
-    """First, per document a row of what its tokens and hot n-grams bring, whose k is its row's
-    number, and a row for each of its other words and pairs, with how often it is there, where
-    `word` tells words; in the second step such a row for each of its other triples."""
+def _joined(column: pa.Array, kind: type | str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """What `_cut` cut, of the values lo to hi."""
+    column = column.slice(lo, None if hi is None else hi - lo).cast(pa.binary())
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind) if off[-1] > off[0] else np.zeros(0, kind)
 
-    def once(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of each document, and their numbers.  Most keys are there once: only the
-        others are sorted by document as well."""
-        order = np.argsort(key)
-        k = key[order]
-        same = np.zeros(len(k) + 1, bool)
-        same[1:-1] = k[1:] == k[:-1]
-        often = same[1:] | same[:-1]
-        lone, rest = order[~often], order[often]
-        rest = rest[np.lexsort((key[rest], doc[rest]))]
-        new = np.ones(len(rest), bool)
-        new[1:] = (doc[rest][1:] != doc[rest][:-1]) | (key[rest][1:] != key[rest][:-1])
-        at = np.flatnonzero(new)
-        every = np.concatenate([lone, rest[at]])
-        return doc[every], key[every], np.concatenate([np.ones(len(lone), np.int64), np.diff(np.append(at, len(rest)))])
 
-    names = ["row", "k", "times", "word", "own"]
+def _cells(kind: int, block: int, bits: int, keys: np.ndarray, *columns: np.ndarray | None) -> pa.RecordBatch:
+    ranges, at = in_ranges(keys, 64 - bits)
+    at = np.array(at, np.int64)
+    same = lambda x, t: pa.array(np.full(len(ranges), x, t))
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), same(kind, np.int32), same(block, np.int64), *(_cut(x, at) for x in (keys, *columns))], [x.split()[0] for x in _CELLS.split(", ")])
+
+
+def _packed(kind: int, bits: int):
+    """Rows k, n, v as cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Automaton = model.value
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, n, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(k)
+            return _cells(kind, -1, bits, k[order], n[order] if kind == _WORDS else None, v[order])
+
         for batch in batches:
-            for start, part in chunks(batch.column(1)):
-                h, doc, first = tokens(part)
-                docs = len(first) - 1
-                code, pairs, triples = _grams(a, h, doc)
+            held.append((batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            size += batch.num_rows
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+        held = []
+        give_back()
+
+    return run
+
+
+def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each document, by key and document, and their numbers: sums of equal values
+    lose too much.  Most keys are there once: only the others are sorted by document as well."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    often = np.flatnonzero(same[1:] | same[:-1])
+    some = order[often]
+    order[often] = some[np.lexsort((doc[some], key[some]))]
+    doc = doc[order]
+    at = np.flatnonzero(np.concatenate(([True], ~same[1:-1] | (doc[1:] != doc[:-1]))))
+    return k[at], doc[at], np.diff(np.append(at, len(k)))
+
+
+def _asked(model, step: int):
+    """Blocks of the documents (doc_id, text, row): in the first step what the tokens and hot pairs
+    of each document bring, and cells of its other words and pairs; in the second the same of
+    triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: Automaton = model.value
+        block = TaskContext.get().partitionId() << 32
+        held, size, docs = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ask = lambda i: (np.concatenate([h[i] for h in held]), np.concatenate([h[i + 1] for h in held]))
+            for kind, (key, doc) in ((_ASKED_WORDS, ask(0)), (_ASKED_GRAMS, ask(2))):
+                if len(key):
+                    key, doc, times = _once(key, doc)
+                    yield _cells(kind, block, a.ranges, key, doc.astype("<u2"), times.astype("<u4"))
+            own = np.concatenate([h[4] for h in held], axis=1).ravel()
+            one, none = np.array([0, len(own)], np.int64), np.zeros(2, np.int64)
+            # Dealt over the ranges, so that they do not meet in one task.
+            at = [pa.array([block % (1 << a.ranges)], pa.int32()), pa.array([_OWN], pa.int32()), pa.array([block], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*at, _cut(own, one), _cut(None, none), _cut(None, none)], [x.split()[0] for x in _CELLS.split(", ")])
+
+        def read(ids: pa.Array, part: pa.Array, rows: pa.Array) -> tuple:
+            h, doc, first = tokens(part)
+            code, pairs, triples = _grams(a, h, doc, step + 2)
+            lp, zero = np.zeros(len(h)), np.zeros(len(part), np.int64)
+            sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  # every document has its end
+            g, hot, values = (triples, a.triples, a.triple_values) if step else (pairs, a.pairs, a.pair_values)
+            place, seen = hot.find(g.key)
+            lp[g.at[seen]] = values[place[seen]]
+            other = np.zeros(0, np.int64)
+            counts, base = [zero, zero, zero], np.zeros(len(part))
+            if step == 0:
                 known = code < _TOP
-                lp, base = np.zeros(len(h)), np.zeros(len(h))
-                wid = code[known].astype(np.int64)
-                lp[known] = a.values[wid]
-                base[known] = a.base_logp(a.counts[wid])
-                rest = [once(doc[~known], code[~known])] if step == 0 else [once(doc[:0], code[:0])]
-                for order, (g, hot, values) in enumerate(((pairs, a.pairs, a.pair_values), (triples, a.triples, a.triple_values))):
-                    if g is None:
-                        continue
-                    place, seen = hot.find(g.key)
-                    lp[g.at[seen]] += values[place[seen]]
-                    if order == step:
-                        rest.append(once(doc[g.at[~seen]], g.key[~seen]))
-                lo = first[:-1]
-                sums = [np.add.reduceat(x, lo) for x in (known.astype(np.int64), base, lp)]  # every document has its end
-                rows = batch.column(2).slice(start, docs)
-                if step == 0:
-                    own = pa.StructArray.from_arrays([batch.column(0).slice(start, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], fields=list(_OWN))
-                    yield pa.RecordBatch.from_arrays([rows, rows, pa.array(np.ones(docs, np.int64)), pa.array(np.zeros(docs, bool)), own], names)
-                rows = rows.to_numpy()
-                d, k, times = (np.concatenate(x) for x in zip(*rest, strict=True))
-                if len(k):
-                    word = np.arange(len(k)) < len(rest[0][0])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(k.view(np.int64)), pa.array(times), pa.array(word), pa.nulls(len(k), _OWN)], names)
+                wid, other = code[known].astype(np.int64), np.flatnonzero(~known)
+                lp[known] += a.values[wid]
+                of = np.zeros(len(h))
+                of[known] = a.base_logp(a.counts[wid])
+                counts, base = [np.ones(len(part), np.int64), np.diff(first), sums(known.astype(np.int64))], sums(of)
+            ids_held = [pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)]
+            own = np.stack([rows.to_numpy(), *ids_held, *counts, base.view(np.int64), sums(lp).view(np.int64)])
+            return code[other], doc[other], g.key[~seen], doc[g.at[~seen]], own
+
+        for batch in batches:
+            for start, chunk in chunks(batch.column(1)):
+                for lo in range(0, len(chunk), _DOCS):
+                    part = chunk.slice(lo, _DOCS)
+                    if held and docs + len(part) > _DOCS:
+                        yield from flush()
+                        block, held, size, docs = block + 1, [], 0, 0
+                    k, d, gk, gd, own = read(batch.column(0).slice(start + lo, len(part)), part, batch.column(2).slice(start + lo, len(part)))
+                    held.append((k, d + docs, gk, gd + docs, own))
+                    size, docs = size + len(k) + len(gk), docs + len(part)
+                    if size > FLUSH:
+                        yield from flush()
+                        block, held, size, docs = block + 1, [], 0, 0
+        if held:
+            yield from flush()
+        held = []
         give_back()
 
     return run
 
 
+_TOLD = "block bigint, doc binary, score binary, word binary, base binary, known binary, own binary"
+
+
+def _told(n: int, v: int, discount: float):
+    """What the ranges, each with its values first, answer to the blocks: of each n-gram that has a
+    value its document and value, and of each word its document, probabilities and how often it is known."""
+    facts = Automaton(n, v, discount, Table(np.zeros(0, _U)), np.zeros(0))
+
+    def table_of(cells: list[tuple]) -> tuple[np.ndarray, ...]:
+        if not cells:
+            return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0)
+        k, n, v = (np.concatenate(x) for x in zip(*cells, strict=True))
+        order = np.argsort(k)
+        return k[order], n[order] if len(n) else n, v[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, cells, tables = -1, {}, {}
+        names = [x.split()[0] for x in _TOLD.split(", ")]
+        for batch in batches:
+            r, kinds, blocks = (batch.column(i).to_numpy() for i in range(3))
+            new = np.flatnonzero((r[1:] != r[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(r)], strict=True):
+                if lo == hi:
+                    continue
+                if r[lo] != here:
+                    here, cells, tables = r[lo], {}, {}
+                kind = int(kinds[lo])
+                if kind in (_WORDS, _GRAMS):
+                    cells.setdefault(kind, []).append(tuple(_joined(batch.column(i), t, lo, hi).copy() for i, t in ((3, _U), (4, np.int64), (5, np.float64))))
+                    continue
+                none = _cut(None, np.zeros(hi - lo + 1, np.int64))
+                if kind == _OWN:
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[lo:hi]), none, none, none, none, none, batch.column(3).slice(lo, hi - lo).cast(pa.binary())], names)
+                    continue
+                of = kind - _ASKED_WORDS
+                if of not in tables:
+                    tables[of] = table_of(cells.pop(of, []))
+                keys, n, v = tables[of]
+                key, doc, times = (_joined(batch.column(i), t, lo, hi) for i, t in ((3, _U), (4, "<u2"), (5, "<u4")))
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                seen = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                first = np.append(0, np.cumsum(pc.binary_length(batch.column(4).slice(lo, hi - lo)).to_numpy())) // 2
+                if of == _GRAMS:
+                    first = np.append(0, np.cumsum(seen))[first]
+                    some = np.flatnonzero(np.diff(first))
+                    first, none = np.append(first[some], first[-1]), none.slice(0, len(some))
+                    columns = [pa.array(blocks[lo:hi][some]), _cut(doc[seen], first), _cut(v[at[seen]] * times[seen], first), none, none, none, none]
+                else:
+                    c, score = np.zeros(len(key), np.int64), np.zeros(len(key))
+                    c[seen], score[seen] = n[at[seen]], v[at[seen]]
+                    score += np.log10(np.maximum(c - discount, 0) / max(facts.n, 1) + _spare(facts))
+                    columns = [pa.array(blocks[lo:hi]), *(_cut(x, first) for x in (doc, score * times, doc, facts.base_logp(c) * times, times * (c > 0))), none]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        cells, tables = {}, {}
+        give_back()
+
+    return run
+
+
+_SCORED = "row bigint, doc_id bigint, rows bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(_joined(x, kind) for x in rows[c].chunks)])
+    row, doc_id, null, times, size, known, base, score = read("own", np.int64).reshape(8, -1)
+    docs = len(row)
+    word = read("word", "<u2")
+    known = known + np.bincount(word, read("known", "<u4"), docs).astype(np.int64)
+    base = base.view(np.float64) + np.bincount(word, read("base", np.float64), docs)
+    score = score.view(np.float64) + np.bincount(read("doc", "<u2"), read("score", np.float64), docs)
+    columns = [pa.array(row), pa.array(doc_id, mask=null > 0), *(pa.array(x) for x in (times, size, known, base, score))]
+    return pa.table(columns, [x.split()[0] for x in _SCORED.split(", ")])
+
+
 def scores(docs: DataFrame, training: Column) -> DataFrame:
     """log10 probabilities of whole texts: doc_id, n_tokens, n_known, train_tokens,
     base_score, score.
@@ -439,27 +611,17 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     a, tables = train(docs.where("training").select("text"))
     sent = docs.sparkSession.sparkContext.broadcast(a)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    c = F.coalesce("n", F.lit(0))
-    word, times = F.col("word"), F.col("times")
-    nil = F.lit(0.0)
-    other = F.col("own").isNull()
-
-    def summed(step: int, values: DataFrame) -> DataFrame:
-        # A document's own row has its own key, so that these rows do not meet in one task.
-        rows = keyed.mapInArrow(_traverse(sent, step), _ROWS).join(values, "k", "left")
-        return rows.groupBy("row").agg(
-            F.max("own.doc_id").alias("doc_id"),
-            F.sum("own.n_tokens").alias("n_tokens"),
-            F.sum(F.when(other, F.when(word & (c > 0), times).otherwise(0)).otherwise(F.col("own.n_known"))).alias("n_known"),
-            F.sum(F.when(other, times * F.when(word, F.log10((c + 1) / F.lit(float(a.n + a.v + 1)))).otherwise(nil)).otherwise(F.col("own.base"))).alias("base_score"),
-            F.sum(F.when(other, times * (F.when(word, F.log10(empty_p(a, c))).otherwise(nil) + F.coalesce("v", nil))).otherwise(F.col("own.score"))).alias("score"),
-            F.count("own").alias("rows"),
-        )
-
-    # One order after the other, so that the shuffles of one are gone before the next.
-    parts = [written(summed(step, values)) for step, values in enumerate(tables)]
-    out = parts[0].union(parts[1]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score", "rows")))
+    slices = min(SLICES, 1 + a.n // SLICE)
+
+    def summed(step: int, at: int) -> DataFrame:
+        of = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(slices))  # hashes no text for the other slices
+        some = (docs.where(of == at) if slices > 1 else docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+        cells = tables[step].union(some.mapInArrow(_asked(sent, step), _CELLS))
+        told = cells.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(_told(a.n, a.v, a.discount), _TOLD)
+        return written(told.groupBy("block").applyInArrow(_summed, _SCORED))
+
+    parts = [summed(step, at) for step in range(len(tables)) for at in range(slices)]
+    out = reduce(DataFrame.union, parts).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("rows", "n_tokens", "n_known", "base_score", "score")))
     # Rows equal in doc_id and text met in one group: one result each again.
     each = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))
     out = out.select("*", each.alias("copy"))
