@@ -6,14 +6,12 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_batches  # noqa: F401
+from ..session import shuffles_freed, small_batches  # noqa: F401
 
 #: What may be broadcast: rows of up to two long columns, about 64 MB in the JVM; and data, whatever its rows.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
@@ -62,20 +60,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _temporary[app]
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries inside leave no shuffle files once they end; the caller's setting comes back.
-
-    For results that are written whole and read from there."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def dropped(spark: SparkSession, folder: str) -> None:
     """Remove a folder of intermediate data, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
