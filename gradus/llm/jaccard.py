@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.allpairs import sketches, words_of
 from .common import cut, frugal, small, small_batches
 from .components import connected
 from .words import add_up, chunks, dealt, mix, shingle_sets
@@ -315,8 +316,22 @@ class Index:
         return found[100 * count >= percent * (len(q) + self.sizes[found] - count)]
 
 
+def admitted(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """A row for each set of a: which sets of b it may link with, by sizes and by sketches, in which
+    each item flips a bit: sets have at least as many differing items as bits."""
+    n, m = (np.array([len(s) for s in sets], np.int64) for sets in (a, b))
+    words = int(words_of(np.array([max(n.max(initial=1), m.max(initial=1))]))[0])
+    x, y = (sketches(np.concatenate([np.zeros(0, np.uint64), *sets]), size, words) for sets, size in ((a, n), (b, m)))
+    differing = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(words):
+        differing += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    n, m, differing = n[:, None], m[None], differing.astype(np.int64)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differing <= (100 - percent) * (n + m))
+
+
 def _search_block(percent: int):
-    """Links between a block's queries and its index, but for those inside one component."""
+    """Links between a block's queries and its index, but for those inside one component.  Only
+    queries that a sketch admits to another component's set search the lists."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["node", "items"])
@@ -329,14 +344,16 @@ def _search_block(percent: int):
                 x = parent[x]
             return x
 
-        found = Index([np.frombuffer(x, np.uint64) for x in index["items"]]) if len(index) else None
+        sets, asking = ([np.frombuffer(x, np.uint64) for x in r["items"]] for r in (index, queries))
+        may, found = admitted(asking, sets, percent), None
         comp = index["comp"].tolist()
         links = []
-        for node, c, items in queries[["node", "comp", "items"]].itertuples(index=False) if found else ():
+        for k, (node, c) in enumerate(queries[["node", "comp"]].itertuples(index=False)):
             mine = root(c)
-            if all(root(x) == mine for x in set(comp)):
+            if all(root(comp[i]) == mine for i in np.flatnonzero(may[k]).tolist()):
                 continue
-            for i in found.search(np.frombuffer(items, np.uint64), percent).tolist():
+            found = found or Index(sets)
+            for i in found.search(asking[k], percent).tolist():
                 theirs = root(comp[i])
                 if theirs != mine:
                     links.append((node, nodes[i]))

@@ -5,6 +5,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from messy import docs
 
@@ -71,6 +73,29 @@ def test_index_finds_all():
         assert index.search(q, 75).tolist() == want
 
 
+def test_block_search_only_where_sketches_admit(monkeypatch):
+    """Sets that share a fifth of their items search no lists; of near copies every link is found."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 2**64, n, np.uint64)
+    searched = []
+    search = jaccard.Index.search
+    monkeypatch.setattr(jaccard.Index, "search", lambda self, q, percent: searched.append(1) or search(self, q, percent))
+    for n in (6, 40, 300, 900):
+        common = fresh(n // 5)
+        sets = [np.unique(np.append(common, fresh(n - len(common)))) for _ in range(60)]
+        asking = [np.unique(np.append(common, fresh(n - len(common)))) for _ in range(40)]
+        rows = lambda some, first, indexed: [(first + i, first + i, s.tobytes(), indexed) for i, s in enumerate(some)]
+        frame = lambda q: pd.DataFrame(rows(sets, 0, True) + rows(q, 1000, False), columns=["node", "comp", "items", "indexed"])
+        assert not len(jaccard._search_block(75)(frame(asking))) and not searched
+        # Copies without some of the items, and with others, at the threshold and on both sides of it.
+        near = [np.unique(np.append(rng.permutation(s)[k * n // 30 :], fresh(k * n // 60))) for k, s in enumerate(sets[:12])]
+        links = {(1000 + i, j) for i, q in enumerate(near) for j, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))}
+        may = jaccard.admitted(near, sets, 75)
+        assert all(may[i - 1000, j] for i, j in links) and 0 < len(links) < 12
+        assert set(jaccard._search_block(75)(frame(near)).itertuples(index=False, name=None)) == links
+        searched.clear()
+
+
 def test_jaccard_near_the_threshold(spark, monkeypatch):
     """Sets that just reach or just miss the threshold, with passages that many share."""
     import random
